@@ -157,3 +157,46 @@ WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '2000-07-01')
 LINES_SQL = f"WITH s AS (SELECT {', '.join(LINES)} FROM lineitem)\n"
 EVENTS_SQL = f"WITH s AS (SELECT {', '.join(EVENTS)} FROM events)\n"
 DOCS_SQL = "WITH s AS (SELECT * FROM documents)\n"
+
+_ISO = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+_EU = ("lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') "
+       "|| '/' || CAST(year(o_orderdate) AS STRING)")
+_EU_SHORT = ("lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '.' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') "
+             "|| '.' || lpad(CAST(year(o_orderdate) % 100 AS STRING), 2, '0')")
+_MONEY = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)"
+# Orders as an export might write them: text for everything, with the usual damage.
+DIRTY = (
+    "o_orderkey",
+    "lpad(CAST(o_custkey AS STRING), 8, '0') AS account",
+    f"'$' || {_MONEY} AS amount",
+    "CASE WHEN o_totalprice < 12000 THEN 'n/a' WHEN o_totalprice < 14000 THEN '' ELSE CAST(o_custkey AS STRING) END AS units",
+    f"CASE WHEN o_totalprice > 490000 THEN 'not priced' ELSE {_MONEY} END AS price_text",
+    f"{_ISO} AS iso_day",
+    f"{_EU} AS eu_day",
+    f"CASE WHEN o_totalprice > 450000 THEN {_EU} ELSE {_ISO} END AS mixed_day",
+    f"{_EU_SHORT} AS short_day",
+    "CASE WHEN o_orderstatus = 'P' AND o_totalprice < 250000 THEN lower(o_orderpriority) ELSE o_orderpriority END AS priority",
+    "CASE WHEN o_totalprice > 400000 THEN '  ' || o_orderstatus ELSE o_orderstatus END AS status",
+    "CASE WHEN o_totalprice > 250000 THEN 'true' ELSE 'false' END AS large",
+    "CASE WHEN o_totalprice > 470000 THEN 'Unknown' WHEN o_totalprice < 16000 THEN 'Total' ELSE o_orderpriority END AS segment",
+    "CAST(o_custkey % 100 AS STRING) || '%' AS rate",
+    f"replace({_MONEY}, '.', ',') AS eu_amount",
+    "CASE WHEN o_totalprice < 100000 THEN '(' || CAST(o_custkey AS STRING) || '.50)' ELSE CAST(o_custkey AS STRING) || '.25' END AS ledger",
+    "CASE WHEN o_totalprice > 495000 THEN CAST('Infinity' AS DOUBLE) WHEN o_totalprice > 490000 THEN CAST('NaN' AS DOUBLE) ELSE o_totalprice / 1000 END AS reading",
+)
+DIRTY_SQL = f"WITH d AS (SELECT {', '.join(DIRTY)} FROM orders)\n"
+DIRTY_TEXT = ("account", "amount", "units", "price_text", "iso_day", "eu_day", "mixed_day", "short_day", "priority",
+              "status", "large", "segment", "rate", "eu_amount", "ledger")
+
+
+def dirty(spark, folder) -> DataFrame:
+    return table(spark, folder, "orders").selectExpr(*DIRTY)
+
+
+# Every order again when it is small: a union that repeats whole rows.
+REPEATED_SQL = "WITH d AS (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_totalprice < 50000)\n"
+
+
+def repeated(spark, folder) -> DataFrame:
+    read = table(spark, folder, "orders")
+    return read.unionAll(read.where("o_totalprice < 50000"))
