@@ -10,7 +10,7 @@ from grainwise.functions import readings
 from grainwise.functions.exprs import count_where, finite, finite_value, matches, quoted, ratio
 from grainwise.functions.ranks import quantiles
 from grainwise.profiling.evidence import column_evidence, hashable, with_roles
-from grainwise.session import small_rows
+from grainwise.session import small_rows, spread
 
 # Texts that mean a missing value, compared without case.
 MISSING_TOKENS = (
@@ -57,20 +57,40 @@ def melted(df: DataFrame, columns: list[str], value=None) -> DataFrame:
     return df.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
 
 
+#: A text column with at most this share of distinct values is judged once per value.
+REPEATING = 0.1
+
+
 def cell_counts(df: DataFrame, columns: list[str], judge, flags: list[str], keep) -> DataFrame:
     """column and one count per flag over the kept values of several text columns.
 
-    Values are opened into (column, value) rows inside their partition, and `judge` adds the flags
-    in one projection, so a wide table compiles the same code as a narrow one.
+    Values are opened into (column, value) rows and `judge` adds the flags in one projection, so a
+    wide table compiles the same code as a narrow one. A column whose values repeat is folded to
+    its distinct values first, each weighted by its rows; a column of mostly distinct texts is
+    judged where its rows are, because moving whole texts would cost more than judging them.
     """
-    cells = [F.when(keep(c), F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("value"))) for c in columns]
-    blank = F.array(F.struct(F.lit("").alias("column"), F.lit("").alias("value")))
-    opened = df.select(F.explode(F.array_compact(F.array(*cells)) if cells else blank).alias("s")).select("s.*")
-    counted = judge(opened).groupBy("column").agg(*[count_where(F.col(k)).alias(k) for k in flags])
-    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns or [""]])).alias("column"))
-    filled = every.join(counted, "column", "left").select(
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"{k} bigint" for k in flags))
+    sizes = df.agg(*[F.struct(F.approx_count_distinct(quoted(c)), F.count(quoted(c))).alias(f"c{i}")
+                     for i, c in enumerate(columns)]).first()
+    folded = [c for i, c in enumerate(columns) if sizes[i][0] <= REPEATING * sizes[i][1]]
+    direct = [c for c in columns if c not in folded]
+
+    def opened(named, rows):
+        cells = [F.when(keep(c), F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("value"))) for c in named]
+        return rows.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
+
+    parts = []
+    if folded:
+        parts.append(opened(folded, df).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    if direct:
+        parts.append(opened(direct, spread(df)).withColumn("n", F.lit(1).cast("long")))
+    values = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    counted = judge(values).groupBy("column").agg(
+        *[F.sum(F.when(F.col(k), F.col("n")).otherwise(0)).alias(k) for k in flags])
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    return every.join(counted, "column", "left").select(
         "column", *[F.coalesce(k, F.lit(0)).alias(k) for k in flags])
-    return filled.where(F.col("column") != "")
 
 
 def numeric_profile(df: DataFrame, rows: int | None = None) -> DataFrame:

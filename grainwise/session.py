@@ -52,3 +52,27 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="grainwise-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over every core when its scan has fewer splits than that, else as it is.
+
+    One huge row group is one task; work that is heavy per row is worth one exchange then. A table
+    with many splits, the usual case on a cluster, is left alone.
+    """
+    wide = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= wide:
+        return df
+    return df.repartition(wide)
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder every executor can reach, under `spark.checkpoint.dir` where that is set."""
+    import uuid
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="grainwise-")
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
