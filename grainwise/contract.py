@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from dataclasses import dataclass, field, fields
 from datetime import date
 
@@ -226,11 +225,3 @@ def _measure_problems(m: Measure, types: dict, open_fields: set):
 def changed_fields(old: DatasetContract, new: DatasetContract) -> list[str]:
     """The names of the fields two versions of a contract disagree on."""
     return [f.name for f in fields(old) if f.compare and getattr(old, f.name) != getattr(new, f.name)]
-
-
-def snake_case(name: str) -> str:
-    """A column name a query can use bare."""
-    text = name.strip().replace("%", " pct ").replace("#", " num ")
-    text = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", text)
-    text = re.sub(r"[^0-9A-Za-z]+", "_", text).strip("_").lower()
-    return f"col_{text}" if text[:1].isdigit() else text

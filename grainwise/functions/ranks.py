@@ -60,6 +60,12 @@ def running(df: DataFrame, order: list[tuple[str, bool]], amounts: dict[str, str
                        *[f"__by{i}" for i in range(len(by))])
 
 
+def positions(df: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
+    """Add `position` (from 1) and `position_whole`, the number of rows."""
+    placed = running(df.withColumn("__one", F.lit(1).cast("long")), order, {"position": "__one"})
+    return placed.withColumn("position", F.col("position") + 1).drop("__one")
+
+
 def midranks(values: DataFrame, value: str, n: str) -> DataFrame:
     """Average ranks of distinct `value`s that each stand for `n` rows, as column `midrank`."""
     placed = running(values, [(value, False)], {"before": n})

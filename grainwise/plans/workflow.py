@@ -1 +1,206 @@
-"""Registered below."""
+"""Validation, contract history, gates, logs and the report over the given tables."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+from datetime import date, datetime
+
+from pyspark.sql import functions as F
+
+from grainwise import report
+from grainwise.contract import Binding, DatasetContract, Domain, ForeignKey, Measure, Rule, Window, columns_of
+from grainwise.plans.base import SALES, SALES_SQL, query, r6, sales, table
+from grainwise.registry import run
+from grainwise.session import shared_folder
+from grainwise.store import Workspace, gate
+from grainwise.validation import checks
+
+
+def _check(check: str, subject: str, failed: str, not_checked: str, source: str) -> str:
+    return f"""SELECT '{check}' AS check_id, '{subject}' AS subject, CASE WHEN {failed} > 0 THEN 'FAIL' ELSE 'PASS' END AS outcome, count(*) AS rows,
+count(*) - {failed} - {not_checked} AS passed, {failed} AS failed, {not_checked} AS not_checked FROM {source}"""
+
+
+def _brief(df):
+    return df.drop("evidence")
+
+
+@query("check_key_unique", """WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2),
+c AS (SELECT sum(n) AS rows, coalesce(sum(n) FILTER (WHERE n > 1), 0) AS failed FROM g),
+e AS (SELECT l_orderkey || ', ' || l_linenumber || ' x' || n AS line FROM g WHERE n > 1 ORDER BY 1 LIMIT 10)
+SELECT 'key.unique' AS check_id, 'l_orderkey, l_linenumber' AS subject, CASE WHEN failed > 0 THEN 'FAIL' ELSE 'PASS' END AS outcome, CAST(rows AS BIGINT) AS rows,
+CAST(rows - failed AS BIGINT) AS passed, CAST(failed AS BIGINT) AS failed, 0 AS not_checked, (SELECT string_agg(line, ' | ' ORDER BY line) FROM e) AS evidence FROM c""")
+def _(spark, folder):
+    return checks.key_unique(table(spark, folder, "lineitem"), ("l_orderkey", "l_linenumber"))
+
+
+@query("check_key_complete", SALES_SQL + _check("key.complete", "o_orderkey, status", "count(*) FILTER (WHERE status IS NULL)", "0", "src"))
+def _(spark, folder):
+    return _brief(checks.key_complete(sales(spark, folder).source, ("o_orderkey", "status")))
+
+
+_UNDATED = "count(*) FILTER (WHERE odate IS NULL)"
+
+
+@query("check_dates", SALES_SQL + " UNION ALL ".join((
+    _check("date.present", "odate", _UNDATED, "0", "src"),
+    _check("date.in_window", "odate", "count(*) FILTER (WHERE odate < DATE '1996-01-01' OR odate >= DATE '2000-07-01')", _UNDATED, "src"),
+    _check("date.not_future", "odate", "count(*) FILTER (WHERE CAST(odate AS DATE) > DATE '2000-12-31')", _UNDATED, "src"))))
+def _(spark, folder):
+    scope = sales(spark, folder)
+    return _brief(checks.dates(scope.source, scope.contract, F.lit("2000-12-31").cast("date")))
+
+
+@query("check_row_count", """SELECT 'table.row_count' AS check_id, 'orders' AS subject, 'FAIL' AS outcome, count(*) AS rows, count(*) AS passed, 100 AS failed, 0 AS not_checked FROM orders""")
+def _(spark, folder):
+    o = table(spark, folder, "orders")
+    contract = DatasetContract(dataset="orders", grain="one order", binding=Binding(columns_of(o.schema), o.count() + 100))
+    return _brief(checks.row_count(o, contract))
+
+
+_ORPHAN_SQL = """WITH p AS (SELECT CASE WHEN o_totalprice > 480000 THEN NULL ELSE o_orderkey END AS k FROM orders WHERE o_totalprice >= 20000),
+c AS (SELECT CASE WHEN l_quantity = 50 THEN NULL ELSE l_orderkey END AS k FROM lineitem)
+"""
+_ORPHANS = "count(*) FILTER (WHERE k IS NOT NULL AND k NOT IN (SELECT k FROM p WHERE k IS NOT NULL))"
+
+
+@query("fk_orphans", _ORPHAN_SQL + _check("reference.integrity[0]", "k -> orders", _ORPHANS, "count(*) FILTER (WHERE k IS NULL)", "c"))
+def _(spark, folder):
+    parent = table(spark, folder, "orders").where("o_totalprice >= 20000").select(F.when(F.col("o_totalprice") <= 480000, F.col("o_orderkey")).alias("k"))
+    child = table(spark, folder, "lineitem").select(F.when(F.col("l_quantity") != 50, F.col("l_orderkey")).alias("k"))
+    return _brief(checks.reference(child, parent, ("k",), ("k",), 0, "orders"))
+
+
+@query("check_domain", SALES_SQL + """SELECT 'value.domain[status]' AS check_id, 'status' AS subject, CASE WHEN count(*) FILTER (WHERE status NOT IN ('O')) > 0 THEN 'FAIL' ELSE 'PASS' END AS outcome,
+count(*) AS rows, count(*) FILTER (WHERE status IN ('O')) AS passed, count(*) FILTER (WHERE status NOT IN ('O')) AS failed, count(*) FILTER (WHERE status IS NULL) AS not_checked,
+'F x' || count(*) FILTER (WHERE status = 'F') AS evidence FROM src""")
+def _(spark, folder):
+    return checks.domain(sales(spark, folder).source, "status", ("O",))
+
+
+@query("check_expectation", SALES_SQL + _check("rule[price > 25000]", "price > 25000", "count(*) FILTER (WHERE NOT (price > 25000))", "count(*) FILTER (WHERE price IS NULL)", "src"))
+def _(spark, folder):
+    return _brief(checks.expectation(sales(spark, folder).source, "price > 25000", ("o_orderkey",)))
+
+
+_LINE_CONTRACT = DatasetContract(
+    dataset="lines", grain="one line", key=("l_orderkey", "l_linenumber"), date_column="l_shipdate", window=Window(date(1995, 6, 1), date(2001, 6, 30)),
+    measures=(Measure("l_quantity", "sum"),), dimensions=("l_returnflag",), domains=(Domain("l_returnflag", ("A", "R")),),
+    foreign_keys=(ForeignKey(("l_orderkey",), "orders", ("o_orderkey",)), ForeignKey(("l_partkey",), "missing", ("p_partkey",))),
+    expectations=(Rule("l_discount <= 0.08", "no deep discounts"),))
+
+
+@query("validation_report", """WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
+""" + " UNION ALL ".join((
+    _check("key.unique", "l_orderkey, l_linenumber", "(SELECT CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) FROM g)", "0", "lineitem"),
+    _check("key.complete", "l_orderkey, l_linenumber", "0", "0", "lineitem"), _check("date.present", "l_shipdate", "0", "0", "lineitem"),
+    _check("date.in_window", "l_shipdate", "count(*) FILTER (WHERE l_shipdate < DATE '1995-06-01' OR l_shipdate >= DATE '2001-07-01')", "0", "lineitem"),
+    _check("date.not_future", "l_shipdate", "count(*) FILTER (WHERE l_shipdate > DATE '2001-10-01')", "0", "lineitem"),
+    _check("reference.integrity[0]", "l_orderkey -> orders", "0", "0", "lineitem"),
+    "SELECT 'reference.integrity[1]', 'l_partkey -> missing', 'NOT RUN', count(*), 0, 0, count(*) FROM lineitem",
+    _check("value.domain[l_returnflag]", "l_returnflag", "count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'R'))", "0", "lineitem"),
+    _check("rule[l_discount <= 0.08]", "l_discount <= 0.08", "count(*) FILTER (WHERE NOT l_discount <= 0.08)", "0", "lineitem"))))
+def _(spark, folder):
+    return _brief(checks.validate(table(spark, folder, "lineitem"), _LINE_CONTRACT, {"orders": table(spark, folder, "orders")}, F.lit("2001-10-01").cast("date")))
+
+
+@query("validation_headline", "SELECT 4 AS passed, 3 AS failed, 1 AS not_run FROM lineitem HAVING count(*) > 0")
+def _(spark, folder):
+    results = checks.validate(table(spark, folder, "lineitem"), replace(_LINE_CONTRACT, window=None), {"orders": table(spark, folder, "orders")}, F.lit("2002-10-01").cast("date"))
+    return checks.headline(results)
+
+
+def _space(spark, folder) -> Workspace:
+    """Orders under a contract whose second version adds a dimension; customers under none."""
+    space = Workspace(spark, shared_folder(spark, "space"))
+    space.register("sales", table(spark, folder, "orders").selectExpr(*SALES), at=datetime(2024, 1, 1))
+    space.register("customers", table(spark, folder, "customer"), at=datetime(2024, 1, 1))
+    first = DatasetContract(dataset="sales", grain="one order", key=("o_orderkey",), date_column="odate", measures=(Measure("price", "sum", "order value"),),
+                            dimensions=("status",), caveats=("undated orders are the largest",))
+    space.confirm(first, at=datetime(2024, 1, 2))
+    space.confirm(first, at=datetime(2024, 1, 3))
+    space.confirm(replace(first, dimensions=("status", "priority")), at=datetime(2024, 1, 4))
+    return space
+
+
+@query("contract_history", """SELECT 1 AS version, '' AS changed, count(*) AS row_count, '2024-01-02 00:00:00' AS valid_from, '2024-01-04 00:00:00' AS valid_to, false AS is_current FROM orders
+UNION ALL SELECT 2, 'dimensions', count(*), '2024-01-04 00:00:00', NULL, true FROM orders""")
+def _(spark, folder):
+    return _space(spark, folder).contract_history("sales").select("version", "changed", "row_count", "valid_from", "valid_to", "is_current")
+
+
+@query("gate_status", """SELECT 'sales' AS dataset, true AS has_contract, 'IDENTICAL' AS drift, count(*) = count(DISTINCT o_orderkey) AS key_holds, count(*) - count(DISTINCT o_orderkey) AS repeats,
+CAST(NULL AS BIGINT) AS copies, count(*) = count(DISTINCT o_orderkey) AS is_open FROM orders""")
+def _(spark, folder):
+    return gate.gate_status(_space(spark, folder), "sales")
+
+
+@query("workflow_state", """SELECT 'customers' AS dataset, count(*) AS row_count, false AS has_contract, CAST(NULL AS VARCHAR) AS drift, false AS is_open, 'draft a contract' AS next_step FROM customer
+UNION ALL SELECT 'sales', count(*), true, 'IDENTICAL', true, 'analyse' FROM orders""")
+def _(spark, folder):
+    return gate.workflow_state(_space(spark, folder))
+
+
+_RUNS_SQL = """SELECT 'top_n' AS name, 'top_n(dimension=''status'', measure=''price'')' AS call, 2 AS contract_version, count(*) AS rows_analysed FROM orders
+UNION ALL SELECT 'trend', 'trend(grain=''year'', measure=''price'')', 2, count(*) FROM orders"""
+
+
+@query("analysis_runs", _RUNS_SQL)
+def _(spark, folder):
+    space = _space(spark, folder)
+    gate.analyse(space, "sales", "top_n", at=datetime(2024, 1, 5), dimension="status", measure="price")
+    gate.analyse(space, "sales", "trend", at=datetime(2024, 1, 6), measure="price", grain="year")
+    return space.log("analyses").select("name", "call", "contract_version", "rows_analysed")
+
+
+@query("profile_runs", "SELECT count(*) AS rows_was, count(*) FILTER (WHERE o_totalprice >= 100000) AS rows_now, false AS changed FROM orders")
+def _(spark, folder):
+    space = _space(spark, folder)
+    report.record_profile(space, "sales", at=datetime(2024, 1, 5))
+    space.register("sales", space.read("sales").where("gross >= 100000"))
+    return report.profile_drift(space, "sales")
+
+
+@query("validation_drift", """SELECT 'rule[gross > 200000]' AS check_id, (SELECT count(*) FROM orders WHERE NOT o_totalprice > 200000) AS before,
+(SELECT count(*) FROM orders WHERE o_totalprice >= 100000 AND NOT o_totalprice > 200000) AS now FROM orders HAVING count(*) > 0""")
+def _(spark, folder):
+    space = _space(spark, folder)
+    contract = DatasetContract(dataset="sales", grain="one order", expectations=(Rule("gross > 200000"),))
+    checks.record(space, "sales", checks.validate(space.read("sales"), contract), at=datetime(2024, 1, 5))
+    space.register("sales", space.read("sales").where("gross >= 100000"))
+    checks.record(space, "sales", checks.validate(space.read("sales"), contract), at=datetime(2024, 1, 6))
+    return checks.run_drift(space, "sales")
+
+
+@query("report_sections", """WITH n AS (SELECT count(*) AS n FROM orders)
+SELECT 'The question asked' AS section, 1 AS line_no, 'Who buys?' AS text FROM n UNION ALL SELECT 'Dataset and grain', 1, 'version 2 - one order' FROM n
+UNION ALL SELECT 'Data quality', 1, n || ' rows, 9 columns' FROM n UNION ALL SELECT 'Cleaning ledger', 0, '(nothing recorded)' FROM n
+UNION ALL SELECT 'Validation results', 1, 'key.complete PASS 0 failed' FROM n UNION ALL SELECT 'Validation results', 2, 'key.unique PASS 0 failed' FROM n
+UNION ALL SELECT 'Findings', 1, 'top_n: 3 row(s); ' || n || ' of ' || n || ' rows analysed' FROM n
+UNION ALL SELECT 'Method notes', 1, n || ' rows analysed under contract version 2' FROM n
+UNION ALL SELECT 'Caveats and exclusions', 1, '["undated orders are the largest"]' FROM n
+UNION ALL SELECT 'Reproduction appendix', 1, 'top_n(dimension=''status'', measure=''price'')' FROM n""")
+def _(spark, folder):
+    space = _space(spark, folder)
+    report.record_profile(space, "sales", at=datetime(2024, 1, 5))
+    contract = DatasetContract(dataset="sales", grain="one order", key=("o_orderkey",))
+    checks.record(space, "sales", checks.validate(space.read("sales"), contract), at=datetime(2024, 1, 5))
+    gate.analyse(space, "sales", "top_n", at=datetime(2024, 1, 6), dimension="status", measure="price")
+    return report.report_sections(space, "sales", "Who buys?")
+
+
+_SERIES = SALES_SQL + """, p AS (SELECT status AS x, sum(price) AS total FROM s GROUP BY status)
+"""
+
+
+@query("chart_series", _SERIES + f"SELECT 'total' AS series, x, {r6('total', 'y')} FROM p UNION ALL SELECT 'share', x, {r6('total / (SELECT sum(total) FROM p)', 'y')} FROM p")
+def _(spark, folder):
+    result = run(sales(spark, folder), "group_compare", dimension="status", measure="price")
+    return report.chart_series(result, x="member", y=["total", "share"])
+
+
+@query("chart_facts", SALES_SQL + f""", m AS (SELECT strftime(CAST(unnest(generate_series(DATE '1996-01-01', DATE '2000-06-01', INTERVAL 1 MONTH)) AS DATE), '%Y-%m') AS x),
+v AS (SELECT strftime(odate, '%Y-%m') AS x, CAST(sum(price) AS DOUBLE) AS y FROM s GROUP BY 1), j AS (SELECT m.x, v.y FROM m LEFT JOIN v USING (x))
+SELECT 'value' AS series, count(y) AS points, count(*) FILTER (WHERE y IS NULL) AS empty, {r6('min(y)', 'lowest')}, {r6('max(y)', 'highest')}, {r6('arg_min(y, x)', 'first')}, {r6('arg_max(y, x)', 'last')} FROM j""")
+def _(spark, folder):
+    return report.series_facts(report.chart_series(run(sales(spark, folder), "trend", measure="price")))

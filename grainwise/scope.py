@@ -34,7 +34,7 @@ def rule_column(df: DataFrame, rule: str) -> Column:
     if not isinstance(kind, T.BooleanType):
         raise ParamsInvalid(f"the rule {rule!r} is {kind.simpleString()}, not boolean")
     plan = read._jdf.queryExecution().analyzed()
-    if plan.expressions().mkString(" ").find("subquery") >= 0:
+    if plan.subqueriesAll().size():
         raise ParamsInvalid(f"the rule {rule!r} holds a subquery")
     if "aggregate" in plan.nodeName().lower():
         raise ParamsInvalid(f"the rule {rule!r} aggregates; a rule judges one row")

@@ -67,7 +67,7 @@ def main(argv):
     from grainwise.session import local_session
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con, bad = connect(folder), 0
     catalogue = load()
     names = [n for n in catalogue if not argv or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in argv)]
