@@ -18,7 +18,7 @@ from grainwise.contract import columns_of, fingerprint, is_floating
 from grainwise.functions import readings
 from grainwise.functions.exprs import count_where, finite, matches, quoted
 from grainwise.profiling.evidence import hashable
-from grainwise.profiling.table import cell_counts, duplicate_rows, row_key, text_columns
+from grainwise.profiling.table import TextCells, duplicate_rows, row_key, text_columns
 
 #: The share of present values a reading must reach to be offered.
 ENOUGH = 0.9
@@ -95,9 +95,9 @@ def _judge(tokens):
     return judge
 
 
-def text_counts(df: DataFrame, tokens) -> DataFrame:
+def text_counts(df: DataFrame, tokens, cells: TextCells | None = None) -> DataFrame:
     """One row per text column with a count per flag."""
-    return cell_counts(df, text_columns(df), _judge(tokens), list(_FLAGS), lambda c: F.col(quoted(c)).isNotNull())
+    return (cells or TextCells(df, text_columns(df))).counts(_judge(tokens), list(_FLAGS))
 
 
 def _reaches(n: int, total: int) -> bool:
@@ -153,31 +153,28 @@ def date_order(k: dict) -> str:
     return "dates:month" if k["month_first"] and not k["day_first"] else "dates"
 
 
-def date_counts(df: DataFrame, orders: dict[str, str]) -> dict[str, dict]:
+def date_counts(cells: TextCells, orders: dict[str, str]) -> dict[str, dict]:
     """Values each candidate column's written dates read, and whether any has a time: one pass."""
     if not orders:
         return {}
-    cells = [F.when(F.col(quoted(c)).isNotNull(), F.struct(F.lit(c).alias("column"), F.lit(o).alias("order"),
-                                                           F.col(quoted(c)).alias("value"))) for c, o in orders.items()]
-    opened = df.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
+    names = {o: [c for c, x in orders.items() if x == o] for o in sorted(set(orders.values()))}
     at = F.lit(None).cast("timestamp")
-    for o in sorted(set(orders.values())):
-        at = F.when(F.col("order") == o, act.converted(F.col("value"), "TIMESTAMP", o)).otherwise(at)
-    read = opened.withColumn("__at", at)
-    rows = read.groupBy("column").agg(F.count("__at").alias("read"),
-                                      count_where(F.col("__at") != F.date_trunc("day", "__at")).alias("timed")).collect()
+    for o, columns in names.items():
+        at = F.when(F.col("column").isin(columns), act.converted(F.col("value"), "TIMESTAMP", o)).otherwise(at)
+    read = cells.values(list(orders)).withColumn("__at", at)
+    n = F.col("n")
+    rows = read.groupBy("column").agg(
+        F.sum(F.when(F.col("__at").isNotNull(), n).otherwise(0)).alias("read"),
+        F.sum(F.when(F.col("__at") != F.date_trunc("day", "__at"), n).otherwise(0)).alias("timed")).collect()
     return {r["column"]: r.asDict() for r in rows}
 
 
-def merged_spellings(df: DataFrame, columns: list[str]) -> dict[str, int]:
+def merged_spellings(cells: TextCells, columns: list[str]) -> dict[str, int]:
     """Distinct values each column would lose to one case. Values travel as hashes."""
     if not columns:
         return {}
-    cells = []
-    for c in columns:
-        v = F.col(quoted(c))
-        cells.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("column"), F.xxhash64(v).alias("h"), F.xxhash64(F.upper(v)).alias("u"))))
-    seen = df.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*").distinct()
+    v = F.col("value")
+    seen = cells.values(columns).select("column", F.xxhash64(v).alias("h"), F.xxhash64(F.upper(v)).alias("u")).distinct()
     folded = seen.groupBy("column", "u").agg((F.count(F.lit(1)) - 1).alias("extra"))
     rows = folded.groupBy("column").agg(F.sum("extra").alias("merged")).collect()
     return {r["column"]: r["merged"] for r in rows}
@@ -198,15 +195,16 @@ def detect(df: DataFrame, dataset: str = "table", tokens=act.DEFAULT_MISSING) ->
     if sides["header"]:
         found.append(Action("", act.DROP_HEADER_ROWS, rows_affected=sides["header"]))
 
-    counts = {r["column"]: r.asDict() for r in text_counts(df, tokens).collect()} if text_columns(df) else {}
+    cells = TextCells(df, text_columns(df))
+    counts = {r["column"]: r.asDict() for r in text_counts(df, tokens, cells).collect()}
     plain = {c: proposed_type(k) for c, k in counts.items()}
     numbers = {c: number_readings(k) if plain[c] is None else None for c, k in counts.items()}
     may_be_dates = {
         c: date_order(k) for c, k in counts.items()
         if (plain[c] in ("DATE", "TIMESTAMP") or (plain[c] is None and numbers[c] is None))
         and k["present"] and not _reaches(k["digits"], k["present"])}
-    dated = date_counts(df, may_be_dates)
-    merged = merged_spellings(df, [c for c, k in counts.items() if k["cased"]])
+    dated = date_counts(cells, may_be_dates)
+    merged = merged_spellings(cells, [c for c, k in counts.items() if k["cased"]])
 
     for c, k in counts.items():
         conversions: list[tuple[str, str]] = []
@@ -234,7 +232,7 @@ def detect(df: DataFrame, dataset: str = "table", tokens=act.DEFAULT_MISSING) ->
         if sides[f"f{i}"]:
             found.append(Action("", act.NULL_NON_FINITE, c, rows_affected=sides[f"f{i}"], values_lost=sides[f"f{i}"], sample=("…",)))
     numbered = [replace(a, action_id=f"C{i:03d}") for i, a in enumerate(found, start=1)]
-    return Plan(dataset, fingerprint(columns_of(df.schema)), copies["rows"], tuple(_with_losses(df, numbered, tokens)))
+    return Plan(dataset, fingerprint(columns_of(df.schema)), copies["rows"], tuple(_with_losses(df, cells, numbered, tokens)))
 
 
 def _repeated_rows(df: DataFrame) -> list[str]:
@@ -247,26 +245,37 @@ def _repeated_rows(df: DataFrame) -> list[str]:
     return sorted(r[0] for r in shown.select(text).collect())
 
 
-def _with_losses(df: DataFrame, found: list[Action], tokens) -> list[Action]:
+def _with_losses(df: DataFrame, cells: TextCells, found: list[Action], tokens) -> list[Action]:
     """Count every conversion's losses in one pass, then show the first lost values of each."""
     converts = [a for a in found if a.kind == act.CONVERT_TYPE]
     counted = {}
+    v = F.col("value")
     if converts:
-        row = df.agg(*[count_where(act.lost(F.col(quoted(a.column)), a.to_type, a.reading, tokens)).alias(a.action_id)
-                       for a in converts]).first()
-        counted = row.asDict()
+        # A column with two readings is opened once per reading; equal readings share a branch.
+        values = cells.values(list(dict.fromkeys(a.column for a in converts)))
+        groups: dict[tuple, list[Action]] = {}
+        for a in converts:
+            groups.setdefault((a.to_type, a.reading), []).append(a)
+        tests = [(a.action_id, F.when(F.col("column").isin([x.column for x in same]), act.lost(v, t, r, tokens)))
+                 for (t, r), same in groups.items() for a in same[:1]]
+        ids = {tests[i][0]: same for i, same in enumerate(groups.values())}
+        judged = values.select("column", "n", *[F.coalesce(t, F.lit(False)).alias(k) for k, t in tests])
+        sums = judged.groupBy("column").agg(*[F.sum(F.when(F.col(k), F.col("n")).otherwise(0)).alias(k) for k in ids]).collect()
+        by_column = {r["column"]: r for r in sums}
+        for k, same in ids.items():
+            for a in same:
+                counted[a.action_id] = by_column[a.column][k] if a.column in by_column else 0
     shown: dict[str, tuple[str, ...]] = {}
     samples = []
     for a in found:
-        c = F.col(quoted(a.column)) if a.column else None
         if a.kind == act.CONVERT_TYPE and counted[a.action_id]:
-            bad = df.where(act.lost(c, a.to_type, a.reading, tokens)).select(c.alias("value"))
+            bad = cells.values([a.column]).where(act.lost(v, a.to_type, a.reading, tokens)).select("value")
         elif a.kind == act.NULL_NON_FINITE:
+            c = F.col(quoted(a.column))
             bad = df.where(c.isNotNull() & ~finite(df, a.column)).select(c.cast("string").alias("value"))
         elif a.kind == act.NORMALISE_CASE:
-            spread = df.where(c.isNotNull()).select(c.alias("value")).distinct()
-            twice = spread.groupBy(F.upper("value").alias("u")).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi")
-            bad = twice.select(F.explode(F.array("lo", "hi")).alias("value"))
+            folded = cells.values([a.column]).groupBy(F.upper("value").alias("u")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+            bad = folded.where("lo <> hi").select(F.explode(F.array("lo", "hi")).alias("value"))
         else:
             continue
         samples.append(bad.distinct().orderBy("value").limit(act.SAMPLE).select(F.lit(a.action_id).alias("id"), "value"))

@@ -9,6 +9,7 @@ from grainwise.cleaning import detect
 from grainwise.cleaning.actions import Action, perform
 from grainwise.cleaning.apply import apply, safe_actions
 from grainwise.plans.base import DIRTY_SQL, REPEATED_SQL, dirty, query, r6, repeated, table
+from grainwise.profiling.table import TextCells
 from grainwise.session import shared_folder
 from grainwise.store import Workspace
 
@@ -92,7 +93,7 @@ def _(spark, folder):
 @query("clean_case", DIRTY_SQL + """SELECT upper(priority) AS priority, count(*) AS rows, (SELECT count(DISTINCT priority) - count(DISTINCT upper(priority)) FROM d) AS merged FROM d GROUP BY 1""")
 def _(spark, folder):
     df = dirty(spark, folder)
-    merged = detect.merged_spellings(df, ["priority"])["priority"]
+    merged = detect.merged_spellings(TextCells(df, ["priority"]), ["priority"])["priority"]
     done = perform(df, Action("C001", act.NORMALISE_CASE, "priority", reading="upper"))
     return done.groupBy("priority").agg(F.count(F.lit(1)).alias("rows"), F.max(F.lit(merged)).alias("merged"))
 

@@ -10,7 +10,7 @@ from grainwise.functions import readings
 from grainwise.functions.exprs import count_where, finite, finite_value, matches, quoted, ratio
 from grainwise.functions.ranks import quantiles
 from grainwise.profiling.evidence import column_evidence, hashable, with_roles
-from grainwise.session import small_rows, spread
+from grainwise.session import cut, small_rows, spread
 
 # Texts that mean a missing value, compared without case.
 MISSING_TOKENS = (
@@ -61,36 +61,50 @@ def melted(df: DataFrame, columns: list[str], value=None) -> DataFrame:
 REPEATING = 0.1
 
 
-def cell_counts(df: DataFrame, columns: list[str], judge, flags: list[str], keep) -> DataFrame:
-    """column and one count per flag over the kept values of several text columns.
+class TextCells:
+    """The values of text columns as (column, value, n) rows, folded where values repeat.
 
-    Values are opened into (column, value) rows and `judge` adds the flags in one projection, so a
-    wide table compiles the same code as a narrow one. A column whose values repeat is folded to
-    its distinct values first, each weighted by its rows; a column of mostly distinct texts is
-    judged where its rows are, because moving whole texts would cost more than judging them.
+    A column whose values repeat is folded to its distinct values, weighted by their rows and
+    written once. A column of mostly distinct texts is read where its rows are, because moving
+    whole texts would cost more than judging them again.
     """
-    if not columns:
-        return df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"{k} bigint" for k in flags))
-    sizes = df.agg(*[F.struct(F.approx_count_distinct(quoted(c)), F.count(quoted(c))).alias(f"c{i}")
-                     for i, c in enumerate(columns)]).first()
-    folded = [c for i, c in enumerate(columns) if sizes[i][0] <= REPEATING * sizes[i][1]]
-    direct = [c for c in columns if c not in folded]
-
-    def opened(named, rows):
-        cells = [F.when(keep(c), F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("value"))) for c in named]
-        return rows.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
 
-    parts = []
-    if folded:
-        parts.append(opened(folded, df).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    if direct:
-        parts.append(opened(direct, spread(df)).withColumn("n", F.lit(1).cast("long")))
-    values = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    counted = judge(values).groupBy("column").agg(
-        *[F.sum(F.when(F.col(k), F.col("n")).otherwise(0)).alias(k) for k in flags])
-    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
-    return every.join(counted, "column", "left").select(
-        "column", *[F.coalesce(k, F.lit(0)).alias(k) for k in flags])
+    def __init__(self, df: DataFrame, columns: list[str]):
+        self.df = df
+        self.columns = columns
+        self.folded: list[str] = []
+        self._small = None
+        if not columns:
+            return
+        sizes = df.agg(*[F.struct(F.approx_count_distinct(quoted(c)), F.count(quoted(c))).alias(f"c{i}")
+                         for i, c in enumerate(columns)]).first()
+        self.folded = [c for i, c in enumerate(columns) if sizes[i][0] <= REPEATING * sizes[i][1]]
+        if self.folded:
+            self._small = cut(melted(df, self.folded).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+
+    def values(self, columns: list[str] | None = None) -> DataFrame:
+        """column, value, n of the named columns, NULLs left out."""
+        wanted = self.columns if columns is None else columns
+        parts = []
+        small = [c for c in wanted if c in self.folded]
+        direct = [c for c in wanted if c not in self.folded]
+        if small:
+            parts.append(self._small.where(F.col("column").isin(small)))
+        if direct:
+            parts.append(melted(spread(self.df.select(*[quoted(c) for c in direct])), direct).withColumn("n", F.lit(1).cast("long")))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def counts(self, judge, flags: list[str], keep: Column | None = None) -> DataFrame:
+        """column and one count per flag. `judge` adds the flags to the values in one projection,
+        so a wide table compiles the same code as a narrow one."""
+        if not self.columns:
+            return self.df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"{k} bigint" for k in flags))
+        values = self.values() if keep is None else self.values().where(keep)
+        counted = judge(values).groupBy("column").agg(
+            *[F.sum(F.when(F.col(k), F.col("n")).otherwise(0)).alias(k) for k in flags])
+        names = F.explode(F.array(*[F.lit(c) for c in self.columns])).alias("column")
+        every = self.df.sparkSession.range(1).select(names)
+        return every.join(counted, "column", "left").select("column", *[F.coalesce(k, F.lit(0)).alias(k) for k in flags])
 
 
 def numeric_profile(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -174,7 +188,7 @@ def type_reading(df: DataFrame, tokens=MISSING_TOKENS) -> DataFrame:
     """
     columns = text_columns(df)
     flags = [*[k.lower() for k in TYPE_ORDER], "considered", "leading_zeros", "currency"]
-    counts = cell_counts(df, columns, _read_cells, flags, lambda c: considered(c, tokens))
+    counts = TextCells(df, columns).counts(_read_cells, flags, considered("value", tokens))
     top = F.greatest(*[F.col(k.lower()) for k in TYPE_ORDER])
     best = F.lit(None).cast("string")
     for k in reversed(TYPE_ORDER):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,20 +39,14 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` to the cluster's shared folder, so a lost executor re-reads files.
+    """`df` written once as a table in the shared folder, and read back from there.
 
-    The folder is `spark.checkpoint.dir`. Only a local session without one gets a temporary one.
+    The lineage ends at files every executor can reach, so a lost executor costs a re-read; the
+    work before the cut runs once however often the result is read.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="grainwise-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -67,12 +62,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wide)
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder every executor can reach, under `spark.checkpoint.dir` where that is set."""
-    import uuid
+    """A new folder every executor can reach, under `spark.checkpoint.dir` where that is set.
+
+    Only a local session without that setting gets a temporary folder of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="grainwise-")
+        app = spark.sparkContext.applicationId
+        root = _SCRATCH.setdefault(app, "") or tempfile.mkdtemp(prefix="grainwise-")
+        _SCRATCH[app] = root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
