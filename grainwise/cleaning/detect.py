@@ -26,7 +26,7 @@ ENOUGH = 0.9
 _FLAGS = ("present", "padded", "truth", "odd_truth", "number", "whole", "fraction", "off_cents", "moment", "timed",
           "two_digit", "marked", "currency", "currency_off", "percent", "percent_fraction", "percent_off", "us", "eu",
           "only_us", "only_eu", "us_fraction", "us_off", "eu_fraction", "eu_off", "digits", "day_first", "month_first",
-          "token", "spaced", "cased")
+          "token", "spaced", "cased", "lost_truth", "lost_number", "lost_moment", "lost_currency", "lost_percent", "lost_us", "lost_eu")
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def _judge(tokens):
             return n.isNotNull() & ~F.coalesce(n.try_cast("decimal(18,2)").cast("double") == n, F.lit(False))
 
         w = F.col("__w")
-        return third.withColumns({
+        return third.withColumn("__keep", ~act.is_token(v, tokens)).withColumns({
             "present": F.lit(True), "padded": v.rlike(readings.LEADING_ZERO), "truth": readings.truth(v).isNotNull(),
             "odd_truth": ~F.upper(w).isin("TRUE", "FALSE"), "number": d.isNotNull(),
             "whole": (d == F.floor(d)) & (F.abs(d) < F.lit(9.2e18)), "fraction": fraction("__d"), "off_cents": off_cents("__d"),
@@ -91,7 +91,12 @@ def _judge(tokens):
             "only_us": F.col("us") & ~F.col("eu"), "only_eu": F.col("eu") & ~F.col("us"),
             "us_fraction": fraction("__un"), "us_off": off_cents("__un"), "eu_fraction": fraction("__en"), "eu_off": off_cents("__en"),
             "digits": matches(w, r"\d+"), "day_first": part(1) > 12, "month_first": part(2) > 12,
-            "token": act.is_token(v, tokens), "spaced": v != w, "cased": v != F.upper(v)})
+            "token": act.is_token(v, tokens), "spaced": v != w, "cased": v != F.upper(v),
+        }).withColumns({f"lost_{k}": F.coalesce(F.col("__keep") & ~F.coalesce(read, F.lit(False)), F.lit(False)) for k, read in {
+            "truth": F.col("truth") & ~F.col("odd_truth"), "number": F.col("number") & ~F.col("padded"),
+            "moment": F.col("moment") | matches(w, readings.ZERO_DATE), "currency": F.col("currency"),
+            "percent": F.col("__pn").isNotNull() & ~F.col("padded"), "us": F.col("__un").isNotNull() & ~F.col("padded"),
+            "eu": F.col("__en").isNotNull() & ~F.col("padded")}.items()})
     return judge
 
 
@@ -100,6 +105,12 @@ def text_counts(df: DataFrame, tokens, cells: TextCells | None = None) -> DataFr
     return (cells or TextCells(df, text_columns(df))).counts(_judge(tokens), list(_FLAGS))
 
 
+# Which count holds the losses of a reading, or of a plain cast to a type.
+_LOSS = {"percent": "lost_percent", "us": "lost_us", "eu": "lost_eu", "currency": "lost_currency",
+         "BOOLEAN": "lost_truth", "BIGINT": "lost_number", "DOUBLE": "lost_number", "DECIMAL(18,2)": "lost_number",
+         "DATE": "lost_moment", "TIMESTAMP": "lost_moment"}
+
+
 def _reaches(n: int, total: int) -> bool:
     return total > 0 and n / total >= ENOUGH
 
@@ -153,8 +164,8 @@ def date_order(k: dict) -> str:
     return "dates:month" if k["month_first"] and not k["day_first"] else "dates"
 
 
-def date_counts(cells: TextCells, orders: dict[str, str]) -> dict[str, dict]:
-    """Values each candidate column's written dates read, and whether any has a time: one pass."""
+def date_counts(cells: TextCells, orders: dict[str, str], tokens) -> dict[str, dict]:
+    """Values each candidate column's written dates read, have a time, or would lose: one pass."""
     if not orders:
         return {}
     names = {o: [c for c, x in orders.items() if x == o] for o in sorted(set(orders.values()))}
@@ -163,7 +174,9 @@ def date_counts(cells: TextCells, orders: dict[str, str]) -> dict[str, dict]:
         at = F.when(F.col("column").isin(columns), act.converted(F.col("value"), "TIMESTAMP", o)).otherwise(at)
     read = cells.values(list(orders)).withColumn("__at", at)
     n = F.col("n")
+    gone = F.col("__at").isNull() & ~matches(F.trim("value"), readings.ZERO_DATE) & ~act.is_token(F.col("value"), tokens)
     rows = read.groupBy("column").agg(
+        F.sum(F.when(gone, n).otherwise(0)).alias("lost"),
         F.sum(F.when(F.col("__at").isNotNull(), n).otherwise(0)).alias("read"),
         F.sum(F.when(F.col("__at") != F.date_trunc("day", "__at"), n).otherwise(0)).alias("timed")).collect()
     return {r["column"]: r.asDict() for r in rows}
@@ -203,7 +216,7 @@ def detect(df: DataFrame, dataset: str = "table", tokens=act.DEFAULT_MISSING) ->
         c: date_order(k) for c, k in counts.items()
         if (plain[c] in ("DATE", "TIMESTAMP") or (plain[c] is None and numbers[c] is None))
         and k["present"] and not _reaches(k["digits"], k["present"])}
-    dated = date_counts(cells, may_be_dates)
+    dated = date_counts(cells, may_be_dates, tokens)
     merged = merged_spellings(cells, [c for c, k in counts.items() if k["cased"]])
 
     for c, k in counts.items():
@@ -220,7 +233,10 @@ def detect(df: DataFrame, dataset: str = "table", tokens=act.DEFAULT_MISSING) ->
             conversions = numbers[c] if numbers[c] is not None else ([by_format] if by_format else [])
             if not conversions and k["marked"] and _reaches(k["currency"], k["present"]):
                 conversions = [("DOUBLE" if k["currency_off"] else "DECIMAL(18,2)", "currency")]
-        found += [Action("", act.CONVERT_TYPE, c, t, r, rows_affected=k["present"], tokens=tokens) for t, r in conversions]
+        for t, r in conversions:
+            n = d["lost"] if r.startswith("dates") else k[_LOSS.get(r) or _LOSS[t]]
+            found.append(Action("", act.CONVERT_TYPE, c, t, r, rows_affected=k["present"], values_lost=n,
+                                sample=("…",) if n else (), tokens=tokens))
         if tokens and k["token"]:
             found.append(Action("", act.NORMALISE_MISSING, c, rows_affected=k["token"], tokens=tokens))
         if k["spaced"]:
@@ -232,7 +248,7 @@ def detect(df: DataFrame, dataset: str = "table", tokens=act.DEFAULT_MISSING) ->
         if sides[f"f{i}"]:
             found.append(Action("", act.NULL_NON_FINITE, c, rows_affected=sides[f"f{i}"], values_lost=sides[f"f{i}"], sample=("…",)))
     numbered = [replace(a, action_id=f"C{i:03d}") for i, a in enumerate(found, start=1)]
-    return Plan(dataset, fingerprint(columns_of(df.schema)), copies["rows"], tuple(_with_losses(df, cells, numbered, tokens)))
+    return Plan(dataset, fingerprint(columns_of(df.schema)), copies["rows"], tuple(_with_samples(df, cells, numbered, tokens)))
 
 
 def _repeated_rows(df: DataFrame) -> list[str]:
@@ -245,30 +261,13 @@ def _repeated_rows(df: DataFrame) -> list[str]:
     return sorted(r[0] for r in shown.select(text).collect())
 
 
-def _with_losses(df: DataFrame, cells: TextCells, found: list[Action], tokens) -> list[Action]:
-    """Count every conversion's losses in one pass, then show the first lost values of each."""
-    converts = [a for a in found if a.kind == act.CONVERT_TYPE]
-    counted = {}
+def _with_samples(df: DataFrame, cells: TextCells, found: list[Action], tokens) -> list[Action]:
+    """Show the first lost values of every action that loses any: one job for all of them."""
     v = F.col("value")
-    if converts:
-        # A column with two readings is opened once per reading; equal readings share a branch.
-        values = cells.values(list(dict.fromkeys(a.column for a in converts)))
-        groups: dict[tuple, list[Action]] = {}
-        for a in converts:
-            groups.setdefault((a.to_type, a.reading), []).append(a)
-        tests = [(a.action_id, F.when(F.col("column").isin([x.column for x in same]), act.lost(v, t, r, tokens)))
-                 for (t, r), same in groups.items() for a in same[:1]]
-        ids = {tests[i][0]: same for i, same in enumerate(groups.values())}
-        judged = values.select("column", "n", *[F.coalesce(t, F.lit(False)).alias(k) for k, t in tests])
-        sums = judged.groupBy("column").agg(*[F.sum(F.when(F.col(k), F.col("n")).otherwise(0)).alias(k) for k in ids]).collect()
-        by_column = {r["column"]: r for r in sums}
-        for k, same in ids.items():
-            for a in same:
-                counted[a.action_id] = by_column[a.column][k] if a.column in by_column else 0
     shown: dict[str, tuple[str, ...]] = {}
     samples = []
     for a in found:
-        if a.kind == act.CONVERT_TYPE and counted[a.action_id]:
+        if a.kind == act.CONVERT_TYPE and a.values_lost:
             bad = cells.values([a.column]).where(act.lost(v, a.to_type, a.reading, tokens)).select("value")
         elif a.kind == act.NULL_NON_FINITE:
             c = F.col(quoted(a.column))
@@ -288,7 +287,7 @@ def _with_losses(df: DataFrame, cells: TextCells, found: list[Action], tokens) -
     out = []
     for a in found:
         if a.action_id in shown:
-            a = replace(a, values_lost=counted.get(a.action_id, a.values_lost), sample=tuple(sorted(shown[a.action_id])))
+            a = replace(a, sample=tuple(sorted(shown[a.action_id])))
         out.append(a)
     return out
 

@@ -17,12 +17,13 @@ _SLICE = "__slice"
 
 
 def running(df: DataFrame, order: list[tuple[str, bool]], amounts: dict[str, str],
-            by: tuple[str, ...] = ()) -> DataFrame:
+            by: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
     """For each (name, column) of `amounts` add `name`, the column's total over the rows that
     precede each row, and `name_whole`, its total over the row's group.
 
     `order` lists (column, descending); it must be unique within `by`, which holds for the
-    grouped frames the callers pass. NULLs come last.
+    grouped frames the callers pass. NULLs come last. `rows` is a counted bound on the input: under
+    the session's limit one sorted window does the work, and nothing is written.
     """
     def direction(column: str, down: bool) -> Column:
         c = F.col(quoted(column))
@@ -30,6 +31,12 @@ def running(df: DataFrame, order: list[tuple[str, bool]], amounts: dict[str, str
 
     keys = [F.col(quoted(b)) for b in by]
     sorts = [direction(c, down) for c, down in order]
+    everything = Window.partitionBy(*keys)
+    if rows is not None and rows <= small_rows(df.sparkSession):
+        upto = everything.orderBy(*sorts).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({
+            **{name: F.coalesce(F.sum(quoted(c)).over(upto), F.lit(0)) for name, c in amounts.items()},
+            **{f"{name}_whole": F.sum(quoted(c)).over(everything) for name, c in amounts.items()}})
     width = shuffle_width(df.sparkSession)
     ranged = df.repartitionByRange(width, *[k.asc_nulls_last() for k in keys], *sorts)
     # The range bounds are sampled, so the slices are written once and read back from there on.
@@ -40,7 +47,6 @@ def running(df: DataFrame, order: list[tuple[str, bool]], amounts: dict[str, str
     rows = held.withColumns({
         name: F.coalesce(F.sum(quoted(c)).over(inside), F.lit(0)) for name, c in amounts.items()})
 
-    everything = Window.partitionBy(*keys)
     earlier = everything.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     slices = held.groupBy(_SLICE, *keys).agg(
         *[F.sum(quoted(c)).alias(f"__held_{name}") for name, c in amounts.items()])
@@ -60,15 +66,15 @@ def running(df: DataFrame, order: list[tuple[str, bool]], amounts: dict[str, str
                        *[f"__by{i}" for i in range(len(by))])
 
 
-def positions(df: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
+def positions(df: DataFrame, order: list[tuple[str, bool]], rows: int | None = None) -> DataFrame:
     """Add `position` (from 1) and `position_whole`, the number of rows."""
-    placed = running(df.withColumn("__one", F.lit(1).cast("long")), order, {"position": "__one"})
+    placed = running(df.withColumn("__one", F.lit(1).cast("long")), order, {"position": "__one"}, rows=rows)
     return placed.withColumn("position", F.col("position") + 1).drop("__one")
 
 
-def midranks(values: DataFrame, value: str, n: str) -> DataFrame:
+def midranks(values: DataFrame, value: str, n: str, rows: int | None = None) -> DataFrame:
     """Average ranks of distinct `value`s that each stand for `n` rows, as column `midrank`."""
-    placed = running(values, [(value, False)], {"before": n})
+    placed = running(values, [(value, False)], {"before": n}, rows=rows)
     return placed.withColumn("midrank", F.col("before") + (F.col(n) + 1) / F.lit(2.0))
 
 

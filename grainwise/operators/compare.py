@@ -98,7 +98,7 @@ def _placed(scope: ScopedFrame, dimension: str, measure: str):
     amount = grouped.withColumns({"__amount": F.coalesce(F.col("value"), F.lit(0)),
                                   "__one": F.lit(1).cast("long")})
     placed = running(amount, [("value", True), ("member", False)],
-                     {"before": "__amount", "position": "__one"})
+                     {"before": "__amount", "position": "__one"}, rows=scope.analysed)
     counted = placed.withColumn("position", F.col("position") + 1)
     facts = counted.agg(F.max("before_whole").alias("whole"),
                         count_below_zero("value").alias("negative")).first()

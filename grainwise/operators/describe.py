@@ -45,47 +45,49 @@ def _append(out: DataFrame | None, more: DataFrame) -> DataFrame:
 
 
 def _statistics(scope: ScopedFrame, frame: DataFrame, measures) -> DataFrame:
+    """Measures that read one column share its statistics, so each is aggregated once."""
     big = scope.analysed > small_rows(frame.sparkSession)
-    aggregates, rows = [F.count(F.lit(1)).alias("rows")], []
+    nothing = F.lit(None).cast("double")
+    names = ("n", "total", "min", "max", "mean", "median", "stddev")
+    aggregates, rows, shared = [F.count(F.lit(1)).alias("rows")], [], {}
     for i, m in enumerate(measures):
-        nothing = F.lit(None).cast("double")
         if m.is_ratio:
             parts = [F.col(quoted(f"{m.name}__n")), F.col(quoted(f"{m.name}__d"))]
-            present = F.count(F.when(parts[0].isNotNull() & parts[1].isNotNull(), 1))
-            stats = [present, declared(frame, m), *[nothing] * 5]
+            stats = [F.count(F.when(parts[0].isNotNull() & parts[1].isNotNull(), 1)), *[nothing] * 5]
+            source = f"ratio {i}"
         else:
-            c = F.col(quoted(m.name))
-            number = is_number(type_of(frame, m.name))
-            v = finite_value(frame, m.name) if number else None
-            total = nothing if m.agg in (None, "none") or (big and m.agg == "median") else _finite_total(frame, m, number)
-            if number and m.agg is not None:
-                median = nothing if big else F.percentile(v, F.lit(0.5))
-                stats = [F.count(c), total, F.min(v), F.max(v), F.avg(v), median, F.stddev_samp(v)]
-            else:
-                stats = [F.count(c), total, *[nothing] * 5]
-        names = ("n", "total", "min", "max", "mean", "median", "stddev")
-        aggregates += [s.cast("long" if k == "n" else "double").alias(f"{k}_{i}")
-                       for k, s in zip(names, stats)]
+            source = m.name if m.compare else (m.column or m.name)
+            number = is_number(type_of(frame, m.name)) and m.agg is not None
+            v = finite_value(frame, m.name) if number else nothing
+            median = nothing if big or not number else F.percentile(v, F.lit(0.5))
+            stats = [F.count(F.col(quoted(m.name))), F.min(v), F.max(v), F.avg(v), median, F.stddev_samp(v)]
+        if source not in shared:
+            shared[source] = i
+            kept = [k for k in names if k != "total"]
+            aggregates += [s.cast("long" if k == "n" else "double").alias(f"{k}_{i}") for k, s in zip(kept, stats)]
+        at = shared[source]
+        # A mean or a median is already there; other totals are their own aggregate.
+        ready = {"mean": f"mean_{at}", "median": f"median_{at}"}.get(m.agg)
+        if ready is None:
+            bare = nothing if m.agg in (None, "none") and not m.is_ratio else declared(frame, m) if m.is_ratio else _finite_total(frame, m)
+            aggregates.append(bare.cast("double").alias(f"total_{i}"))
         rows.append(F.struct(
-            F.lit(m.name).alias("measure"), F.lit("ratio" if m.is_ratio else m.agg).alias("agg"),
-            F.col(f"n_{i}").alias("n"), (F.col("rows") - F.col(f"n_{i}")).alias("nulls"),
-            *[F.col(f"{k}_{i}").alias(k) for k in names[1:]]))
+            F.lit(m.name).alias("measure"), F.lit("ratio" if m.is_ratio else m.agg).alias("agg"), F.col(f"n_{at}").alias("n"),
+            (F.col("rows") - F.col(f"n_{at}")).alias("nulls"), F.col(ready or f"total_{i}").alias("total"),
+            *[F.col(f"{k}_{at}").alias(k) for k in names[2:]]))
     one = frame.agg(*aggregates)
     result = one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
     return _ranked_medians(result, frame, measures) if big else result
 
 
-def _finite_total(frame: DataFrame, m, number: bool):
-    if not number or m.agg in ("count", "count_distinct"):
-        return declared(frame, m) if (number or m.agg in ("count", "count_distinct")) else F.lit(None)
-    keep = finite(frame, m.name)
-    value = F.when(keep, F.col(quoted(m.name)))
-    narrowed = frame.select(value.alias(m.name))
-    plain = {"sum": lambda: F.sum(value.cast("decimal(38,0)") if is_whole(type_of(narrowed, m.name)) else value),
-             "mean": lambda: F.avg(value.cast("double")), "min": lambda: F.min(value),
-             "max": lambda: F.max(value),
-             "median": lambda: F.percentile(value.cast("double"), F.lit(0.5))}
-    return plain[m.agg]()
+def _finite_total(frame: DataFrame, m):
+    """A sum, extreme or count of a measure, over its finite values."""
+    if m.agg in ("count", "count_distinct") or not is_number(type_of(frame, m.name)):
+        return declared(frame, m)
+    value = F.when(finite(frame, m.name), F.col(quoted(m.name)))
+    if m.agg == "sum":
+        return F.sum(value.cast("decimal(38,0)") if is_whole(type_of(frame, m.name)) else value)
+    return {"min": F.min, "max": F.max}[m.agg](value)
 
 
 def _ranked_medians(result: DataFrame, frame: DataFrame, measures) -> DataFrame:

@@ -142,7 +142,7 @@ def rank_sums(scope: ScopedFrame, dimension: str, measure: str, members: list) -
         F.col(quoted(dimension)).alias("member"), finite_value(f, measure).alias("v"))
     per = [F.count_if(F.col("member") == F.lit(m)).alias(f"n{i}") for i, m in enumerate(members)]
     values = kept.groupBy("v").agg(F.count(F.lit(1)).alias("n"), *per)
-    placed = midranks(values, "v", "n")
+    placed = midranks(values, "v", "n", rows=scope.analysed)
     n = F.col("n").cast("double")
     row = placed.agg(
         F.sum(n).alias("n"), F.sum(n * n * n - n).alias("ties"),

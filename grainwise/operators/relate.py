@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainwise.errors import ParamsInvalid
@@ -37,6 +37,8 @@ def correlation(scope: ScopedFrame, measure: str, against: str) -> DataFrame:
     present = F.col("x").isNotNull() & F.col("y").isNotNull()
     linear = both.agg(F.count_if(present).alias("pairs"), F.count_if(~present).alias("dropped"),
                       safe_corr(F.col("x"), F.col("y")).alias("pearson"))
+    if scope.analysed <= small_rows(both.sparkSession):
+        return linear.select("pairs", "dropped", "pearson", _small_spearman(both.where(present)).scalar().alias("spearman"))
     counted = cut(both.where(present).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
     ranks = {}
     for side in ("x", "y"):
@@ -48,6 +50,16 @@ def correlation(scope: ScopedFrame, measure: str, against: str) -> DataFrame:
                          rank.select("spearman").scalar().alias("spearman"))
 
 
+def _small_spearman(complete: DataFrame) -> DataFrame:
+    """Average ranks by one sorted window a side, for a table counted to fit one task."""
+    ranked = complete.withColumn("n", F.lit(1).cast("long"))
+    for side in ("x", "y"):
+        order = Window.orderBy(side)
+        ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+        ranked = ranked.withColumn(f"r{side}", F.rank().over(order) + (ties - 1) / F.lit(2.0))
+    return ranked.agg(weighted_corr(F.col("rx"), F.col("ry"), F.col("n")).alias("spearman"))
+
+
 def correlation_gap(result: DataFrame) -> DataFrame:
     """The two coefficients and whether they differ by 0.1 or more."""
     gap = F.abs(F.col("pearson") - F.col("spearman"))
@@ -63,7 +75,7 @@ def bivariate(scope: ScopedFrame, measure: str, against: str, bins: int = 10) ->
     if isinstance(bins, bool) or not isinstance(bins, int) or not 2 <= bins <= 50:
         raise ParamsInvalid(f"bins must be a whole number from 2 to 50; got {bins!r}")
     both = pairs(scope, measure, against).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    edges = slice_edges(both.select("x").distinct(), bins)
+    edges = slice_edges(both.select("x").distinct(), bins, scope.analysed)
     if not edges:
         return both.select(F.lit(None).cast("int").alias("bin"), F.col("x").alias("lo"), F.col("x").alias("hi"),
                            F.lit(0).cast("long").alias("rows"), F.col("y").alias("mean"), F.col("y").alias("median")).limit(0)
@@ -82,10 +94,10 @@ def bivariate(scope: ScopedFrame, measure: str, against: str, bins: int = 10) ->
     return result.select("bin", "lo", "hi", "rows", "mean", "median")
 
 
-def slice_edges(distinct_values: DataFrame, bins: int) -> list[float]:
+def slice_edges(distinct_values: DataFrame, bins: int, rows: int | None = None) -> list[float]:
     """The lowest value of each of `bins` equal slices of distinct `x` values, at most `bins` rows."""
     placed = running(distinct_values.withColumn("__one", F.lit(1).cast("long")), [("x", False)],
-                     {"before": "__one"})
+                     {"before": "__one"}, rows=rows)
     size, extra = F.floor(F.col("before_whole") / bins), F.col("before_whole") % bins
     # The first `extra` slices hold one value more than the rest.
     fat = extra * (size + 1)
@@ -97,7 +109,6 @@ def slice_edges(distinct_values: DataFrame, bins: int) -> list[float]:
 
 def turns(result: DataFrame) -> DataFrame:
     """How often the slice means change direction."""
-    from pyspark.sql import Window
     order = Window.orderBy("bin")  # at most 50 slices
     steps = result.withColumn("step", F.signum(F.col("mean") - F.lag("mean").over(order)))
     moving = steps.where(F.col("step") != 0)

@@ -10,7 +10,7 @@ from grainwise.cleaning.actions import Action, perform
 from grainwise.cleaning.apply import apply, safe_actions
 from grainwise.plans.base import DIRTY_SQL, REPEATED_SQL, dirty, query, r6, repeated, table
 from grainwise.profiling.table import TextCells
-from grainwise.session import shared_folder
+from grainwise.session import cut, shared_folder, spread
 from grainwise.store import Workspace
 
 
@@ -133,7 +133,7 @@ _PLAN = {
     f"""SELECT '{i}' AS action_id, '{k}' AS kind, '{c}' AS "column", {f"'{t}'" if t else 'CAST(NULL AS VARCHAR)'} AS to_type, {a} AS rows_affected, {lost} AS values_lost FROM d"""
     for i, (k, c, t, a, lost) in _PLAN.items()))
 def _(spark, folder):
-    df = dirty(spark, folder)
+    df = cut(spread(dirty(spark, folder)))  # as loaded: a plan is made for a written table
     return detect.plan_rows(df, detect.detect(df, "export")).select("action_id", "kind", "column", "to_type", "rows_affected", "values_lost")
 
 

@@ -76,11 +76,12 @@ class TextCells:
         self._small = None
         if not columns:
             return
-        sizes = df.agg(*[F.struct(F.approx_count_distinct(quoted(c)), F.count(quoted(c))).alias(f"c{i}")
+        wide = spread(df.select(*[quoted(c) for c in columns]))
+        sizes = wide.agg(*[F.struct(F.approx_count_distinct(quoted(c)), F.count(quoted(c))).alias(f"c{i}")
                          for i, c in enumerate(columns)]).first()
         self.folded = [c for i, c in enumerate(columns) if sizes[i][0] <= REPEATING * sizes[i][1]]
         if self.folded:
-            self._small = cut(melted(df, self.folded).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+            self._small = cut(melted(wide, self.folded).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
     def values(self, columns: list[str] | None = None) -> DataFrame:
         """column, value, n of the named columns, NULLs left out."""
