@@ -49,6 +49,7 @@ def group_compare(scope: ScopedFrame, dimension: str, measure: str) -> DataFrame
         *stats, (F.grouping("member") == 1).alias("is_all"))
     if big:
         result = _with_ranked_medians(result, frame, m)
+    result = cut(result)  # the share reads the groups again, not the table
     members = result.where(~F.col("is_all"))
     if m.additive:
         whole = members.agg(

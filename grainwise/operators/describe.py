@@ -11,10 +11,10 @@ from grainwise.functions.exprs import (
     count_where, declared, finite, finite_value, quoted, ranked, ratio, type_of)
 from grainwise.functions.ranks import quantiles
 from grainwise.operators.common import (
-    MAX_GROUPS, combinable, mergeable, share_of, totals, valued)
+    combinable, mergeable, needs_ranking, share_of, totals, valued)
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
-from grainwise.session import small_rows
+from grainwise.session import cut, small_rows
 
 # The quantiles a distribution reports.
 QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
@@ -92,16 +92,14 @@ def _finite_total(frame: DataFrame, m):
 
 def _ranked_medians(result: DataFrame, frame: DataFrame, measures) -> DataFrame:
     """Medians by ranked values, for tables too large for the in-memory aggregate."""
-    medians = None
-    for m in measures:
-        if m.is_ratio or not is_number(type_of(frame, m.name)):
-            continue
-        values = frame.select(finite_value(frame, m.name).alias("v"))
-        one = quantiles(values, "v", [0.5]).select(
-            F.lit(m.name).alias("measure"), F.col("q")[0].alias("__median"))
-        medians = one if medians is None else medians.unionByName(one)
-    if medians is None:
+    ranked_ones = [m for m in measures if not m.is_ratio and is_number(type_of(frame, m.name))]
+    if not ranked_ones:
         return result
+    # One ranked pass serves every measure: the measure is the group.
+    cells = [F.when(finite(frame, m.name), F.struct(F.lit(m.name).alias("measure"), finite_value(frame, m.name).alias("v")))
+             for m in ranked_ones]
+    values = frame.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
+    medians = quantiles(values, "v", [0.5], ("measure",)).select("measure", F.col("q")[0].alias("__median"))
     joined = result.join(medians, "measure", "left")
     return (joined.withColumn("median", F.col("__median"))
             .withColumn("total", F.when(F.col("agg") == "median", F.col("__median")).otherwise(F.col("total")))
@@ -116,8 +114,9 @@ def frequency(scope: ScopedFrame, column: str, limit: int = 20) -> DataFrame:
     named = set(scope.contract.dimensions) | {m.name for m in scope.contract.measures}
     if column not in named:
         raise NotPossible(f"{column} is neither a declared dimension nor a declared measure")
-    counted = scope.frame.groupBy(F.col(quoted(column)).alias("value")).agg(
-        F.count(F.lit(1)).alias("rows"))
+    # Written once: the share reads the groups again, not the table.
+    counted = cut(scope.frame.groupBy(F.col(quoted(column)).alias("value")).agg(
+        F.count(F.lit(1)).alias("rows")))
     whole = counted.agg(F.sum("rows").alias("n")).scalar()
     top = counted.orderBy(*ranked("rows", "value")).limit(limit)
     return top.withColumn("share", ratio(F.col("rows"), whole))
@@ -139,6 +138,7 @@ def top_n(scope: ScopedFrame, dimension: str, measure: str, n: int = 10) -> Data
     if n < 1:
         raise ParamsInvalid(f"n must be at least 1; got {n}")
     grouped, m = ranked_groups(scope, dimension, measure)
+    grouped = cut(grouped)
     top = grouped.orderBy(*ranked("value", "member")).limit(n)
     shared = top.withColumn("share", share_of(grouped, "value", m))
     from pyspark.sql import Window
@@ -150,7 +150,7 @@ def top_n(scope: ScopedFrame, dimension: str, measure: str, n: int = 10) -> Data
 def top_n_ties(scope: ScopedFrame, dimension: str, measure: str, n: int = 10) -> DataFrame:
     """The ties at the cut of `top_n`."""
     grouped, _ = ranked_groups(scope, dimension, measure)
-    return tied_at_cut(grouped, "value", n)
+    return tied_at_cut(cut(grouped), "value", n)
 
 
 def ranked_groups(scope: ScopedFrame, dimension: str, measure: str):
@@ -240,12 +240,39 @@ def cross_tab(scope: ScopedFrame, rows: str, columns: str, measure: str | None =
         value = parts[1] if m else F.sum("__rows")
         rolled = cells.groupingSets(sets, *both).agg(
             value.alias("value"), F.sum("__rows").alias("rows"), *_margins())
+    elif m.agg == "count_distinct":
+        # Each value is kept once a cell before the sets are expanded.
+        c = F.col(quoted(m.name))
+        cells = frame.groupBy(*both, c.alias("__v")).agg(counted)
+        rolled = cells.groupingSets(sets, *both).agg(
+            F.count_distinct("__v").alias("value"), F.sum("__rows").alias("rows"), *_margins())
+    elif needs_ranking(m, unit):
+        rolled = _ranked_cells(frame, m, both)
     else:
         rolled = frame.groupingSets(sets, *both).agg(
             declared(frame, m).alias("value"), F.count(F.lit(1)).alias("rows"), *_margins())
     return rolled.select(*both, "value", "rows", "is_row_total", "is_column_total")
 
 
+def _ranked_cells(frame: DataFrame, m, both: list[str]) -> DataFrame:
+    """Medians of cells and margins by ranked values, for tables too large for one task's aggregate."""
+    values = frame.withColumn("__v", F.col(quoted(m.name)).cast("double"))
+    counts = frame.groupBy(*both).agg(F.count(F.lit(1)).alias("__rows"))
+    out = None
+    for by in (tuple(both), (both[0],), (both[1],), ()):
+        q = quantiles(values, "__v", [0.5], by)
+        n = counts.groupBy(*by).agg(F.sum("__rows").alias("rows"))
+        same = F.lit(True)
+        for b in by:
+            same = same & n[b].eqNullSafe(q[b])
+        kinds = {b: frame.schema[b].dataType for b in both}
+        one = n.join(q, same, "left").select(
+            *[(n[b] if b in by else F.lit(None).cast(kinds[b])).alias(b) for b in both], F.col("q")[0].alias("value"), "rows",
+            F.lit(both[1] not in by).alias("is_row_total"), F.lit(both[0] not in by).alias("is_column_total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _margins():
     return [(F.grouping("column_member") == 1).alias("is_row_total"),
             (F.grouping("row_member") == 1).alias("is_column_total")]

@@ -20,6 +20,7 @@ from grainwise.functions.ranks import midranks
 from grainwise.operators.common import cap_groups, valued
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
+from grainwise.session import cut
 
 # Cohen's conventional bands for each effect size, and the targets of a size plan.
 COHEN = {
@@ -185,7 +186,6 @@ def contingency(scope: ScopedFrame, dimension: str, second: str):
     a, b = F.col(quoted(dimension)), F.col(quoted(second))
     cells = scope.frame.where(a.isNotNull() & b.isNotNull()).groupBy(a.alias("a"), b.alias("b")).agg(
         F.count(F.lit(1)).alias("n"))
-    from grainwise.session import cut
     held = cut(cells)
     left = cap_groups(held.select("a").distinct(), dimension)
     right = cap_groups(held.select("b").distinct(), second)
@@ -287,7 +287,7 @@ def _wilson(scope: ScopedFrame, dimension: str, confidence: float) -> DataFrame:
     """Closed form over grouped counts. The base is every analysed row, unnamed members included."""
     scope.contract.dimension(dimension)
     z = tails.normal_quantile(0.5 + confidence / 2)
-    counted = scope.frame.groupBy(F.col(quoted(dimension)).alias("member")).agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(scope.frame.groupBy(F.col(quoted(dimension)).alias("member")).agg(F.count(F.lit(1)).alias("n")))
     whole = counted.agg(F.sum("n").alias("whole")).scalar().cast("double")
     p = ratio(F.col("n"), whole)
     base = counted.where(F.col("member").isNotNull()).select("member", "n", p.alias("estimate"), whole.alias("__w"))

@@ -128,15 +128,18 @@ def driver_analysis(scope: ScopedFrame, measure: str) -> DataFrame:
     frame = f.select(finite_value(f, measure).alias("y"),
                      *[F.col(quoted(d)).cast("string").alias(f"d{i}") for i, d in enumerate(dims)]).where(
         F.col("y").isNotNull())
-    grand = frame.agg(F.avg("y").alias("mean"), F.count("y").alias("n"), F.var_pop("y").alias("var"))
     names = [f"d{i}" for i in range(len(dims))]
     which = F.lit(None).cast("string")
     for i, d in enumerate(dims):
         which = F.when(F.grouping(f"d{i}") == 0, F.lit(d)).otherwise(which)
-    groups = frame.groupingSets([[n] for n in names], *names).agg(
-        F.count("y").alias("n"), F.avg("y").alias("mean"), which.alias("dimension"))
-    # One row per group is already aggregated; the grand row arrives as scalar subqueries.
-    mean, n, var = (grand.select(c).scalar() for c in ("mean", "n", "var"))
+    groups = cut(frame.groupingSets([[n] for n in names], *names).agg(
+        F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var"), which.alias("dimension")))
+    # The groups of any one dimension hold the grand mean and variance, so the table is read once.
+    whole = groups.where(F.col("dimension") == dims[0])
+    w = F.col("n").cast("double")
+    n = whole.agg(F.sum("n").alias("n")).scalar()
+    mean = whole.agg((F.sum(w * F.col("mean")) / F.sum(w)).alias("m")).scalar()
+    var = whole.agg((F.sum(w * (F.col("var") + F.pow(F.col("mean") - mean, 2))) / F.sum(w)).alias("v")).scalar()
     per = groups.groupBy("dimension").agg(
         F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"),
         F.sum(F.col("n") * F.pow(F.col("mean") - mean, 2)).alias("ssb"),
@@ -160,9 +163,9 @@ def mix_shift(scope: ScopedFrame, measure: str, dimension: str, period: str, bas
         F.col(quoted(dimension)).alias("member"), is_base.alias("is_base"),
         F.col(quoted(measure)).cast("double").alias("v")).where(F.col("v").isNotNull())
     side = {0: F.col("is_base"), 1: ~F.col("is_base")}
-    members = rows.groupBy("member").agg(
+    members = cut(rows.groupBy("member").agg(
         *[F.avg(F.when(t, F.col("v"))).alias(f"mean{k}") for k, t in side.items()],
-        *[F.count_if(t).alias(f"n{k}") for k, t in side.items()])
+        *[F.count_if(t).alias(f"n{k}") for k, t in side.items()]))
     whole = [members.agg(F.sum(f"n{k}").alias("n")).scalar() for k in (0, 1)]
     shares = members.where((whole[0] > 0) & (whole[1] > 0)).withColumns({
         "share0": ratio(F.col("n0"), whole[0]), "share1": ratio(F.col("n1"), whole[1])})

@@ -11,6 +11,7 @@ from grainwise.functions.exprs import quoted, ratio
 from grainwise.operators.common import additive, cap_groups, combinable, mergeable, totals
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
+from grainwise.session import cut
 
 # The grains that repeat inside a longer cycle.
 CYCLES = ("day", "week", "month", "quarter")
@@ -216,7 +217,7 @@ def growth_decomposition(scope: ScopedFrame, measure: str, dimension: str, perio
         F.coalesce(F.sum(F.when(~F.col("is_base"), F.col("rows"))), F.lit(0)).alias("current_rows"))
     zero = F.lit(0)
     change = F.coalesce(F.col("current"), zero) - F.coalesce(F.col("base"), zero)
-    parts = sides.withColumn("change", change)
+    parts = cut(sides.withColumn("change", change))
     whole = parts.agg(F.when((F.sum("base_rows") > 0) & (F.sum("current_rows") > 0),
                              F.sum("change")).alias("net")).scalar()
     state = F.when(F.col("base_rows") == 0, "entered").when(F.col("current_rows") == 0, "left").otherwise("stayed")

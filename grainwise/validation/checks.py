@@ -11,6 +11,7 @@ from grainwise.contract import DatasetContract
 from grainwise.errors import ContractError
 from grainwise.functions.exprs import count_where, quoted
 from grainwise.scope import rule_column
+from grainwise.session import cut
 from grainwise.store import Workspace
 
 #: Lines of evidence a failed check carries.
@@ -104,13 +105,13 @@ def reference(df: DataFrame, parent: DataFrame | None, columns, referenced, inde
     if parent is None:
         whole = df.agg(F.count(F.lit(1)).alias("rows")).withColumns({"failed": F.lit(0), "not_checked": F.col("rows")})
         return _row(whole, check, subject).withColumn("outcome", F.lit("NOT RUN"))
-    child = df.groupBy(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(columns)]).agg(F.count(F.lit(1)).alias("__n"))
+    child = cut(df.groupBy(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(columns)]).agg(F.count(F.lit(1)).alias("__n")))
     blank = F.lit(False)
     for i in range(len(columns)):
         blank = blank | F.col(f"k{i}").isNull()
     names = [f"k{i}" for i in range(len(columns))]
     known = parent.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(referenced)]).distinct()
-    orphans = child.where(~blank).join(known, names, "left_anti")
+    orphans = cut(child.where(~blank).join(known, names, "left_anti"))
     total = child.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(blank, F.col("__n"))), F.lit(0)).alias("not_checked"))
     failed = orphans.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).scalar()
     shown = _first(orphans, F.concat(_shown(names), F.lit(" x"), F.col("__n").cast("string")))

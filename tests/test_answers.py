@@ -172,6 +172,17 @@ def test_share_is_blank_when_it_would_lie(spark):
     assert {r["member"]: r["share"] for r in compare.group_compare(s, "g", "v").collect()} == {"a": None, "b": None, None: None}
 
 
+def test_medians_of_cells_by_either_path(spark):
+    s = scope(spark, measures=(Measure("mid", "median", column="x"),))
+    small = sorted(map(str, run(s, "cross_tab", rows="g10", columns="h", measure="mid").collect()))
+    spark.conf.set("spark.grainwise.smallRows", "0")
+    try:
+        large = sorted(map(str, run(s, "cross_tab", rows="g10", columns="h", measure="mid").collect()))
+    finally:
+        spark.conf.unset("spark.grainwise.smallRows")
+    assert small == large and len(small) == 23
+
+
 def test_non_finite_values_are_set_aside(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", float("nan")), ("a", float("inf")), ("a", None)], "g string, v double")
     s = scope_for(df, DatasetContract(dataset="s", grain="a row", measures=(Measure("v", "mean"),), dimensions=("g",)))

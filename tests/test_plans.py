@@ -27,7 +27,7 @@ def test_named_periods_reach_the_scan(spark):
 
 
 def test_no_cross_join_and_no_python(spark):
-    frames = [run(lines(spark, FOLDER), "driver_analysis", measure="price"), run(lines(spark, FOLDER), "frequency", column="flag"),
+    frames = [run(lines(spark, FOLDER), "cross_tab", rows="flag", columns="l_linestatus"), run(lines(spark, FOLDER), "driver_analysis", measure="price"), run(lines(spark, FOLDER), "frequency", column="flag"),
               run(events(spark, FOLDER), "cohort_retention", entity="user_id", period="week"),
               run(orders(spark, FOLDER), "concentration", dimension="o_custkey", measure="gross")]
     for df in frames:

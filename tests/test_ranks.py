@@ -67,7 +67,7 @@ def test_positions_number_every_row_once(spark):
 
 # Each of these ranks or takes quantiles, so it has two paths that must not differ.
 TWO_PATHS = ["summary_stats", "group_compare", "pareto", "concentration", "distribution_quantiles", "trend_median", "correlation",
-             "bivariate", "outliers_global", "outliers_within_group", "mann_whitney", "kruskal", "profile_numeric", "cross_tab_distinct"]
+             "bivariate", "outliers_global", "outliers_within_group", "mann_whitney", "kruskal", "profile_numeric", "cross_tab_distinct", "agg_declared"]
 
 
 @pytest.mark.parametrize("name", TWO_PATHS)
