@@ -1,8 +1,11 @@
 """What the physical plans must and must not do."""
 
 import re
+from datetime import date
 
+from grainwise.operators.describe import ranked_groups
 from grainwise.operators.people import person_days
+from grainwise.operators.time import in_periods
 from grainwise.plans.base import events, lines, orders
 from grainwise.registry import run
 
@@ -14,15 +17,16 @@ def plan_of(df) -> str:
 
 
 def test_window_and_columns_reach_the_scan(spark):
-    text = plan_of(run(orders(spark, FOLDER), "top_n", dimension="o_orderpriority", measure="gross", n=3))
+    grouped, _ = ranked_groups(orders(spark, FOLDER), "o_orderpriority", "gross")
+    text = plan_of(grouped)
     pushed = re.findall(r"PushedFilters: \[(.*)\]", text)
     assert any("GreaterThanOrEqual(o_orderdate" in p and "LessThan(o_orderdate" in p for p in pushed)
     assert all("o_custkey" not in s for s in re.findall(r"ReadSchema: (.*)", text))
 
 
 def test_named_periods_reach_the_scan(spark):
-    text = plan_of(run(orders(spark, FOLDER), "growth_decomposition", measure="gross", dimension="o_orderpriority",
-                       period="1999-02", baseline="1998-01"))
+    scope = orders(spark, FOLDER)
+    text = plan_of(scope.frame.where(in_periods(scope, (date(1998, 1, 1), date(1999, 2, 1)), "month")))
     assert "Or(And(GreaterThanOrEqual(o_orderdate" in text
 
 
