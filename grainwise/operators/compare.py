@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from grainwise.contract import is_number
 from grainwise.errors import NotPossible, ParamsInvalid
-from grainwise.functions.exprs import declared, finite_value, quoted, ranked, ratio, type_of
+from grainwise.functions.exprs import declared, finite_value, quoted, ratio, type_of
 from grainwise.functions.ranks import quantiles, running
 from grainwise.operators.common import (
-    MAX_GROUPS, cap_groups, combinable, count_below_zero, needs_ranking, totals)
+    cap_groups, combinable, count_below_zero, needs_ranking, totals)
 from grainwise.operators.describe import ranked_groups
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame, within

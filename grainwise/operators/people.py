@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainwise.contract import is_date
 from grainwise.errors import NotPossible, ParamsInvalid
 from grainwise.functions import calendar as cal
 from grainwise.functions.exprs import quoted, ratio

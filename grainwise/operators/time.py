@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grainwise.errors import ParamsInvalid
 from grainwise.functions import calendar as cal
 from grainwise.functions.exprs import quoted, ratio
-from grainwise.operators.common import additive, cap_groups, combinable, mergeable, totals
+from grainwise.operators.common import additive, cap_groups, combinable, totals
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
 from grainwise.session import cut

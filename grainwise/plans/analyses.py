@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainwise.operators import compare, describe, infer, people, relate, time, unusual
+from grainwise.operators import describe, infer, people, relate, time, unusual
 from grainwise.plans.base import (
     DOCS_SQL, EVENTS_SQL, LINES_SQL, ORDERS_SQL, SALES_SQL, documents, events, lines, orders, query, r6, sales)
 from grainwise.registry import run

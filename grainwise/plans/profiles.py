@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from grainwise.plans.base import (
     DIRTY_SQL, DIRTY_TEXT, REPEATED_SQL, dirty, query, r6, repeated, table)
 from grainwise.profiling import column as one

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from grainwise.contract import is_number
 from grainwise.errors import ParamsInvalid
