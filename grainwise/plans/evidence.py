@@ -241,12 +241,11 @@ def _(spark, folder):
     return caveats.over_whole(df, gather(df))
 
 
-@query("caveat_split_ids", """WITH c AS (SELECT l_orderkey, count(*) AS n, min(CASE WHEN l_suppkey <= 3 THEN 'depot' ELSE 'store' END) <> max(CASE WHEN l_suppkey <= 3 THEN 'depot' ELSE 'store' END) AS mixed FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
-SELECT 'order_id' AS "column", 'channel' AS dimension, count(*) AS ids, count(*) FILTER (WHERE mixed) AS split FROM c""")
+@query("caveat_split_ids", """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS k, min(CASE WHEN l_suppkey <= 3 THEN 'depot' ELSE 'store' END) <> max(CASE WHEN l_suppkey <= 3 THEN 'depot' ELSE 'store' END) AS mixed FROM lineitem GROUP BY 1)
+SELECT 'line_id' AS "column", 'channel' AS dimension, count(*) AS ids, count(*) FILTER (WHERE mixed) AS split FROM c""")
 def _(spark, folder):
-    # The first lines of each order: an event's identifier repeats a few times only.
-    df = table(spark, folder, "lineitem").where("l_linenumber <= 2").select(
-        F.col("l_orderkey").alias("order_id"), F.when(F.col("l_suppkey") <= 3, "depot").otherwise("store").alias("channel"))
+    # A line's identifier repeats a few times only, as an event's does.
+    df = table(spark, folder, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), F.when(F.col("l_suppkey") <= 3, "depot").otherwise("store").alias("channel"))
     return caveats.split_identifiers(df, gather(df))
 
 
