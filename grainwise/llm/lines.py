@@ -46,7 +46,8 @@ def dedup_lines(df: DataFrame, run: int = RUN) -> DataFrame:
     gone = cut(repeated_lines(rows, run)).select(
         "row", F.sort_array(F.array_except(cover(F.col("later")), cover(F.col("kept")))).alias("gone"))
     lines = F.when(F.length("text") > 0, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
-    out = (rows.join(gone, "row", "left").withColumn("lines", lines)
+    # The lists grow with the texts, so they are never broadcast, however few they are at first.
+    out = (rows.join(gone.hint("merge"), "row", "left").withColumn("lines", lines)
            .withColumn("removed", F.filter(F.coalesce("gone", F.array().cast("array<int>")), lambda i: i < F.size("lines"))))
     return out.select("doc_id", F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("removed", i)), "\n").alias("text"),
                       F.size("lines").cast("long").alias("n_lines"), "removed")
@@ -59,11 +60,11 @@ def op8_lines(df: DataFrame) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE length(text) > 0),
-w AS (SELECT doc_id, i - 1 AS at, array_to_string(l[i:i + 2], chr(10)) AS g
+w AS (SELECT doc_id, i - 1 AS p0, array_to_string(l[i:i + 2], chr(10)) AS g
       FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 2, 1) + 1)) AS i FROM d)),
-r AS (SELECT doc_id, at, row_number() OVER (PARTITION BY g ORDER BY doc_id, at) AS k, count(*) OVER (PARTITION BY g) AS n FROM w),
-kept AS (SELECT DISTINCT doc_id, unnest(range(at, at + 3)) AS p FROM r WHERE k = 1 AND n > 1),
-later AS (SELECT DISTINCT doc_id, unnest(range(at, at + 3)) AS p FROM r WHERE k > 1),
+r AS (SELECT doc_id, p0, row_number() OVER (PARTITION BY g ORDER BY doc_id, p0) AS k, count(*) OVER (PARTITION BY g) AS n FROM w),
+kept AS (SELECT DISTINCT doc_id, unnest(range(p0, p0 + 3)) AS p FROM r WHERE k = 1 AND n > 1),
+later AS (SELECT DISTINCT doc_id, unnest(range(p0, p0 + 3)) AS p FROM r WHERE k > 1),
 gone AS (SELECT * FROM later EXCEPT SELECT * FROM kept),
 lines AS (SELECT doc_id, unnest(range(0, len(l))) AS p, unnest(l) AS line FROM d),
 s AS (SELECT lines.doc_id, string_agg(CASE WHEN gone.p IS NULL THEN line END, chr(10) ORDER BY lines.p) AS kept,
