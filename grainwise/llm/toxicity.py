@@ -145,7 +145,7 @@ def score(df: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     ids = labels.where("toxic is not null").select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("long").alias("toxic"))
     ids = ids.where(remainder(F.col("labelled"), folds) != 0)
     texts = df.select("doc_id", F.col("text").cast("string").alias("text"))
-    learned = texts.where(remainder(F.col("doc_id"), folds) != 0).join(ids, F.col("doc_id") == F.col("labelled"))
+    learned = texts.where(remainder(F.col("doc_id"), folds) != 0).join(ids.hint("merge"), F.col("doc_id") == F.col("labelled"))
     lexicon = learn_lexicon(learned.select("toxic", "text"))
     rows = df.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("id"), "text")
     found = cut(hits(rows, lexicon, "id").select("id.row", "id.doc_id", "weight", "words"))
