@@ -71,7 +71,15 @@ def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, float, np.ndarray, np.
 
     The driver holds KNOWN words and one row for each first two bytes.
     """
-    top = counts.orderBy(F.col("c").desc(), "token").limit(KNOWN).collect()
+    # Counts by the sixteenth of an octave, from the top, as many as hold KNOWN words in all.
+    band = F.floor(F.log2("c") * 16).cast("int")
+    least, held = 1 << 20, 0
+    for b in sorted(counts.groupBy(band.alias("b")).count().collect(), key=lambda r: -r["b"]):
+        held += b["count"]
+        if held > KNOWN:
+            break
+        least = b["b"]
+    top = sorted(counts.where(band >= least).collect(), key=lambda r: (-r["c"], bytes(r["token"])))
     known = {bytes(r["token"]): r["c"] for r in top}
     words = {t: i + 1 for i, t in enumerate(dict.fromkeys([END, *[bytes(r["token"]) for r in top[:WORDS]]]))}
     rest = counts.where(~F.col("token").isin([F.lit(t) for t in words])).groupBy(F.substring("token", 1, PREFIX).alias("p")).agg(
