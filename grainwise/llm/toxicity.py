@@ -34,7 +34,7 @@ _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]+")
 #: Least documents and evidence (log-odds over its standard error) of a learned word, and the most words learned.
 LEAST_DOCS, LEAST_Z, LEXICON = 3, 4.0, 2_000
-#: Labelled rows the logistic curve is fitted on, the first by a hash of doc_id.
+#: Labelled rows the logistic curve is fitted on, about, chosen by a hash of doc_id; all where there are fewer.
 FIT_ROWS = 20_000
 
 
@@ -149,8 +149,9 @@ def score(df: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     lexicon = learn_lexicon(learned.select("toxic", "text"))
     rows = df.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("id"), "text")
     found = cut(hits(rows, lexicon, "id").select("id.row", "id.doc_id", "weight", "words"))
-    sample = (found.join(ids, F.col("doc_id") == F.col("labelled")).orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(FIT_ROWS)
-              .select("weight", "words", "toxic").collect())
+    part = FIT_ROWS / max(ids.count(), 1)
+    chosen = ids.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 30)) < int(min(1.0, part) * (1 << 30)))
+    sample = found.join(chosen, F.col("doc_id") == F.col("labelled")).select("weight", "words", "toxic").collect()
     beta = fit([tuple(r) for r in sample])
     line = F.lit(beta[0])
     for b, x in zip(beta[1:], _features(F.col("weight"), F.col("words"), F.log, F.sqrt), strict=True):
