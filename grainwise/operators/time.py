@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grainwise.errors import ParamsInvalid
 from grainwise.functions import calendar as cal
 from grainwise.functions.exprs import quoted, ratio
-from grainwise.operators.common import additive, cap_groups, combinable, totals
+from grainwise.operators.common import additive, combinable, totals
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
 from grainwise.session import cut
@@ -105,7 +105,6 @@ def trend(scope: ScopedFrame, measure: str, grain: str = cal.DEFAULT_GRAIN,
     m = combinable(scope, measure)
     unit = scope.per_unit(m, [scope.contract.dated(), dimension])
     members = unit.frame.select(F.col(quoted(dimension)).alias("member")).distinct()
-    cap_groups(members, dimension)
     frame = unit.frame.where(unit.date.isNotNull())
     keys = [cal.period_of(unit.date, grain), F.col(quoted(dimension))]
     grouped = totals(unit, frame, m, keys, ["p", "g"])

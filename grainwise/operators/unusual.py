@@ -9,7 +9,7 @@ from grainwise.errors import ParamsInvalid
 from grainwise.functions import calendar as cal
 from grainwise.functions.exprs import finite_value, quoted, ratio
 from grainwise.functions.ranks import quantiles
-from grainwise.operators.common import cap_groups, combinable, valued
+from grainwise.operators.common import combinable, valued
 from grainwise.operators.time import series, unit_series
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
@@ -156,22 +156,20 @@ def outlier_agreement(scope: ScopedFrame, measure: str) -> DataFrame:
 
 
 def outliers_within(scope: ScopedFrame, measure: str, dimension: str) -> DataFrame:
-    """The same fences within each member. The bounds table has at most the capped members, so it
-    is broadcast; a hot member's values never leave their partitions."""
+    """The same fences within each member, however many there are."""
     scope.contract.dimension(dimension)
     unit, values = _values(scope, measure, dimension)
     stats = cut(values.groupBy("member").agg(F.count("v").alias("n"), F.avg("v").alias("mean"),
                                              F.stddev_samp("v").alias("sd")))
-    cap_groups(stats.select("member"), dimension)
     q = quantiles(values, "v", [0.25, 0.5, 0.75], ("member",), rows=unit.analysed)
     known = cut(stats.join(q.withColumnRenamed("member", "__m"), F.col("member").eqNullSafe(F.col("__m")))
                 .drop("__m").withColumnRenamed("member", "g"))
-    near = values.join(F.broadcast(known), F.col("member").eqNullSafe(F.col("g")))
+    near = values.join(known, F.col("member").eqNullSafe(F.col("g")))
     away = near.select(F.col("g"), F.abs(F.col("v") - F.col("q")[1]).alias("d"))
     mad = quantiles(away, "d", [0.5], ("g",), rows=unit.analysed).select(
         F.col("g").alias("__g"), F.col("q")[0].alias("mad"))
     bounds = cut(known.join(mad, F.col("g").eqNullSafe(F.col("__g"))).drop("__g"))
-    judged = values.join(F.broadcast(bounds), F.col("member").eqNullSafe(F.col("g")))
+    judged = values.join(bounds, F.col("member").eqNullSafe(F.col("g")))
     fences = _fences(F.col("q"), F.col("mean"), F.col("sd"), F.col("mad"))
     outside = [F.count_if(F.coalesce((F.col("v") < lo) | (F.col("v") > hi), F.lit(False))).alias(name)
                for name, lo, hi in fences]

@@ -13,12 +13,10 @@ from grainwise.functions.exprs import count_where, finite_value, quoted, ranked,
 from grainwise.operators.time import runs
 from grainwise.session import cut
 
-MAX_TOP = 200
-
 
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """value, rows, share, not_shown: the commonest values, NULL among them."""
-    n = max(1, min(n, MAX_TOP))
+    n = max(1, n)
     counted = cut(df.groupBy(F.col(quoted(column)).alias("value")).agg(F.count(F.lit(1)).alias("rows")))
     facts = counted.agg(F.sum("rows").alias("rows"), F.count("value").alias("distinct"))
     whole, distinct = facts.select("rows").scalar(), facts.select("distinct").scalar()
