@@ -6,6 +6,8 @@ shuffle, and the foot is found by aggregates per block.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def lines(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     read = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
-    sep = "\\" + delimiter
+    sep = re.escape(delimiter)
     cut_at = F.when(F.col("line").contains('"'), F.split("line", sep + UNQUOTED)).otherwise(F.split("line", sep))
     bare = F.transform(cut_at, lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
     return read.withColumn("cells", bare)
