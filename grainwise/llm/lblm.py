@@ -79,7 +79,8 @@ def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, float, np.ndarray, np.
         if held > KNOWN:
             break
         least = b["b"]
-    top = sorted(counts.where(band >= least).collect(), key=lambda r: (-r["c"], bytes(r["token"])))
+    # The end is always known: it has a class of its own.
+    top = sorted(counts.where((band >= least) | (F.col("token") == F.lit(END))).collect(), key=lambda r: (-r["c"], bytes(r["token"])))
     known = {bytes(r["token"]): r["c"] for r in top}
     words = {t: i + 1 for i, t in enumerate(dict.fromkeys([END, *[bytes(r["token"]) for r in top[:WORDS]]]))}
     rest = counts.where(~F.col("token").isin([F.lit(t) for t in words])).groupBy(F.substring("token", 1, PREFIX).alias("p")).agg(

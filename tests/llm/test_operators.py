@@ -241,6 +241,14 @@ def test_op7_base_counts_and_normalisation(docs, texts, spark):
     assert all(x + discount * types[k] / total[k] == pytest.approx(1) for k, x in by.items())
 
 
+def test_op7_knows_the_end_among_many_words_of_one_count(spark, monkeypatch):
+    monkeypatch.setattr(lblm, "KNOWN", 10)
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(1, 4)], "doc_id long, text string")
+    vocabulary, *_ = lblm.vocabulary_of(lblm.token_counts(df))
+    assert vocabulary.known[lblm.END] == 3
+    assert all(r["n_tokens"] == 41 and r["score"] < 0 for r in lblm.op7_nce(df).collect())
+
+
 def test_op8_and_op9_match_their_sql(spark):
     import duckdb
     con = duckdb.connect()
