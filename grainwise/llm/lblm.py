@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from grainwise.llm.common import F, cut, remainder
@@ -26,6 +27,8 @@ WORDS, PREFIXES, PREFIX = 384, 120, 2
 KNOWN = 65_536
 DIM, NOISE, BATCH, RATE, EPOCHS = 24, 96, 2048, 0.15, 1
 SMOOTH = 0.1
+#: Bytes of text whose tokens a task holds at once; a longer text is held by itself.
+SLICE = 2 << 20
 END = b"\n"
 
 
@@ -33,6 +36,16 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of `batch` in order, in parts of about SLICE bytes of the column numbered `text`."""
+    if not batch.num_rows:
+        return
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // SLICE, prepend=-1))
+    for start, end in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+        yield batch.slice(int(start), int(end - start))
+
+
 def token_counts(df: DataFrame) -> DataFrame:
     """(token, c): how often each token occurs in the texts of `df`, one end each included (as a line feed)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +196,7 @@ def fit(df: DataFrame, vocabulary: Vocabulary) -> Model:
             vocabulary, flat = shared.value
             own, rng, memo, seen = Model(size, flat.copy()), np.random.default_rng(epoch), {}, 0
             state = [np.full(x.shape, 1.0, np.float32) for x in (own.first, own.second, own.out, own.bias)]
-            for b in batches:
+            for b in (part for whole in batches for part in _slices(whole, 0)):
                 ids, _, _ = _classes(b.column(0).to_pylist(), vocabulary, memo)
                 at = np.flatnonzero(ids[2:] > 0) + 2
                 rng.shuffle(at)
@@ -230,7 +243,7 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
         # Of each word known to every task: log10 of base and of its share of its class.
         logs = {t: (math.log10(c + SMOOTH) - below,
                     0.0 if t in words else math.log10(max(c - discount, 1e-9)) - log_total[vocabulary.of(t)]) for t, c in known.items()}
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole, 2)):
             ids, tokens, starts = _classes(b.column(2).to_pylist(), vocabulary, memo)
             at = np.flatnonzero(ids[2:] > 0) + 2
             each = np.zeros(len(ids))

@@ -241,6 +241,14 @@ def test_op7_base_counts_and_normalisation(docs, texts, spark):
     assert all(x + discount * types[k] / total[k] == pytest.approx(1) for k, x in by.items())
 
 
+def test_op7_scores_alike_in_slices(spark, odd, monkeypatch):
+    whole = {(r["doc_id"], r["n_tokens"]): r["base_score"] for r in lblm.op7_nce(odd).collect()}
+    monkeypatch.setattr(lblm, "SLICE", 64)
+    parts = lblm.op7_nce(odd).collect()
+    assert len(parts) == len(ODD)
+    assert all(r["base_score"] == pytest.approx(whole[r["doc_id"], r["n_tokens"]]) for r in parts)
+
+
 def test_op7_knows_the_end_among_many_words_of_one_count(spark, monkeypatch):
     monkeypatch.setattr(lblm, "KNOWN", 10)
     df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(1, 4)], "doc_id long, text string")
