@@ -52,13 +52,21 @@ def _bands(part: Column) -> Column:
     return F.array(*[least(c) for c in BANDS])
 
 
-def _windows(df: DataFrame, stride: int) -> DataFrame:
-    """`df` with `windows`: (at, bands) of every window; texts of fewer words are one window."""
+def _windows(df: DataFrame, stride: int, shingles: list[int] | None = None) -> DataFrame:
+    """`df` with `windows`: (at, bands) of every window; texts of fewer words are one window.
+
+    With `shingles`, bands are worked out only for windows that hold one of them: a band is the smallest permuted hash of
+    a window, so windows that meet in a band share a shingle, and the others cannot meet any.
+    """
     inside = WINDOW - GRAM + 1
     starts = F.when(F.size("grams") > 0, F.sequence(F.lit(0), F.greatest(
         F.ceil((F.size("grams") - inside) / stride), F.lit(0)).cast("int") * stride, F.lit(stride))).otherwise(F.array().cast("array<int>"))
     part = lambda i: F.slice("grams", i + 1, F.lit(inside))
-    return df.withColumn("windows", F.transform(starts, lambda i: F.struct(i.alias("at"), _bands(part(i)).alias("bands"))))
+    if shingles is not None:
+        df = df.withColumn("__hits", F.transform("grams", lambda x: x.isin(shingles)))
+        starts = F.when(F.array_contains("__hits", True), F.filter(
+            starts, lambda i: F.array_contains(F.slice("__hits", i + 1, F.lit(inside)), True))).otherwise(F.array().cast("array<int>"))
+    return df.withColumn("windows", F.transform(starts, lambda i: F.struct(i.alias("at"), _bands(part(i)).alias("bands")))).drop("__hits")
 
 
 def templates(spark: SparkSession, known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -79,9 +87,10 @@ def scan(df: DataFrame, known: dict[str, tuple[str, ...]] | None = None) -> Data
     spark = df.sparkSession
     temp = cut(templates(spark, known))
     bands = [r["band"] for r in temp.select("band").distinct().collect()]
+    shingles = [r["g"] for r in temp.select(F.explode("grams").alias("g")).distinct().collect()]
     reach = temp.agg(F.max(F.size("grams"))).first()[0]
     rows = df.select("doc_id", F.monotonically_increasing_id().alias("row"), whole_text().alias("text"))
-    rows = _windows(_shingles(rows, F.col("text")).drop("text"), STRIDE)
+    rows = _windows(_shingles(rows, F.col("text")).drop("text"), STRIDE, shingles)
     met = rows.withColumn("windows", F.filter("windows", lambda x: reduce(
         lambda a, b: a | b, [F.get(x["bands"], i).isin(bands) for i in range(len(BANDS))])))
     near = lambda at: F.slice("grams", F.greatest(at - reach, F.lit(0)) + 1, F.lit(2 * reach + WINDOW))
