@@ -33,33 +33,40 @@ class Claim:
     test: Column | None = None
 
 
+def _tokens(columns: list[str], caveat: str) -> list[tuple[str, str]]:
+    """(kind, text) of a caveat from left to right: quoted, column, sign, number or word. A quoted column is a column."""
+    names = "|".join(re.escape(c) for c in sorted(columns, key=len, reverse=True))
+    signs = "|".join(sorted(map(re.escape, OPERATORS), key=len, reverse=True))
+    token = rf"{QUOTED}|(?<!\w)(?P<column>{names})(?!\w)|(?P<sign>{signs})|(?P<number>-?\d+(?:\.\d+)?)(?![\w.])|(?P<word>\w+)"
+    read = ((m.lastgroup if m.lastgroup in m.groupdict() else "quoted", next((g for g in m.groups() if g), "")) for m in re.finditer(token, caveat))
+    return [("column" if kind == "quoted" and text in columns else kind, text) for kind, text in read if text]
+
+
+def _tests(df: DataFrame, name: str, tokens: list[tuple[str, str]]) -> dict[str, Column]:
+    """Each shape the tokens can be read as, with what it counts, the most particular first."""
+    c, found = F.col(quoted(name)), {}
+    texts = [text for kind, text in tokens if kind == "quoted"]
+    for (k1, _), (k2, sign), (k3, number) in zip(tokens, tokens[1:], tokens[2:]):  # noqa: B905
+        if (k1, k2, k3) == ("column", "sign", "number") and is_number(df.schema[name].dataType):
+            found["comparison"] = F.expr(f"{quoted(name)} {OPERATORS[sign]} {float(number)!r}D")
+    if len(texts) == 1:
+        found["quoted"] = c.cast("string") == texts[0]
+    if not texts and any(kind == "word" and re.fullmatch(BLANK_WORDS, text) for kind, text in tokens):
+        found["blank"] = c.isNull() | (F.trim(c.cast("string")) == "")
+    return found
+
+
 def read_claim(df: DataFrame, caveat: str) -> Claim:
     """What a caveat says, as a test that can be counted; unchecked when it is no such claim."""
-    numbers = [int(x.replace(",", "")) for x in re.findall(COUNT_CLAIM, caveat)]
-    if len(numbers) != 1:
-        return Claim(caveat, None, "unchecked")
-    claimed = numbers[0]
-    if re.search(DUPLICATE_WORDS, caveat):
+    counts = re.findall(COUNT_CLAIM, caveat)
+    claimed = int(counts[0].replace(",", "")) if len(counts) == 1 else None
+    tokens = _tokens(df.columns, caveat)
+    about = {text for kind, text in tokens if kind == "column"}
+    if claimed is not None and re.search(DUPLICATE_WORDS, caveat):
         return Claim(caveat, claimed, "duplicates")
-    named: list[str] = []
-    for c in sorted(df.columns, key=len, reverse=True):
-        if re.search(rf"(?<!\w){re.escape(c)}(?!\w)", caveat) and not any(c in x for x in named):
-            named.append(c)
-    if len(named) != 1:
-        return Claim(caveat, claimed, "unchecked")
-    name = named[0]
-    c = F.col(quoted(name))
-    compared = re.search(rf"(?<!\w){re.escape(name)}\s*(==|<=|>=|!=|<>|=|<|>)\s*(-?\d+(?:\.\d+)?)(?![\w.])", caveat)
-    if compared and is_number(df.schema[name].dataType):
-        sign, value = OPERATORS[compared[1]], F.lit(float(compared[2]))
-        test = {"=": c == value, "<": c < value, ">": c > value, "<=": c <= value, ">=": c >= value, "<>": c != value}[sign]
-        return Claim(caveat, claimed, "comparison", test)
-    words = [w for groups in re.findall(QUOTED, caveat) for w in groups if w and w not in df.columns]
-    if len(words) == 1:
-        return Claim(caveat, claimed, "quoted", c.cast("string") == words[0])
-    if not words and re.search(BLANK_WORDS, caveat):
-        return Claim(caveat, claimed, "blank", c.isNull() | (F.trim(c.cast("string")) == ""))
-    return Claim(caveat, claimed, "unchecked")
+    readings = _tests(df, *about, tokens) if claimed is not None and len(about) == 1 else {}
+    shape, test = next(iter(readings.items()), ("unchecked", None))
+    return Claim(caveat, claimed, shape, test)
 
 
 def check_caveats(df: DataFrame, caveats: list[str]) -> DataFrame:

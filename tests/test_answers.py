@@ -249,3 +249,14 @@ def test_results_do_not_depend_on_partitioning(spark):
         rows = [sorted(map(str, run(scope(spark, df), name, **params).collect())) for df in (plain, shuffled)]
         assert rows[0] == rows[1]
     assert describe.top_n_ties(scope(spark), "g10", "par", 1).first()["tied"] == 2
+
+
+def test_caveats_are_read_token_by_token(spark):
+    from grainwise.evidence import claims
+    df = spark.createDataFrame([(1, "F", 2.5), (2, "O", 7.0), (3, None, 9.0)], "k long, `order state` string, price double")
+    said = {"price > 2.5 in 2 rows": "comparison", "'order state' is 'F' in 1 row": "quoted", "order state is missing in 1 row": "blank",
+            "0 duplicate rows": "duplicates", "k and price are blank in 0 rows": "unchecked", "order state is 'F' or 'O' in 2 rows": "unchecked",
+            "prices include tax": "unchecked"}
+    for r in claims.check_caveats(df, list(said)).collect():
+        assert r["shape"] == said[r["caveat"]], r
+        assert r["status"] == ("unchecked" if r["shape"] == "unchecked" else "agrees"), r
