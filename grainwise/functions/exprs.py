@@ -29,6 +29,12 @@ def finite_value(df: DataFrame, column: str) -> Column:
     return c.cast("double")
 
 
+def finite_only(df: DataFrame, column: str) -> Column:
+    """The value in its own type, NULL where it is NaN or infinite."""
+    c = F.col(quoted(column))
+    return F.when(finite(df, column), c) if is_floating(type_of(df, column)) else c
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -43,28 +49,30 @@ def count_where(condition: Column) -> Column:
 
 
 def summable(df: DataFrame, column: str) -> Column:
-    """The column widened so that a whole-number sum cannot overflow."""
+    """The column's finite values, widened so that a whole-number sum cannot overflow."""
     t = type_of(df, column)
-    c = F.col(quoted(column))
+    c = finite_only(df, column)
     if isinstance(t, T.BooleanType):
         return c.cast("int").cast("decimal(38,0)")
     return c.cast("decimal(38,0)") if isinstance(t, T.IntegralType) else c
 
 
 def declared(df: DataFrame, m: Measure) -> Column:
-    """The aggregate a measure declares, over a frame that carries its derived columns."""
+    """The aggregate a measure declares, over the finite values of a frame that carries its derived columns.
+
+    Counts are of all present values. A median has none: it is ranked (see `functions.ranks`).
+    """
     if m.is_ratio:
         return F.lit(float(m.scale)) * ratio(
-            F.sum(quoted(f"{m.name}__n")), F.sum(quoted(f"{m.name}__d")))
+            F.sum(finite_only(df, f"{m.name}__n")), F.sum(finite_only(df, f"{m.name}__d")))
     c = F.col(quoted(m.name))
     if m.agg == "sum":
         return F.sum(summable(df, m.name))
     if m.agg == "mean":
-        return F.avg(c.cast("double"))
-    if m.agg == "median":
-        return F.percentile(c.cast("double"), F.lit(0.5))
-    plain = {"min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct}
-    return plain[m.agg](c)
+        return F.avg(finite_value(df, m.name))
+    if m.agg in ("min", "max"):
+        return {"min": F.min, "max": F.max}[m.agg](finite_only(df, m.name))
+    return {"count": F.count, "count_distinct": F.count_distinct}[m.agg](c)
 
 
 def ranked(value: str, name: str) -> list[Column]:

@@ -11,19 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainwise.functions.exprs import quoted
-from grainwise.session import cut, shuffle_width, small_rows
+from grainwise.session import cut, shuffle_width
 
 _SLICE = "__slice"
 
 
 def running(df: DataFrame, order: list[tuple[str, bool]], amounts: dict[str, str],
-            by: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
+            by: tuple[str, ...] = ()) -> DataFrame:
     """For each (name, column) of `amounts` add `name`, the column's total over the rows that
     precede each row, and `name_whole`, its total over the row's group.
 
     `order` lists (column, descending); it must be unique within `by`, which holds for the
-    grouped frames the callers pass. NULLs come last. `rows` is a counted bound on the input: under
-    the session's limit one sorted window does the work, and nothing is written.
+    grouped frames the callers pass. NULLs come last.
     """
     def direction(column: str, down: bool) -> Column:
         c = F.col(quoted(column))
@@ -32,11 +31,6 @@ def running(df: DataFrame, order: list[tuple[str, bool]], amounts: dict[str, str
     keys = [F.col(quoted(b)) for b in by]
     sorts = [direction(c, down) for c, down in order]
     everything = Window.partitionBy(*keys)
-    if rows is not None and rows <= small_rows(df.sparkSession):
-        upto = everything.orderBy(*sorts).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({
-            **{name: F.coalesce(F.sum(quoted(c)).over(upto), F.lit(0)) for name, c in amounts.items()},
-            **{f"{name}_whole": F.sum(quoted(c)).over(everything) for name, c in amounts.items()}})
     width = shuffle_width(df.sparkSession)
     ranged = df.repartitionByRange(width, *[k.asc_nulls_last() for k in keys], *sorts)
     # The range bounds are sampled, so the slices are written once and read back from there on.
@@ -66,32 +60,29 @@ def running(df: DataFrame, order: list[tuple[str, bool]], amounts: dict[str, str
                        *[f"__by{i}" for i in range(len(by))])
 
 
-def positions(df: DataFrame, order: list[tuple[str, bool]], rows: int | None = None) -> DataFrame:
-    """Add `position` (from 1) and `position_whole`, the number of rows."""
-    placed = running(df.withColumn("__one", F.lit(1).cast("long")), order, {"position": "__one"}, rows=rows)
+def positions(df: DataFrame, order: list[tuple[str, bool]], by: tuple[str, ...] = ()) -> DataFrame:
+    """Add `position` (from 1) and `position_whole`, the number of rows, within `by`."""
+    placed = running(df.withColumn("__one", F.lit(1).cast("long")), order, {"position": "__one"}, by)
     return placed.withColumn("position", F.col("position") + 1).drop("__one")
 
 
-def midranks(values: DataFrame, value: str, n: str, rows: int | None = None) -> DataFrame:
+def midranks(values: DataFrame, value: str, n: str) -> DataFrame:
     """Average ranks of distinct `value`s that each stand for `n` rows, as column `midrank`."""
-    placed = running(values, [(value, False)], {"before": n}, rows=rows)
+    placed = running(values, [(value, False)], {"before": n})
     return placed.withColumn("midrank", F.col("before") + (F.col(n) + 1) / F.lit(2.0))
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str, ...] = (),
-              rows: int | None = None) -> DataFrame:
+              n: str | None = None) -> DataFrame:
     """Exact interpolated quantiles of a double column, one array column `q` per group.
 
-    `rows` is a counted bound on the input. Under the session's limit the in-memory aggregate is
-    used; above it, or when nothing is known, the distinct values are ranked across partitions.
+    The distinct values are counted and then ranked across partitions, so neither a group nor a
+    value of any size has to fit one task. `n` names the rows that each row of `df` stands for.
     """
     present = df.where(F.col(quoted(value)).isNotNull())
     keys = [F.col(quoted(b)) for b in by]
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    if rows is not None and rows <= small_rows(df.sparkSession):
-        return present.groupBy(*keys).agg(F.percentile(quoted(value), wanted).alias("q"))
     counts = present.groupBy(*keys, F.col(quoted(value)).alias("__v")).agg(
-        F.count(F.lit(1)).alias("__n"))
+        (F.sum(quoted(n)) if n else F.count(F.lit(1))).alias("__n"))
     placed = running(counts, [("__v", False)], {"before": "__n"}, by)
     picks = []
     for i, p in enumerate(probs):

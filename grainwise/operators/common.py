@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainwise.contract import Measure
 from grainwise.errors import NotPossible, TooManyGroups
-from grainwise.functions.exprs import declared, quoted, ratio, summable
+from grainwise.functions.exprs import declared, finite_only, finite_value, quoted, ratio, summable
 from grainwise.functions.ranks import quantiles
 from grainwise.scope import ScopedFrame
 
@@ -38,19 +38,13 @@ def additive(scope: ScopedFrame, measure: str) -> Measure:
     return m
 
 
-def needs_ranking(m: Measure, scope: ScopedFrame) -> bool:
-    """A median over more rows than one task should hold goes by ranked values instead."""
-    from grainwise.session import small_rows
-    return m.agg == "median" and scope.analysed > small_rows(scope.source.sparkSession)
-
-
-def totals(scope: ScopedFrame, frame: DataFrame, m: Measure, keys: list[Column],
+def totals(frame: DataFrame, m: Measure, keys: list[Column],
            names: list[str]) -> DataFrame:
     """`names`, value, rows: the declared aggregate per group, NULL kept as a group."""
     keyed = frame.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
     held = [f"__k{i}" for i in range(len(keys))]
-    if needs_ranking(m, scope):
-        values = keyed.withColumn("__v", F.col(quoted(m.name)).cast("double"))
+    if m.agg == "median":
+        values = keyed.withColumn("__v", finite_value(keyed, m.name))
         medians = quantiles(values, "__v", [0.5], tuple(held))
         counted = keyed.groupBy(*held).agg(F.count(F.lit(1)).alias("rows"))
         same = F.lit(True)
@@ -92,7 +86,7 @@ def cap_groups(members: DataFrame, dimension: str) -> list:
 def mergeable(frame: DataFrame, m: Measure) -> tuple[list[Column], Column] | None:
     """Partial aggregates that can be rolled up again, and the roll-up. None when there are none."""
     if m.is_ratio:
-        parts = [F.sum(quoted(f"{m.name}__n")).alias("__p0"), F.sum(quoted(f"{m.name}__d")).alias("__p1")]
+        parts = [F.sum(finite_only(frame, f"{m.name}__{k}")).alias(f"__p{i}") for i, k in enumerate("nd")]
         return parts, F.lit(float(m.scale)) * ratio(F.sum("__p0"), F.sum("__p1"))
     c = F.col(quoted(m.name))
     if m.agg == "sum":
@@ -100,9 +94,10 @@ def mergeable(frame: DataFrame, m: Measure) -> tuple[list[Column], Column] | Non
     if m.agg == "count":
         return [F.count(c).alias("__p0")], F.sum("__p0")
     if m.agg == "mean":
-        parts = [F.sum(c.cast("double")).alias("__p0"), F.count(c).alias("__p1")]
+        v = finite_value(frame, m.name)
+        parts = [F.sum(v).alias("__p0"), F.count(v).alias("__p1")]
         return parts, ratio(F.sum("__p0"), F.sum("__p1"))
     if m.agg in ("min", "max"):
         pick = {"min": F.min, "max": F.max}[m.agg]
-        return [pick(c).alias("__p0")], pick("__p0")
+        return [pick(finite_only(frame, m.name)).alias("__p0")], pick("__p0")
     return None

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.contract import is_number
 from grainwise.errors import NotPossible, ParamsInvalid
 from grainwise.functions.exprs import declared, finite_value, quoted, ratio, type_of
-from grainwise.functions.ranks import quantiles, running
-from grainwise.operators.common import (
-    cap_groups, combinable, count_below_zero, needs_ranking, totals)
+from grainwise.functions.ranks import positions, quantiles, running
+from grainwise.operators.common import combinable, count_below_zero, totals
 from grainwise.operators.describe import ranked_groups
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame, within
-from grainwise.session import cut, small_rows
+from grainwise.session import cut
 
 # The cuts a concentration reports.
 TOP_CUTS = (1, 3, 5, 10, 20)
@@ -37,17 +36,15 @@ def group_compare(scope: ScopedFrame, dimension: str, measure: str) -> DataFrame
     blank = F.lit(None).cast("double")
     v = finite_value(frame, measure) if number else blank
     frame = frame.withColumn("__v", v)
-    big = number and unit.analysed > small_rows(frame.sparkSession)
-    summed = blank if m.agg in (None, "none") or needs_ranking(m, unit) else declared(frame, m)
-    median = blank if big or not number else F.percentile("__v", F.lit(0.5))
+    summed = blank if m.agg in (None, "none", "median") else declared(frame, m)
     c = F.col(quoted(measure))
     stats = [F.count(c).alias("n"), (F.count(F.lit(1)) - F.count(c)).alias("nulls"),
              summed.alias("total"), F.min("__v").alias("min"), F.max("__v").alias("max"),
-             F.avg("__v").alias("mean"), median.alias("median"),
+             F.avg("__v").alias("mean"), blank.alias("median"),
              F.stddev_samp("__v").alias("stddev"), F.count(F.lit(1)).alias("rows")]
     result = frame.groupingSets([["member"], []], "member").agg(
         *stats, (F.grouping("member") == 1).alias("is_all"))
-    if big:
+    if number:
         result = _with_ranked_medians(result, frame, m)
     result = cut(result)  # the share reads the groups again, not the table
     members = result.where(~F.col("is_all"))
@@ -63,9 +60,10 @@ def group_compare(scope: ScopedFrame, dimension: str, measure: str) -> DataFrame
 
 
 def _with_ranked_medians(result: DataFrame, frame: DataFrame, m) -> DataFrame:
-    by = quantiles(frame, "__v", [0.5], ("member",)).select(
+    counts = cut(frame.groupBy("member", "__v").agg(F.count(F.lit(1)).alias("__n")))  # read by both rankings
+    by = quantiles(counts, "__v", [0.5], ("member",), "__n").select(
         F.col("member").alias("__m"), F.lit(False).alias("__all"), F.col("q")[0].alias("__q"))
-    whole = quantiles(frame, "__v", [0.5]).select(
+    whole = quantiles(counts, "__v", [0.5], n="__n").select(
         F.lit(None).cast(frame.schema["member"].dataType).alias("__m"),
         F.lit(True).alias("__all"), F.col("q")[0].alias("__q"))
     medians = by.unionByName(whole)
@@ -99,7 +97,7 @@ def _placed(scope: ScopedFrame, dimension: str, measure: str):
     amount = grouped.withColumns({"__amount": F.coalesce(F.col("value"), F.lit(0)),
                                   "__one": F.lit(1).cast("long")})
     placed = running(amount, [("value", True), ("member", False)],
-                     {"before": "__amount", "position": "__one"}, rows=scope.analysed)
+                     {"before": "__amount", "position": "__one"})
     counted = placed.withColumn("position", F.col("position") + 1)
     facts = counted.agg(F.max("before_whole").alias("whole"),
                         count_below_zero("value").alias("negative")).first()
@@ -139,7 +137,7 @@ def _cut(name, groups, share, shown):
 @analysis("ranking_shift", 2, "Positions of groups in two date ranges.")
 def ranking_shift(scope: ScopedFrame, dimension: str, measure: str, before_start, before_end,
                   after_start, after_end) -> DataFrame:
-    """One grouped pass reads both ranges; positions are taken over at most the capped groups."""
+    """One grouped pass reads both ranges and one ranked pass places the members of each, however many there are."""
     scope.contract.dimension(dimension)
     m = combinable(scope, measure)
     unit = scope.per_unit(m, [dimension, scope.contract.dated()])
@@ -149,19 +147,13 @@ def ranking_shift(scope: ScopedFrame, dimension: str, measure: str, before_start
     # A row in both ranges counts in both, so its sides are opened into rows of one scan.
     opened = F.explode(F.array_compact(F.array(*[F.when(t, k) for k, t in tests.items()])))
     frame = unit.frame.where(tests["before"] | tests["after"]).withColumn("__side", opened)
-    grouped = totals(unit, frame, m, [F.col(quoted(dimension)), F.col("__side")], ["member", "side"])
-    merged = cut(grouped.groupBy("member").agg(
+    grouped = totals(frame, m, [F.col(quoted(dimension)), F.col("__side")], ["member", "side"])
+    placed = positions(grouped, [("value", True), ("member", False)], ("side",))
+    merged = placed.groupBy("member").agg(
         *[F.max(F.when(F.col("side") == k, F.col("value"))).alias(f"total_{k}") for k in sides],
-        *[(F.count_if(F.col("side") == k) > 0).alias(f"in_{k}") for k in sides]))
-    cap_groups(merged.select("member"), dimension)
-    place = {}
-    for name in sides:
-        order = Window.orderBy(F.col(f"in_{name}").desc(), F.col(f"total_{name}").desc_nulls_last(),
-                               F.col("member").asc_nulls_last())
-        place[f"rank_{name}"] = F.when(F.col(f"in_{name}"), F.row_number().over(order))
-    ranked_rows = merged.withColumns(place)
-    state = (F.when(~F.col("in_before"), "new").when(~F.col("in_after"), "gone").otherwise("moved"))
-    return ranked_rows.select("member", "total_before", "rank_before", "total_after", "rank_after",
+        *[F.max(F.when(F.col("side") == k, F.col("position"))).alias(f"rank_{k}") for k in sides])
+    state = F.when(F.col("rank_before").isNull(), "new").when(F.col("rank_after").isNull(), "gone").otherwise("moved")
+    return merged.select("member", "total_before", "rank_before", "total_after", "rank_after",
                               (F.col("rank_before") - F.col("rank_after")).alias("change"),
                               state.alias("state"))
 

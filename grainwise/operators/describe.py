@@ -11,10 +11,10 @@ from grainwise.functions.exprs import (
     count_where, declared, finite, finite_value, quoted, ranked, ratio, type_of)
 from grainwise.functions.ranks import quantiles
 from grainwise.operators.common import (
-    combinable, mergeable, needs_ranking, share_of, totals, valued)
+    combinable, mergeable, share_of, totals, valued)
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
-from grainwise.session import cut, small_rows
+from grainwise.session import cut
 
 # The quantiles a distribution reports.
 QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
@@ -34,9 +34,9 @@ def summary_stats(scope: ScopedFrame) -> DataFrame:
         if per:
             for m in measures:
                 unit = scope.per_unit(m, [], [])
-                out = _append(out, _statistics(unit, unit.frame, [m]))
+                out = _append(out, _statistics(unit.frame, [m]))
             continue
-        out = _append(out, _statistics(unit, frame, measures))
+        out = _append(out, _statistics(frame, measures))
     return out
 
 
@@ -44,66 +44,52 @@ def _append(out: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if out is None else out.unionByName(more)
 
 
-def _statistics(scope: ScopedFrame, frame: DataFrame, measures) -> DataFrame:
-    """Measures that read one column share its statistics, so each is aggregated once."""
-    big = scope.analysed > small_rows(frame.sparkSession)
+def _statistics(frame: DataFrame, measures) -> DataFrame:
+    """Measures that read one column share its statistics, so each is aggregated and ranked once."""
     nothing = F.lit(None).cast("double")
-    names = ("n", "total", "min", "max", "mean", "median", "stddev")
-    aggregates, rows, shared = [F.count(F.lit(1)).alias("rows")], [], {}
+    names = ("n", "min", "max", "mean", "stddev")
+    aggregates, rows, shared, numbers = [F.count(F.lit(1)).alias("rows")], [], {}, {}
     for i, m in enumerate(measures):
         if m.is_ratio:
             parts = [F.col(quoted(f"{m.name}__n")), F.col(quoted(f"{m.name}__d"))]
-            stats = [F.count(F.when(parts[0].isNotNull() & parts[1].isNotNull(), 1)), *[nothing] * 5]
+            stats = [F.count(F.when(parts[0].isNotNull() & parts[1].isNotNull(), 1)), *[nothing] * 4]
             source = f"ratio {i}"
         else:
             source = m.name if m.compare else (m.column or m.name)
             number = is_number(type_of(frame, m.name)) and m.agg is not None
             v = finite_value(frame, m.name) if number else nothing
-            median = nothing if big or not number else F.percentile(v, F.lit(0.5))
-            stats = [F.count(F.col(quoted(m.name))), F.min(v), F.max(v), F.avg(v), median, F.stddev_samp(v)]
+            stats = [F.count(F.col(quoted(m.name))), F.min(v), F.max(v), F.avg(v), F.stddev_samp(v)]
+            if number:
+                numbers.setdefault(source, m)
         if source not in shared:
             shared[source] = i
-            kept = [k for k in names if k != "total"]
-            aggregates += [s.cast("long" if k == "n" else "double").alias(f"{k}_{i}") for k, s in zip(kept, stats)]
+            aggregates += [s.cast("long" if k == "n" else "double").alias(f"{k}_{i}") for k, s in zip(names, stats)]
         at = shared[source]
-        # A mean or a median is already there; other totals are their own aggregate.
-        ready = {"mean": f"mean_{at}", "median": f"median_{at}"}.get(m.agg)
+        # A mean is already there and a median is ranked below; other totals are their own aggregate.
+        ready = f"mean_{at}" if m.agg == "mean" else None
         if ready is None:
-            bare = nothing if m.agg in (None, "none") and not m.is_ratio else declared(frame, m) if m.is_ratio else _finite_total(frame, m)
+            bare = nothing if m.agg in (None, "none", "median") and not m.is_ratio else declared(frame, m)
             aggregates.append(bare.cast("double").alias(f"total_{i}"))
         rows.append(F.struct(
             F.lit(m.name).alias("measure"), F.lit("ratio" if m.is_ratio else m.agg).alias("agg"), F.col(f"n_{at}").alias("n"),
             (F.col("rows") - F.col(f"n_{at}")).alias("nulls"), F.col(ready or f"total_{i}").alias("total"),
-            *[F.col(f"{k}_{at}").alias(k) for k in names[2:]]))
+            *[F.col(f"{k}_{at}").alias(k) for k in names[1:]], F.lit(source).alias("__source")))
     one = frame.agg(*aggregates)
     result = one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-    return _ranked_medians(result, frame, measures) if big else result
-
-
-def _finite_total(frame: DataFrame, m):
-    """A sum, extreme or count of a measure, over its finite values."""
-    if m.agg in ("count", "count_distinct") or not is_number(type_of(frame, m.name)):
-        return declared(frame, m)
-    value = F.when(finite(frame, m.name), F.col(quoted(m.name)))
-    if m.agg == "sum":
-        return F.sum(value.cast("decimal(38,0)") if is_whole(type_of(frame, m.name)) else value)
-    return {"min": F.min, "max": F.max}[m.agg](value)
-
-
-def _ranked_medians(result: DataFrame, frame: DataFrame, measures) -> DataFrame:
-    """Medians by ranked values, for tables too large for the in-memory aggregate."""
-    ranked_ones = [m for m in measures if not m.is_ratio and is_number(type_of(frame, m.name))]
-    if not ranked_ones:
-        return result
-    # One ranked pass serves every measure: the measure is the group.
-    cells = [F.when(finite(frame, m.name), F.struct(F.lit(m.name).alias("measure"), finite_value(frame, m.name).alias("v")))
-             for m in ranked_ones]
+    return _with_medians(result, frame, numbers).select(
+        "measure", "agg", "n", "nulls", "total", "min", "max", "mean", "median", "stddev")
+
+
+def _with_medians(result: DataFrame, frame: DataFrame, numbers: dict) -> DataFrame:
+    """`median` and the totals of medians. One ranked pass serves every source: the source is the group."""
+    if not numbers:
+        return result.withColumn("median", F.lit(None).cast("double"))
+    cells = [F.when(finite(frame, m.name), F.struct(F.lit(source).alias("__source"), finite_value(frame, m.name).alias("v")))
+             for source, m in numbers.items()]
     values = frame.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
-    medians = quantiles(values, "v", [0.5], ("measure",)).select("measure", F.col("q")[0].alias("__median"))
-    joined = result.join(medians, "measure", "left")
-    return (joined.withColumn("median", F.col("__median"))
-            .withColumn("total", F.when(F.col("agg") == "median", F.col("__median")).otherwise(F.col("total")))
-            .drop("__median"))
+    medians = quantiles(values, "v", [0.5], ("__source",)).select("__source", F.col("q")[0].alias("median"))
+    total = F.when(F.col("agg") == "median", F.col("median")).otherwise(F.col("total"))
+    return result.join(medians, "__source", "left").withColumn("total", total)
 
 
 @analysis("frequency", 1, "Rows and share per value of a column.", selects=False)
@@ -158,7 +144,7 @@ def ranked_groups(scope: ScopedFrame, dimension: str, measure: str):
     scope.contract.dimension(dimension)
     m = combinable(scope, measure)
     unit = scope.per_unit(m, [dimension])
-    grouped = totals(unit, unit.frame, m, [F.col(quoted(dimension))], ["member"])
+    grouped = totals(unit.frame, m, [F.col(quoted(dimension))], ["member"])
     return grouped, m
 
 
@@ -213,7 +199,7 @@ def distribution_quantiles(scope: ScopedFrame, measure: str) -> DataFrame:
     m = valued(scope, measure)
     unit = scope.per_unit(m, [])
     values = unit.frame.select(finite_value(unit.frame, measure).alias("v"))
-    q = quantiles(values, "v", list(QUANTILES), rows=unit.analysed)
+    q = quantiles(values, "v", list(QUANTILES))
     points = F.array(*[F.struct(F.lit(p).alias("prob"), F.col("q")[i].alias("value"))
                        for i, p in enumerate(QUANTILES)])
     return q.select(F.explode(points).alias("s")).select("s.*")
@@ -246,7 +232,7 @@ def cross_tab(scope: ScopedFrame, rows: str, columns: str, measure: str | None =
         cells = frame.groupBy(*both, c.alias("__v")).agg(counted)
         rolled = cells.groupingSets(sets, *both).agg(
             F.count_distinct("__v").alias("value"), F.sum("__rows").alias("rows"), *_margins())
-    elif needs_ranking(m, unit):
+    elif m.agg == "median":
         rolled = _ranked_cells(frame, m, both)
     else:
         rolled = frame.groupingSets(sets, *both).agg(
@@ -255,17 +241,16 @@ def cross_tab(scope: ScopedFrame, rows: str, columns: str, measure: str | None =
 
 
 def _ranked_cells(frame: DataFrame, m, both: list[str]) -> DataFrame:
-    """Medians of cells and margins by ranked values, for tables too large for one task's aggregate."""
-    values = frame.withColumn("__v", F.col(quoted(m.name)).cast("double"))
-    counts = frame.groupBy(*both).agg(F.count(F.lit(1)).alias("__rows"))
+    """Medians of cells and margins by ranked values. The values of the cells are counted and written once."""
+    counts = cut(frame.groupBy(*both, finite_value(frame, m.name).alias("__v")).agg(F.count(F.lit(1)).alias("__rows")))
     out = None
     for by in (tuple(both), (both[0],), (both[1],), ()):
-        q = quantiles(values, "__v", [0.5], by)
+        q = quantiles(counts, "__v", [0.5], by, "__rows")
         n = counts.groupBy(*by).agg(F.sum("__rows").alias("rows"))
         same = F.lit(True)
         for b in by:
             same = same & n[b].eqNullSafe(q[b])
-        kinds = {b: frame.schema[b].dataType for b in both}
+        kinds = {b: counts.schema[b].dataType for b in both}
         one = n.join(q, same, "left").select(
             *[(n[b] if b in by else F.lit(None).cast(kinds[b])).alias(b) for b in both], F.col("q")[0].alias("value"), "rows",
             F.lit(both[1] not in by).alias("is_row_total"), F.lit(both[0] not in by).alias("is_column_total"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from grainwise.errors import NotPossible, ParamsInvalid
 from grainwise.functions import calendar as cal
 from grainwise.functions.exprs import quoted, ratio
+from grainwise.functions.ranks import running
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
 from grainwise.session import cut
@@ -88,10 +89,8 @@ def repeat_summary(scope: ScopedFrame, entity: str, event: str | None = None) ->
     days = cut(person_days(scope, entity, event))
     per = days.groupBy("k").agg(F.sum("n").alias("n"))
     spread = per.groupBy("n").agg(F.count(F.lit(1)).alias("people"))
-    order = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cut(spread).withColumn("upto", F.sum("people").over(order))  # one row per distinct count
-    whole = F.sum("people").over(Window.partitionBy())
-    middle = placed.withColumn("half", F.floor((whole + 1) / 2))
+    placed = running(spread, [("n", False)], {"before": "people"}).withColumn("upto", F.col("before") + F.col("people"))
+    middle = placed.withColumn("half", F.floor((F.col("before_whole") + 1) / 2))
     summary = middle.agg(
         F.sum("people").alias("people"), F.sum(F.col("people") * F.col("n")).alias("events"),
         ratio(F.sum(F.when(F.col("n") > 1, F.col("people")).otherwise(0)), F.sum("people")).alias("repeat_rate"),

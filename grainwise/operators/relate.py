@@ -14,7 +14,7 @@ from grainwise.operators.common import valued
 from grainwise.operators.time import in_periods, labelled_pair
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
-from grainwise.session import cut, small_rows
+from grainwise.session import cut
 
 
 def pairs(scope: ScopedFrame, measure: str, against: str) -> DataFrame:
@@ -37,8 +37,6 @@ def correlation(scope: ScopedFrame, measure: str, against: str) -> DataFrame:
     present = F.col("x").isNotNull() & F.col("y").isNotNull()
     linear = both.agg(F.count_if(present).alias("pairs"), F.count_if(~present).alias("dropped"),
                       safe_corr(F.col("x"), F.col("y")).alias("pearson"))
-    if scope.analysed <= small_rows(both.sparkSession):
-        return linear.select("pairs", "dropped", "pearson", _small_spearman(both.where(present)).scalar().alias("spearman"))
     counted = cut(both.where(present).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
     ranks = {}
     for side in ("x", "y"):
@@ -50,16 +48,6 @@ def correlation(scope: ScopedFrame, measure: str, against: str) -> DataFrame:
                          rank.select("spearman").scalar().alias("spearman"))
 
 
-def _small_spearman(complete: DataFrame) -> DataFrame:
-    """Average ranks by one sorted window a side, for a table counted to fit one task."""
-    ranked = complete.withColumn("n", F.lit(1).cast("long"))
-    for side in ("x", "y"):
-        order = Window.orderBy(side)
-        ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
-        ranked = ranked.withColumn(f"r{side}", F.rank().over(order) + (ties - 1) / F.lit(2.0))
-    return ranked.agg(weighted_corr(F.col("rx"), F.col("ry"), F.col("n")).alias("spearman"))
-
-
 def correlation_gap(result: DataFrame) -> DataFrame:
     """The two coefficients and whether they differ by 0.1 or more."""
     gap = F.abs(F.col("pearson") - F.col("spearman"))
@@ -70,12 +58,13 @@ def correlation_gap(result: DataFrame) -> DataFrame:
 def bivariate(scope: ScopedFrame, measure: str, against: str, bins: int = 10) -> DataFrame:
     """Distinct values are divided, and every row follows its own value.
 
-    The slices are ranges, so at most `bins` edges place the rows; no value-to-bin join is needed.
+    Pairs are counted and written once; edges, means and medians come from there. The slices are ranges, so at most `bins` edges place the rows; no value-to-bin join is needed.
     """
     if isinstance(bins, bool) or not isinstance(bins, int) or not 2 <= bins <= 50:
         raise ParamsInvalid(f"bins must be a whole number from 2 to 50; got {bins!r}")
-    both = pairs(scope, measure, against).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    edges = slice_edges(both.select("x").distinct(), bins, scope.analysed)
+    complete = pairs(scope, measure, against).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    both = cut(complete.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    edges = slice_edges(both.select("x").distinct(), bins)
     if not edges:
         return both.select(F.lit(None).cast("int").alias("bin"), F.col("x").alias("lo"), F.col("x").alias("hi"),
                            F.lit(0).cast("long").alias("rows"), F.col("y").alias("mean"), F.col("y").alias("median")).limit(0)
@@ -83,21 +72,17 @@ def bivariate(scope: ScopedFrame, measure: str, against: str, bins: int = 10) ->
     for edge in edges[1:]:
         slot = slot + (F.col("x") >= F.lit(edge)).cast("int")
     placed = both.withColumn("bin", slot)
-    big = scope.analysed > small_rows(both.sparkSession)
-    median = F.lit(None).cast("double") if big else F.percentile("y", F.lit(0.5))
     result = placed.groupBy("bin").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("rows"),
-        F.avg("y").alias("mean"), median.alias("median"))
-    if big:
-        medians = quantiles(placed, "y", [0.5], ("bin",)).select("bin", F.col("q")[0].alias("median"))
-        result = result.drop("median").join(medians, "bin")
-    return result.select("bin", "lo", "hi", "rows", "mean", "median")
+        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("rows"),
+        (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("mean"))
+    medians = quantiles(placed, "y", [0.5], ("bin",), "n").select("bin", F.col("q")[0].alias("median"))
+    return result.join(medians, "bin").select("bin", "lo", "hi", "rows", "mean", "median")
 
 
-def slice_edges(distinct_values: DataFrame, bins: int, rows: int | None = None) -> list[float]:
+def slice_edges(distinct_values: DataFrame, bins: int) -> list[float]:
     """The lowest value of each of `bins` equal slices of distinct `x` values, at most `bins` rows."""
     placed = running(distinct_values.withColumn("__one", F.lit(1).cast("long")), [("x", False)],
-                     {"before": "__one"}, rows=rows)
+                     {"before": "__one"})
     size, extra = F.floor(F.col("before_whole") / bins), F.col("before_whole") % bins
     # The first `extra` slices hold one value more than the rest.
     fat = extra * (size + 1)

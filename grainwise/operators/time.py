@@ -26,7 +26,7 @@ def series(scope: ScopedFrame, measures: list, grain: str, only: Column | None =
     period = cal.period_of(scope.date, grain)
     grouped = None
     for i, m in enumerate(measures):
-        one = totals(scope, frame, m, [period], ["period"])
+        one = totals(frame, m, [period], ["period"])
         one = one.select("period", F.col("value").alias(f"v{i}"), F.col("rows").alias(f"rows{i}"))
         grouped = one if grouped is None else grouped.join(one, "period")
     if grouped is None:
@@ -107,7 +107,7 @@ def trend(scope: ScopedFrame, measure: str, grain: str = cal.DEFAULT_GRAIN,
     members = unit.frame.select(F.col(quoted(dimension)).alias("member")).distinct()
     frame = unit.frame.where(unit.date.isNotNull())
     keys = [cal.period_of(unit.date, grain), F.col(quoted(dimension))]
-    grouped = totals(unit, frame, m, keys, ["p", "g"])
+    grouped = totals(frame, m, keys, ["p", "g"])
     # Each member gets its own calendar, so its absent periods are rows too.
     calendar = unit.calendar(grain)
     lo, hi = (cal.period_of(calendar.bounds.select(c).scalar(), grain) for c in ("lo", "hi"))
@@ -170,7 +170,7 @@ def period_compare(scope: ScopedFrame, measure: str, period: str, baseline: str,
     m = combinable(scope, measure)
     unit = scope.per_unit(m, [scope.contract.dated()])
     day = cal.period_of(unit.date, grain)
-    grouped = totals(unit, unit.frame.where(in_periods(unit, (base, current), grain)), m, [day], ["p"])
+    grouped = totals(unit.frame.where(in_periods(unit, (base, current), grain)), m, [day], ["p"])
     spark = unit.source.sparkSession
     pair = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(first).alias("first"), F.lit(label).alias("period"), F.lit(is_base).alias("is_base"),
@@ -208,7 +208,7 @@ def growth_decomposition(scope: ScopedFrame, measure: str, dimension: str, perio
     frame = unit.frame.where(in_periods(unit, (base, current), grain))
     # The base period comes first exactly when a row is before its end.
     is_base = (unit.date >= F.lit(base)) & (unit.date < F.lit(cal.next_period(base, grain)))
-    grouped = totals(unit, frame, m, [F.col(quoted(dimension)), is_base], ["member", "is_base"])
+    grouped = totals(frame, m, [F.col(quoted(dimension)), is_base], ["member", "is_base"])
     sides = grouped.groupBy("member").agg(
         F.max(F.when(F.col("is_base"), F.col("value"))).alias("base"),
         F.max(F.when(~F.col("is_base"), F.col("value"))).alias("current"),

@@ -123,19 +123,20 @@ def _values(scope: ScopedFrame, measure: str, dimension: str | None):
 def outlier_detection(scope: ScopedFrame, measure: str, dimension: str | None = None) -> DataFrame:
     if dimension is not None:
         return outliers_within(scope, measure, dimension)
-    unit, values = _values(scope, measure, None)
+    _, values = _values(scope, measure, None)
     stats = values.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd")).first()
-    q = quantiles(values, "v", [0.25, 0.5, 0.75], rows=unit.analysed).first()
+    counts = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("rows")))  # all that follows reads the counted values
+    q = quantiles(counts, "v", [0.25, 0.5, 0.75], n="rows").first()
     n = stats["n"]
     if n < MIN_VALUES:
         return values.select(F.lit("").alias("method"), F.col("v").alias("lower"), F.col("v").alias("upper"),
                              F.lit(n).alias("flagged"), F.col("v").alias("share")).limit(0)
-    away = values.select(F.abs(F.col("v") - F.lit(q["q"][1])).alias("v"))
-    mad = quantiles(away, "v", [0.5], rows=unit.analysed).first()["q"][0]
+    away = counts.select(F.abs(F.col("v") - F.lit(q["q"][1])).alias("v"), "rows")
+    mad = quantiles(away, "v", [0.5], n="rows").first()["q"][0]
     array = F.array(*[F.lit(x) for x in q["q"]])
     fences = _fences(array, F.lit(stats["mean"]), F.lit(stats["sd"]), F.lit(mad))
     outside = [(F.col("v") < lo) | (F.col("v") > hi) for _, lo, hi in fences]
-    counted = values.agg(*[F.count_if(F.coalesce(o, F.lit(False))).alias(f"f{i}") for i, o in enumerate(outside)])
+    counted = counts.agg(*[F.coalesce(F.sum(F.when(o, F.col("rows"))), F.lit(0)).alias(f"f{i}") for i, o in enumerate(outside)])
     rows = [F.struct(F.lit(name).alias("method"), lo.alias("lower"), hi.alias("upper"),
                      F.when(lo.isNotNull(), F.col(f"f{i}")).alias("flagged"),
                      F.when(lo.isNotNull(), ratio(F.col(f"f{i}"), F.lit(n))).alias("share"))
@@ -158,15 +159,15 @@ def outlier_agreement(scope: ScopedFrame, measure: str) -> DataFrame:
 def outliers_within(scope: ScopedFrame, measure: str, dimension: str) -> DataFrame:
     """The same fences within each member, however many there are."""
     scope.contract.dimension(dimension)
-    unit, values = _values(scope, measure, dimension)
+    _, values = _values(scope, measure, dimension)
     stats = cut(values.groupBy("member").agg(F.count("v").alias("n"), F.avg("v").alias("mean"),
                                              F.stddev_samp("v").alias("sd")))
-    q = quantiles(values, "v", [0.25, 0.5, 0.75], ("member",), rows=unit.analysed)
+    q = quantiles(values, "v", [0.25, 0.5, 0.75], ("member",))
     known = cut(stats.join(q.withColumnRenamed("member", "__m"), F.col("member").eqNullSafe(F.col("__m")))
                 .drop("__m").withColumnRenamed("member", "g"))
     near = values.join(known, F.col("member").eqNullSafe(F.col("g")))
     away = near.select(F.col("g"), F.abs(F.col("v") - F.col("q")[1]).alias("d"))
-    mad = quantiles(away, "d", [0.5], ("g",), rows=unit.analysed).select(
+    mad = quantiles(away, "d", [0.5], ("g",)).select(
         F.col("g").alias("__g"), F.col("q")[0].alias("mad"))
     bounds = cut(known.join(mad, F.col("g").eqNullSafe(F.col("__g"))).drop("__g"))
     judged = values.join(bounds, F.col("member").eqNullSafe(F.col("g")))

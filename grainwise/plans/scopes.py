@@ -70,7 +70,7 @@ def _(spark, folder):
 @query("compare_measure", LINES_SQL + f"""SELECT l_linestatus AS member, {r6('avg(CASE WHEN tax > discount THEN 1.0 WHEN tax <= discount THEN 0.0 END)', 'value')}, count(*) AS rows FROM s GROUP BY 1""")
 def _(spark, folder):
     scope = lines(spark, folder)
-    return totals(scope, scope.frame, scope.contract.measure("taxed_more"), [F.col("l_linestatus")], ["member"])
+    return totals(scope.frame, scope.contract.measure("taxed_more"), [F.col("l_linestatus")], ["member"])
 
 
 _UNIT_SQL = """WITH j AS (SELECT l_orderkey, l_linenumber, CAST(o_totalprice AS DECIMAL(18,2)) AS order_value, o_orderpriority AS priority
@@ -99,7 +99,7 @@ def _(spark, folder):
     scope = sales(spark, folder)
     out = None
     for name in _AGGS:
-        one = totals(scope, scope.frame, scope.contract.measure(name), [F.col("status")], ["member"]).select(
+        one = totals(scope.frame, scope.contract.measure(name), [F.col("status")], ["member"]).select(
             F.lit(name).alias("measure"), "member", F.col("value").cast("double").alias("value"), "rows")
         out = one if out is None else out.unionByName(one)
     return out

@@ -10,7 +10,7 @@ from grainwise.functions import readings
 from grainwise.functions.exprs import count_where, finite, finite_value, matches, quoted, ratio
 from grainwise.functions.ranks import quantiles
 from grainwise.profiling.evidence import column_evidence, hashable, with_roles
-from grainwise.session import cut, small_rows, spread
+from grainwise.session import cut, spread
 
 # Texts that mean a missing value, compared without case.
 MISSING_TOKENS = (
@@ -108,24 +108,21 @@ class TextCells:
         return every.join(counted, "column", "left").select("column", *[F.coalesce(k, F.lit(0)).alias(k) for k in flags])
 
 
-def numeric_profile(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """column, mean, stddev, q1, median, q3, non_finite over finite values."""
+def numeric_profile(df: DataFrame) -> DataFrame:
+    """column, mean, stddev, q1, median, q3, non_finite over finite values. One ranked pass serves every column."""
     columns = number_columns(df)
-    rows = df.count() if rows is None else rows
     value = {c: finite_value(df, c) for c in columns}
 
     def strange(c: str) -> Column:
         return count_where(F.col(quoted(c)).isNotNull() & ~finite(df, c)) if is_floating(df.schema[c].dataType) else F.lit(0).cast("long")
 
     basics = {"mean": lambda c: F.avg(value[c]), "stddev": lambda c: F.stddev_samp(value[c]), "non_finite": strange}
-    if rows <= small_rows(df.sparkSession):
-        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        out = fused(df, columns, {**basics, "q": lambda c: F.percentile(value[c], probs)})
-    else:
-        # One ranked pass serves every column: the column is the group.
+    out = fused(df, columns, basics)
+    if columns:
         values = melted(df, columns, lambda c: value[c])
-        q = quantiles(values, "value", [0.25, 0.5, 0.75], ("column",))
-        out = fused(df, columns, basics).join(q, "column", "left")
+        out = out.join(quantiles(values, "value", [0.25, 0.5, 0.75], ("column",)), "column", "left")
+    else:
+        out = out.withColumn("q", F.lit(None).cast("array<double>"))
     return out.select("column", "mean", "stddev", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                       F.col("q")[2].alias("q3"), "non_finite")
 
@@ -250,8 +247,7 @@ def profile_table(df: DataFrame, only: str | None = None, tokens=MISSING_TOKENS)
     """Everything above, one row per column. Naming a column prunes the scan to it."""
     table = df.select(quoted(only)) if only else df
     evidence = with_roles(column_evidence(table))
-    rows = table.count()
-    numbers = numeric_profile(table, rows)
+    numbers = cut(numeric_profile(table))  # one row a column, read for the fences and for the result
     parts = [missing_profile(table, tokens).drop("nulls"), numbers,
              type_reading(table, tokens).select("column", "best", "ratio", "is_named", "leading_zeros", "currency"),
              outlier_profile(table, numbers)]

@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows up to which an in-memory exact percentile is used; beyond it the ranked path runs.
-SMALL_ROWS_CONF = "spark.grainwise.smallRows"
-SMALL_ROWS_DEFAULT = 2_000_000
-
 
 def local_session(cores: int | str = "*", app: str = "grainwise", **conf: str) -> SparkSession:
     """A local session with the settings the operators assume (UTC, ANSI, AQE)."""
@@ -30,10 +26,6 @@ def local_session(cores: int | str = "*", app: str = "grainwise", **conf: str) -
     return builder.getOrCreate()
 
 
-def small_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(SMALL_ROWS_CONF, str(SMALL_ROWS_DEFAULT)))
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

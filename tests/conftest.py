@@ -9,11 +9,3 @@ def spark():
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def ranked_path(spark):
-    """Every quantile and rank by range-partitioned slices, as on a table too large for one task."""
-    spark.conf.set("spark.grainwise.smallRows", "0")
-    yield
-    spark.conf.unset("spark.grainwise.smallRows")

@@ -1,6 +1,7 @@
 """Known answers on small frames, and the refusals."""
 
-from datetime import date
+import statistics
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,15 +173,40 @@ def test_share_is_blank_when_it_would_lie(spark):
     assert {r["member"]: r["share"] for r in compare.group_compare(s, "g", "v").collect()} == {"a": None, "b": None, None: None}
 
 
-def test_medians_of_cells_by_either_path(spark):
+def test_medians_of_cells_and_margins(spark):
     s = scope(spark, measures=(Measure("mid", "median", column="x"),))
-    small = sorted(map(str, run(s, "cross_tab", rows="g10", columns="h", measure="mid").collect()))
-    spark.conf.set("spark.grainwise.smallRows", "0")
-    try:
-        large = sorted(map(str, run(s, "cross_tab", rows="g10", columns="h", measure="mid").collect()))
-    finally:
-        spark.conf.unset("spark.grainwise.smallRows")
-    assert small == large and len(small) == 23
+    rows = [(r["g10"], r["h"], r["x"]) for r in s.frame.select("g10", "h", "x").collect()]
+    got = {(r["row_member"], r["column_member"], r["is_row_total"], r["is_column_total"]): (r["value"], r["rows"])
+           for r in run(s, "cross_tab", rows="g10", columns="h", measure="mid").collect()}
+    want = {}
+    for g, h, x in rows:
+        for key in ((g, h, False, False), (g, None, True, False), (None, h, False, True), (None, None, True, True)):
+            want.setdefault(key, []).append(x)
+    assert got == {k: (pytest.approx(statistics.median([x for x in v if x is not None])), len(v)) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("agg, total", [("median", 3.0), ("mean", 3.0), ("sum", 9.0), ("min", 1.0), ("max", 5.0)])
+def test_every_aggregate_is_over_finite_values(spark, agg, total):
+    odd = [float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([("a", v, "k") for v in [1.0, 3.0, 5.0, *odd]], "g string, v double, h string")
+    s = scope_for(df, DatasetContract(dataset="s", grain="a row", measures=(Measure("v", agg),), dimensions=("g", "h")))
+    assert {(r["total"], r["median"]) for r in run(s, "group_compare", dimension="g", measure="v").collect()} == {(total, 3.0)}
+    assert [r["total"] for r in run(s, "top_n", dimension="g", measure="v").collect()] == [total]
+    assert {r["value"] for r in run(s, "cross_tab", rows="g", columns="h", measure="v").collect()} == {total}
+    assert run(s, "summary_stats").first()["total"] == total
+
+
+def test_ranking_shift_places_any_number_of_members(spark):
+    start = date(2024, 1, 1)
+    rows = [(f"m{i:03d}", start + timedelta(days=40 * side), float((i * 37) % 101 + side * i)) for i in range(120) for side in (0, 1) if (i + side) % 7]
+    df = spark.createDataFrame(rows, "g string, d date, v double")
+    s = scope_for(df, DatasetContract(dataset="s", grain="a row", measures=(Measure("v", "sum"),), dimensions=("g",), date_column="d"))
+    got = {r["member"]: (r["rank_before"], r["rank_after"]) for r in run(
+        s, "ranking_shift", dimension="g", measure="v", before_start="2024-01-01", before_end="2024-01-31",
+        after_start="2024-02-01", after_end="2024-02-29").collect()}
+    place = [{g: n for n, (g, _, _) in enumerate(sorted((r for r in rows if (r[1] > start) == late), key=lambda r: (-r[2], r[0])), 1)}
+             for late in (False, True)]
+    assert got == {g: (place[0].get(g), place[1].get(g)) for g in {r[0] for r in rows}}
 
 
 def test_non_finite_values_are_set_aside(spark):

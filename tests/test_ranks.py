@@ -1,4 +1,4 @@
-"""The two ways to rank must agree with each other and with plain Python."""
+"""Ranks and quantiles across slices must agree with plain Python."""
 
 import random
 import statistics
@@ -7,9 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainwise.functions.ranks import midranks, positions, quantiles, running
-from grainwise.plans import load
-
-FOLDER = "/root/testdata/sf0.001"
 
 
 def skewed(spark, n=3000):
@@ -27,31 +24,28 @@ def interpolated(values, p):
     return values[lo] + (values[hi] - values[lo]) * (at - lo)
 
 
-@pytest.mark.parametrize("rows", [None, 3000])
-def test_quantiles_are_exact_in_every_group(spark, rows):
+def test_quantiles_are_exact_in_every_group(spark):
     data, df = skewed(spark)
-    got = {r["g"]: r["q"] for r in quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0], ("g",), rows=rows).collect()}
+    got = {r["g"]: r["q"] for r in quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0], ("g",)).collect()}
     for g in {x for x, _ in data}:
         values = [v for x, v in data if x == g]
         assert got[g] == pytest.approx([interpolated(values, p) for p in (0.0, 0.25, 0.5, 0.9, 1.0)])
 
 
-@pytest.mark.parametrize("rows", [None, 3000])
-def test_running_totals_follow_the_order(spark, rows):
+def test_running_totals_follow_the_order(spark):
     data, df = skewed(spark)
     counts = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = running(counts, [("v", True)], {"before": "n"}, ("g",), rows=rows).collect()
+    placed = running(counts, [("v", True)], {"before": "n"}, ("g",)).collect()
     for r in placed[::17]:
         group = [v for x, v in data if x == r["g"]]
         assert r["before"] == sum(v > r["v"] for v in group)
         assert r["before_whole"] == len(group)
 
 
-@pytest.mark.parametrize("rows", [None, 3000])
-def test_midranks_average_over_ties(spark, rows):
+def test_midranks_average_over_ties(spark):
     data, df = skewed(spark)
     values = df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    got = {r["v"]: r["midrank"] for r in midranks(values, "v", "n", rows).collect()}
+    got = {r["v"]: r["midrank"] for r in midranks(values, "v", "n").collect()}
     everything = [v for _, v in data]
     for v in list(got)[::50] + [5.0]:
         below = sum(x < v for x in everything)
@@ -65,23 +59,22 @@ def test_positions_number_every_row_once(spark):
     assert got == sorted(got, key=lambda r: (-r[1], r[2]))
 
 
-# Each of these ranks or takes quantiles, so it has two paths that must not differ.
-TWO_PATHS = ["summary_stats", "group_compare", "pareto", "concentration", "distribution_quantiles", "trend_median", "correlation",
-             "bivariate", "outliers_global", "outliers_within_group", "mann_whitney", "kruskal", "profile_numeric", "cross_tab_distinct", "agg_declared"]
+def test_median_of_even_counts(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "v double")
+    assert quantiles(df, "v", [0.5]).first()["q"] == [statistics.median([1, 2, 3, 4])]
 
 
-@pytest.mark.parametrize("name", TWO_PATHS)
-def test_both_paths_give_the_same_rows(spark, name):
-    run = load()[name].run
-    small = sorted(map(str, run(spark, FOLDER).collect()))
-    spark.conf.set("spark.grainwise.smallRows", "0")
-    try:
-        large = sorted(map(str, run(spark, FOLDER).collect()))
-    finally:
-        spark.conf.unset("spark.grainwise.smallRows")
-    assert small == large
+def test_quantiles_of_counted_values(spark):
+    data, df = skewed(spark)
+    counts = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    got = {r["g"]: r["q"] for r in quantiles(counts, "v", [0.25, 0.5], ("g",), "n").collect()}
+    for g in {x for x, _ in data}:
+        assert got[g] == pytest.approx([interpolated([v for x, v in data if x == g], p) for p in (0.25, 0.5)])
 
 
-def test_median_of_even_counts(spark):
-    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "v double")
-    assert quantiles(df, "v", [0.5]).first()["q"] == [statistics.median([1, 2, 3, 4])]
+def test_positions_start_anew_in_every_group(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"))
+    got = {(r["g"], r["id"]): (r["position"], r["position_whole"]) for r in positions(df, [("id", True)], ("g",)).collect()}
+    for g in range(3):
+        ids = sorted((i for i in range(1000) if i % 3 == g), reverse=True)
+        assert [got[g, i] for i in ids] == [(n, len(ids)) for n in range(1, len(ids) + 1)]
