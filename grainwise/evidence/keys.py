@@ -14,9 +14,10 @@ from grainwise.profiling.evidence import IDENTIFIER_NAME, ColumnEvidence, gather
 from grainwise.profiling.table import duplicate_rows
 from grainwise.scope import varying_within
 
-# Pairs probed at most, and the roles a key may be made of.
-PAIR_CAP = 200
+# The roles a key may be made of.
 KEY_ROLES = ("identifier", "dimension", "date", "flag")
+#: Pairs estimated in one aggregate. All are probed, in as many aggregates as that takes.
+PAIRS_AT_ONCE = 200
 #: A pair whose estimate falls this far under the row count cannot be unique (the estimate is within 2%).
 SCREEN = 0.85
 
@@ -86,8 +87,8 @@ def key_singles(df: DataFrame, evidence: list[ColumnEvidence] | None = None) ->
     return df.sparkSession.createDataFrame(rows, "column string, rows bigint, distinct bigint, is_key boolean")
 
 
-def candidate_pairs(evidence: list[ColumnEvidence]) -> tuple[list[tuple[str, str]], int]:
-    """Pairs worth probing, likeliest first, and how many the cap leaves out.
+def candidate_pairs(evidence: list[ColumnEvidence]) -> list[tuple[str, str]]:
+    """Pairs worth probing, likeliest first.
 
     A column unique by itself makes every pair unique, a constant adds nothing, and a pair cannot
     be unique when its sides do not multiply to the row count.
@@ -100,24 +101,26 @@ def candidate_pairs(evidence: list[ColumnEvidence]) -> tuple[list[tuple[str, str
         named = any(re.search(IDENTIFIER_NAME, c.name) for c in pair)
         return (not named, min(c.distinct for c in pair))
 
-    ordered = [(a.name, b.name) for a, b in sorted(pairs, key=likelihood)]
-    return ordered[:PAIR_CAP], max(0, len(ordered) - PAIR_CAP)
+    return [(a.name, b.name) for a, b in sorted(pairs, key=likelihood)]
 
 
 def key_pairs(df: DataFrame, evidence: list[ColumnEvidence] | None = None) -> DataFrame:
-    """first, second, distinct, rows, is_unique, skipped for the pairs that survive an estimate.
+    """first, second, distinct, rows, is_unique for the pairs that survive an estimate.
 
-    One estimate job screens every pair; one exact job counts the survivors together.
+    Estimates screen every pair; one exact job counts the survivors together.
     """
     ev = evidence or gather(df)
-    schema = "first string, second string, distinct bigint, rows bigint, is_unique boolean, skipped int"
-    pairs, skipped = candidate_pairs(ev)
+    schema = "first string, second string, distinct bigint, rows bigint, is_unique boolean"
+    pairs = candidate_pairs(ev)
     spark = df.sparkSession
     if not pairs:
         return spark.createDataFrame([], schema)
     n = ev[0].rows
-    estimate = df.agg(*[F.approx_count_distinct(_key_hash(df, p)[0], 0.02).alias(f"p{i}") for i, p in enumerate(pairs)]).first()
-    alive = [p for i, p in enumerate(pairs) if estimate[f"p{i}"] >= SCREEN * n]
+    alive = []
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        some = pairs[at:at + PAIRS_AT_ONCE]
+        estimate = df.agg(*[F.approx_count_distinct(_key_hash(df, p)[0], 0.02) for p in some]).first()
+        alive += [p for p, seen in zip(some, estimate) if seen >= SCREEN * n]
     if not alive:
         return spark.createDataFrame([], schema)
     cells = []
@@ -126,7 +129,7 @@ def key_pairs(df: DataFrame, evidence: list[ColumnEvidence] | None = None) -> Da
         cells.append(F.struct(F.lit(i).alias("i"), h[0].alias("a"), h[1].alias("b")))
     seen = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").distinct()
     counts = {r["i"]: r["n"] for r in seen.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = [(a, b, counts.get(i, 0), n, counts.get(i, 0) == n, skipped) for i, (a, b) in enumerate(alive)]
+    rows = [(a, b, counts.get(i, 0), n, counts.get(i, 0) == n) for i, (a, b) in enumerate(alive)]
     return spark.createDataFrame(rows, schema)
 
 

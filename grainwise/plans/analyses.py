@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from grainwise.contract import DatasetContract, Measure
 from grainwise.operators import describe, infer, people, relate, time, unusual
 from grainwise.plans.base import (
-    DOCS_SQL, EVENTS_SQL, LINES_SQL, ORDERS_SQL, SALES_SQL, documents, events, lines, orders, query, r6, sales)
+    DIRTY_SQL, DOCS_SQL, EVENTS_SQL, LINES_SQL, ORDERS_SQL, SALES_SQL, dirty, documents, events, lines, orders, query, r6, sales)
 from grainwise.registry import run
+from grainwise.scope import scope_for
 
 
 def _stat_row(name: str, agg: str, total: str, column: str, filled: bool = True) -> str:
@@ -143,6 +145,20 @@ def _(spark, folder):
     return run(sales(spark, folder), "group_compare", dimension="status", measure="price")
 
 
+_FINITE = "FILTER (WHERE isfinite(reading))"
+
+
+@query("group_compare_median_non_finite", DIRTY_SQL + f"""SELECT status AS member, grouping(status) = 1 AS is_all, count(reading) AS n,
+count(*) - count(reading) AS nulls, {r6(f'median(reading) {_FINITE}', 'total')}, {r6(f'min(reading) {_FINITE}', 'min')},
+{r6(f'max(reading) {_FINITE}', 'max')}, {r6(f'avg(reading) {_FINITE}', 'mean')}, {r6(f'median(reading) {_FINITE}', 'median')},
+{r6(f'stddev_samp(reading) {_FINITE}', 'stddev')}, {r6('NULL', 'share')}, count(*) AS rows
+FROM d GROUP BY GROUPING SETS ((status), ())""")
+def _(spark, folder):
+    contract = DatasetContract(dataset="readings", grain="one order", key=("o_orderkey",), measures=(Measure("reading", "median"),),
+                               dimensions=("status",))
+    return run(scope_for(dirty(spark, folder), contract), "group_compare", dimension="status", measure="reading")
+
+
 _PARETO = """, g AS (SELECT o_custkey AS member, sum(price) AS total, count(*) AS rows FROM s GROUP BY 1),
 k AS (SELECT *, row_number() OVER w AS rank, sum(coalesce(total, 0)) OVER w AS upto, (SELECT sum(total) FROM g) AS whole FROM g
 WINDOW w AS (ORDER BY total DESC NULLS LAST, member ASC NULLS LAST))
@@ -166,20 +182,32 @@ def _(spark, folder):
     return run(sales(spark, folder), "concentration", dimension="o_custkey", measure="price")
 
 
-@query("ranking_shift", SALES_SQL + f""", b AS (SELECT status || priority AS x, status, priority, price, odate FROM s),
-f AS (SELECT priority AS member, sum(price) AS t, row_number() OVER (ORDER BY sum(price) DESC NULLS LAST, priority) AS rk
-      FROM s WHERE odate >= DATE '1996-01-01' AND odate < DATE '1998-01-01' AND price < 60000 GROUP BY 1),
-a AS (SELECT priority AS member, sum(price) AS t, row_number() OVER (ORDER BY sum(price) DESC NULLS LAST, priority) AS rk
-      FROM s WHERE odate >= DATE '1997-06-01' AND odate < DATE '2000-07-01' AND price < 60000 GROUP BY 1)
+def _shift_sql(member: str) -> str:
+    def side(name: str, start: str, stop: str) -> str:
+        return f"""{name} AS (SELECT {member} AS member, sum(price) AS t, row_number() OVER (ORDER BY sum(price) DESC NULLS LAST, {member}) AS rk
+FROM s WHERE odate >= DATE '{start}' AND odate < DATE '{stop}' GROUP BY 1)"""
+    return SALES_SQL + f""", {side('f', '1996-01-01', '1998-01-01')}, {side('a', '1997-06-01', '2000-07-01')}
 SELECT coalesce(f.member, a.member) AS member, {r6('f.t', 'total_before')}, f.rk AS rank_before, {r6('a.t', 'total_after')},
 a.rk AS rank_after, f.rk - a.rk AS change,
 CASE WHEN f.member IS NULL THEN 'new' WHEN a.member IS NULL THEN 'gone' ELSE 'moved' END AS state
-FROM f FULL JOIN a ON f.member = a.member""")
-def _(spark, folder):
-    return run(sales(spark, folder), "ranking_shift", where="price < 60000", dimension="priority", measure="price",
+FROM f FULL JOIN a ON f.member IS NOT DISTINCT FROM a.member"""
+
+
+def _shift(spark, folder, dimension):
+    return run(sales(spark, folder), "ranking_shift", dimension=dimension, measure="price",
                before_start="1996-01-01", before_end="1997-12-31", after_start="1997-06-01", after_end="2000-06-30")
 
 
+@query("ranking_shift", _shift_sql("priority"))
+def _(spark, folder):
+    return _shift(spark, folder, "priority")
+
+
+@query("ranking_shift_many", _shift_sql("o_custkey"))
+def _(spark, folder):
+    return _shift(spark, folder, "o_custkey")
+
+
 # --- tier 3 -----------------------------------------------------------------------------------
 
 def _spine(grain: str, step: str, lo: str = "DATE '1996-01-01'", hi: str = "DATE '2000-06-30'", source: str = "s",

@@ -26,7 +26,7 @@ def _(spark, folder):
 
 
 @query("key_pairs", """SELECT 'conv_id' AS first, 'turn' AS second, (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM conversations)) AS "distinct",
-count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM conversations)) = count(*) AS is_unique, 0 AS skipped FROM conversations""")
+count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM conversations)) = count(*) AS is_unique FROM conversations""")
 def _(spark, folder):
     return keys.key_pairs(table(spark, folder, "conversations"))
 

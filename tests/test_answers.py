@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grainwise.contract import Binding, DatasetContract, Measure, Rule, Window, columns_of, fingerprint
 from grainwise.errors import ContractError, NotPossible, ParamsInvalid, TooManyGroups
-from grainwise.evidence import caveats, claims, draft, keys
+from grainwise.evidence import caveats, claims, draft, keys, suggest
 from grainwise.functions.exprs import count_where
 from grainwise.operators import compare, describe, people, time
 from grainwise.profiling import column as one
@@ -137,8 +137,7 @@ def test_refusals(spark):
         people.check_entity(scope(spark, dimensions=("id",)), "id")
     wide = scope(spark, dimensions=("id",))
     with pytest.raises(TooManyGroups):
-        run(wide, "ranking_shift", dimension="id", measure="x", before_start="2023-01-01", before_end="2023-12-31",
-            after_start="2024-01-01", after_end="2024-12-31")
+        run(wide, "hypothesis_test", dimension="id", measure="x")
 
 
 def test_contract_rules(spark):
@@ -286,3 +285,19 @@ def test_caveats_are_read_token_by_token(spark):
     for r in claims.check_caveats(df, list(said)).collect():
         assert r["shape"] == said[r["caveat"]], r
         assert r["status"] == ("unchecked" if r["shape"] == "unchecked" else "agrees"), r
+
+
+def test_a_ratio_that_is_rarely_there_is_found(spark):
+    i = F.col("id")
+    df = spark.range(20_000).select((i % 97 + 3).cast("double").alias("a"), (i % 89 + 2).cast("double").alias("b"),
+                                    F.when(i % 200 == 0, (i % 97 + 3) / (i % 89 + 2)).otherwise(0.0).alias("r"))
+    found = suggest.ratio_of(df, ["r"], ["a", "b", "r"])
+    assert (found["r"]["label"], found["r"]["rows"], found["r"]["hits"]) == ("a / b", 100, 100)
+
+
+def test_every_pair_of_columns_is_probed(spark, monkeypatch):
+    df = spark.range(400).select(*[(F.floor(F.col("id") / 20) if i == 7 else F.col("id") % 20 if i == 9 else F.col("id") % 40).cast("string").alias(f"c{i}")
+                                   for i in range(10)])
+    monkeypatch.setattr(keys, "PAIRS_AT_ONCE", 2)
+    got = {(r["first"], r["second"]) for r in keys.key_pairs(df).where("is_unique").collect()}
+    assert got == {("c7", "c9")}
