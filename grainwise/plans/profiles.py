@@ -188,15 +188,13 @@ def _(spark, folder):
     return one.lengths(table(spark, folder, "documents"), "text")
 
 
-@query("date_coverage", """WITH o AS (SELECT CASE WHEN o_totalprice > 480000 THEN o_orderdate END AS d FROM orders), p AS (SELECT DISTINCT CAST(d AS DATE) AS day FROM o WHERE d IS NOT NULL),
+@query("date_coverage", """WITH o AS (SELECT ts AS d FROM events), p AS (SELECT DISTINCT CAST(d AS DATE) AS day FROM o WHERE d IS NOT NULL),
 b AS (SELECT min(day) AS lo, max(day) AS hi FROM p), a AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b),
 m AS (SELECT day FROM a WHERE day NOT IN (SELECT day FROM p)), r AS (SELECT day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS anchor FROM m)
 SELECT CAST(lo AS VARCHAR) AS first, CAST(hi AS VARCHAR) AS last, (SELECT count(*) FROM a) AS days_in_span, (SELECT count(*) FROM p) AS days_present,
 (SELECT count(*) FROM m) AS days_missing, coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM r GROUP BY anchor)), 0) AS longest_gap FROM b""")
 def _(spark, folder):
-    # A date most orders lack, because of their own dates no day is missing.
-    dated = table(spark, folder, "orders").selectExpr("o_orderkey", "CASE WHEN o_totalprice > 480000 THEN o_orderdate END AS reviewed_on")
-    return one.date_coverage(dated, "reviewed_on")
+    return one.date_coverage(table(spark, folder, "events"), "ts")
 
 
 _ROLE = """CASE WHEN rows > 0 AND non_null = 0 THEN 'ignore' WHEN kind = 'timestamp' THEN 'date'

@@ -296,8 +296,15 @@ def test_a_ratio_that_is_rarely_there_is_found(spark):
 
 
 def test_every_pair_of_columns_is_probed(spark, monkeypatch):
-    df = spark.range(400).select(*[(F.floor(F.col("id") / 20) if i == 7 else F.col("id") % 20 if i == 9 else F.col("id") % 40).cast("string").alias(f"c{i}")
+    df = spark.range(400).select(*[(F.floor(F.col("id") / 20) if i == 7 else F.col("id") % 20 if i == 9 else F.floor(F.col("id") / 2) % 50).cast("string").alias(f"c{i}")
                                    for i in range(10)])
     monkeypatch.setattr(keys, "PAIRS_AT_ONCE", 2)
     got = {(r["first"], r["second"]) for r in keys.key_pairs(df).where("is_unique").collect()}
     assert got == {("c7", "c9")}
+
+
+def test_missing_days_and_the_longest_gap(spark):
+    days = [date(2024, 1, d) for d in (1, 2, 5, 6, 11)]
+    df = spark.createDataFrame([(d,) for d in days for _ in range(3)] + [(None,)], "d date")
+    row = one.date_coverage(df, "d").first()
+    assert (row["days_in_span"], row["days_present"], row["days_missing"], row["longest_gap"]) == (11, 5, 6, 4)
