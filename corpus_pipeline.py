@@ -7,53 +7,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainwise.llm import entropy, kdtree, simhash, toxicity, winnow
-from grainwise.llm.common import table
+from grainwise.llm.common import ROW, numbered, table
 from grainwise.session import cut
 
 #: Bytes of a finished shard.
 SHARD_BYTES = 128 << 20
 
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows numbered as the operators number them: by file and place, so repeated rows stay apart.
-
-    Decisions come back by this number. They grow with the documents, so the joins are merge joins at any size.
-    """
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+# Decisions come back to the documents by the rows' numbers, which every read of the files gives alike. They grow with the
+# documents, so the joins are merge joins at any size.
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go; null and empty texts stay."""
-    found = toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 1")
-    return _numbered(docs).join(found.select(F.col("row").alias("__row")).hint("merge"), "__row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = toxicity.score(rows, table(spark, sf_dir, "labels")).where("predicted = 1")
+    return rows.join(found.select(F.col("row").alias(ROW)).hint("merge"), ROW, "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays, once; of a group without ids, the first row."""
-    groups = simhash.near_groups(docs)
+    rows = numbered(docs)
+    groups = simhash.near_groups(rows)
     kept = (groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
-            .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("__row")))
-    return _numbered(docs).join(kept.hint("merge"), "__row", "left_semi").select(*docs.columns)
+            .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias(ROW)))
+    return rows.join(kept.hint("merge"), ROW, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat a benchmark window go."""
-    found = winnow.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    return _numbered(docs).join(found.select(F.col("row").alias("__row")).hint("merge"), "__row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = winnow.contamination(rows, table(spark, sf_dir, "benchmark")).where("contaminated")
+    return rows.join(found.select(F.col("row").alias(ROW)).hint("merge"), ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    taken = entropy.copies(entropy.word_sizes(docs)).where("copies > 0").select(F.col("row").alias("__row"), "copies")
+    rows = numbered(docs)
+    taken = entropy.copies(entropy.word_sizes(rows)).where("copies > 0").select(F.col("row").alias(ROW), "copies")
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return _numbered(docs).join(taken.hint("merge"), "__row").select(*docs.columns, times.alias("__time")).drop("__time")
+    return rows.join(taken.hint("merge"), ROW).select(*docs.columns, times.alias("__time")).drop("__time")
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and slot; a shard holds about SHARD_BYTES."""
-    placed = kdtree.document_shards(docs, None, [F.monotonically_increasing_id().alias("row_id")], target_bytes=SHARD_BYTES)
+    rows = numbered(docs)
+    placed = kdtree.document_shards(rows, None, [F.col(ROW).alias("row_id")], target_bytes=SHARD_BYTES)
     clear = [c for c in ("shard", "slot") if c not in docs.columns]
-    return _numbered(docs).join(placed.select(F.col("row_id").alias("__row"), *clear).hint("merge"), "__row").drop("__row")
+    return rows.join(placed.select(F.col("row_id").alias(ROW), *clear).hint("merge"), ROW).drop(ROW)
 
 
 STAGES = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from grainwise.session import cut, shuffle_width
 
 #: A word: anything between blanks (space, tab, line feed, vertical tab, form feed, return).
 WORD = r"[^\x20\x09-\x0D]+"
+#: The column of row numbers, and bits of a row's place within its file.
+ROW, PLACE_BITS = "__row", 40
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +28,38 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def _scanned(df: DataFrame) -> bool:
+    """Whether `df` is a file scan with no more than filters and plain columns over it: each row is one row of a file then."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.deterministic() and node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with ROW, a number of the row that every later read gives again.
+
+    It is the row's place within its Parquet file, and the file's place among the files, so it does not depend on how a scan
+    is split, which follows the cores at hand. Rows of anything else are numbered once and written. The driver holds
+    the names of the files.
+    """
+    if "_metadata" not in df.columns and _scanned(df):
+        try:
+            at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+        except AnalysisException:  # not Parquet
+            return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+        names = sorted(r["__file"] for r in at.select("__file").distinct().collect())
+        files = df.sparkSession.createDataFrame(list(enumerate(names)), "__number long, __file string")
+        return (at.join(F.broadcast(files), "__file")
+                .select(*df.columns, (F.shiftleft("__number", PLACE_BITS) + F.col("__at")).alias(ROW)))
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def row_of(df: DataFrame) -> Column:
+    """The rows' numbers where `numbered` gave them, else numbers that hold within this one read."""
+    return F.col(ROW) if ROW in df.columns else F.monotonically_increasing_id()
+
+
 def remainder(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo `parts`; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
@@ -83,5 +118,5 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops.select("b", "b"))
 
 
-__all__ = ["WORD", "Window", "bounds_of", "components", "cut", "place", "remainder", "shuffle_width", "table", "whole_text",
-           "words_of"]
+__all__ = ["ROW", "WORD", "Window", "bounds_of", "components", "cut", "numbered", "place", "remainder", "row_of", "shuffle_width",
+           "table", "whole_text", "words_of"]

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from grainwise.llm.common import F, Window, cut, whole_text, words_of
+from grainwise.llm.common import ROW, F, Window, cut, row_of, whole_text, words_of
 
 #: Relative error of a source's words at which its multiplier is settled, and the rounds tried at most.
 SETTLED, ROUNDS = 1e-6, 60
@@ -23,9 +23,9 @@ MENDS = 3
 
 
 def word_sizes(df: DataFrame) -> DataFrame:
-    """(doc_id, source, size, row): size is the number of words (null text: 0); row tells repeated rows apart."""
+    """(doc_id, source, size): size is the number of words (null text: 0); with the rows' numbers where `numbered` gave them."""
     return df.select("doc_id", F.col("source").cast("string").alias("source"),
-                     F.size(words_of(whole_text())).cast("long").alias("size"))
+                     F.size(words_of(whole_text())).cast("long").alias("size"), *[c for c in df.columns if c == ROW])
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -101,7 +101,7 @@ def copies(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     come near the target too; a few single documents then close the rest. Order within a size is by hash,
     so reruns agree. A document without words has rate 1. An empty table gives none.
     """
-    rows = cut(sizes.withColumn("row", F.monotonically_increasing_id()))
+    rows = cut(sizes.select("doc_id", "source", "size", row_of(sizes).alias("row")))
     goal = cut(targets(rows, weights, share, most))
     cells = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     lam = solve(cells, goal, most)

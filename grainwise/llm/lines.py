@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from grainwise.llm.common import F, cut, whole_text
+from grainwise.llm.common import ROW, F, cut, numbered, whole_text
 
 RUN = 3
 
@@ -41,7 +41,7 @@ def repeated_lines(df: DataFrame, run: int = RUN) -> DataFrame:
 
 def dedup_lines(df: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, text, n_lines, removed): text without the repeated lines, and the numbers of those removed."""
-    rows = df.select("doc_id", whole_text().alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = numbered(df.select("doc_id", whole_text().alias("text"))).withColumnRenamed(ROW, "row")
     cover = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda a: F.sequence(a, a + run - 1))))
     gone = cut(repeated_lines(rows, run)).select(
         "row", F.sort_array(F.array_except(cover(F.col("later")), cover(F.col("kept")))).alias("gone"))

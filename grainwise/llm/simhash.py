@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from grainwise.llm.common import F, components, cut, shuffle_width
+from grainwise.llm.common import F, components, cut, row_of, shuffle_width
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a tile, about; and of a block inside a pair of tiles.
@@ -43,13 +43,13 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, row, fp): one row per row of `df`; row numbers the rows of its files, fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, row, fp): one row per row of `df`; row as in row_of, fp is the fingerprint's 64 bits as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, k) for t in b.column(2).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), row_of(df).alias("row"),
                      F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, row long, fp long")
 

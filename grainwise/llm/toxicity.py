@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from grainwise.llm.common import F, cut, remainder
+from grainwise.llm.common import F, cut, remainder, row_of
 
 #: Words that weigh something before any label is seen.
 SEEDS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "imbecile", "bastard",
@@ -136,7 +136,7 @@ def fit(rows: list[tuple[float, int, int]]) -> list[float]:
 
 
 def score(df: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
-    """(row, doc_id, held_out, score, predicted), one row per row of `df`; `row` is monotonic in its files.
+    """(row, doc_id, held_out, score, predicted), one row per row of `df`; `row` as in row_of.
 
     Labels are learned from documents whose crc32(doc_id) modulo `folds` is not 0. A document labelled twice counts
     twice; null labels count for nothing. Null and empty texts have no hits and get the curve's value there. Without labels
@@ -147,7 +147,7 @@ def score(df: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     texts = df.select("doc_id", F.col("text").cast("string").alias("text"))
     learned = texts.where(remainder(F.col("doc_id"), folds) != 0).join(ids.hint("merge"), F.col("doc_id") == F.col("labelled"))
     lexicon = learn_lexicon(learned.select("toxic", "text"))
-    rows = df.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("id"), "text")
+    rows = df.select(F.struct("doc_id", row_of(df).alias("row")).alias("id"), "text")
     found = cut(hits(rows, lexicon, "id").select("id.row", "id.doc_id", "weight", "words"))
     part = FIT_ROWS / max(ids.count(), 1)
     chosen = ids.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 30)) < int(min(1.0, part) * (1 << 30)))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from grainwise.llm.common import F, cut
+from grainwise.llm.common import F, cut, row_of
 
 WINDOW, GRAM = 10, 5
 #: Bits of the map that tells which hashes any item has: its size does not depend on the tables.
@@ -159,7 +159,7 @@ def candidates(docs: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(found, kind)],
                                              ["doc_id", "row", "n_words", "windows"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_of(docs).alias("row"),
                        F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
 

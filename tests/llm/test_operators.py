@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from grainwise.llm import entropy, kdtree, lblm, licenses, lines, pii, queries, simhash, syncmers, toxicity, winnow
+from grainwise.llm.common import ROW, numbered
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -343,3 +345,28 @@ def test_pipeline_stages_take_effect(spark):
     last = p.STAGES[4][1](spark, before, SMALL).collect()
     assert sorted(r["doc_id"] for r in last) == sorted(r["doc_id"] for r in before.collect())
     assert len({(r["shard"], r["slot"]) for r in last}) == len(last)
+
+
+def test_row_numbers_hold_when_a_scan_is_split_otherwise(spark, docs, odd, tmp_path):
+    docs.repartition(3).write.parquet(path := str(tmp_path / "docs"))
+    least = "spark.sql.files.minPartitionNum"
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    numbers, kept = [], []
+    for first, second in (("1", "40"), ("40", "1")):
+        spark.conf.set(least, first)
+        rows = numbered(spark.read.parquet(path))
+        numbers.append({r[ROW]: r["doc_id"] for r in rows.collect()})
+        # Decisions made in one read meet the texts of the next.
+        cuts = lines.repeated_lines(rows.select("doc_id", "text", F.col(ROW).alias("row")))
+        found = {r["row"]: r["doc_id"] for r in cuts.join(rows.select(F.col(ROW).alias("row"), "doc_id"), "row").collect()}
+        spark.conf.set(least, second)
+        again = {r[ROW]: r["doc_id"] for r in numbered(spark.read.parquet(path)).collect()}
+        assert again == numbers[-1] and all(again[r] == d for r, d in found.items())
+        kept.append({r["doc_id"]: r["kept_sha256"] for r in lines.op8_lines(spark.read.parquet(path)).collect()})
+    spark.conf.unset(least)
+    assert numbers[0] == numbers[1] and sorted(numbers[0].values()) == sorted(texts) and kept[0] == kept[1]
+    # What is no plain scan of Parquet files is written once.
+    for df in (odd, docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("x")), docs.union(docs), docs.where(F.rand(1) < .5)):
+        rows = numbered(df)
+        assert rows.count() == rows.select(ROW).distinct().count()
+        assert "parquet" in rows._jdf.queryExecution().optimizedPlan().toString() and rows.inputFiles() != docs.inputFiles()
