@@ -32,8 +32,9 @@ _SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "+": "t"}
 _SIGN = re.compile(r"[@$!|+](?=[^\W_])")
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]+")
-#: Least documents and evidence (log-odds over its standard error) of a learned word, and the most words learned.
-LEAST_DOCS, LEAST_Z, LEXICON = 3, 4.0, 2_000
+#: Least documents, evidence (log-odds over its standard error) and lift (log-odds) of a learned word. No number of words
+#: is set: a word of less lift weighs less than any seed, and evidence alone, which grows with the labelled rows, lets none in.
+LEAST_DOCS, LEAST_Z, LEAST_LIFT = 3, 4.0, 0.5
 #: Labelled rows the logistic curve is fitted on, about, chosen by a hash of doc_id; all where there are fewer.
 FIT_ROWS = 20_000
 
@@ -65,7 +66,10 @@ def _terms(labelled: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Weights by folded word. `labelled` is (toxic 0 or 1, text); all of it is counted. Seeds start with three toxic texts."""
+    """Weights by folded word. `labelled` is (toxic 0 or 1, text); all of it is counted. Seeds start with three toxic texts.
+
+    Words are chosen by evidence and by lift, each on its own; no word stands in the way of another.
+    """
     every = labelled.agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).first()
     a, b = every["a"] or 0, every["n"] - (every["a"] or 0)
     seeds = [fold(s) for s in SEEDS]
@@ -73,10 +77,9 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     lift = F.log((F.col("toxic") + .5) / (a - F.col("toxic") + .5)) - F.log((F.col("clean") + .5) / (b - F.col("clean") + .5))
     error = F.sqrt(1 / (F.col("toxic") + .5) + 1 / (F.col("clean") + .5))
     terms = _terms(labelled).withColumn("lift", lift).withColumn("z", lift / error)
-    best = (terms.where(F.col("term").isin(seeds) | ((F.col("toxic") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z)))
-            .orderBy(F.col("z").desc(), "term").limit(LEXICON).collect())
+    strong = (F.col("toxic") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z) & (F.col("lift") >= LEAST_LIFT)
     out = dict.fromkeys(seeds, 2.5)
-    for r in best:
+    for r in terms.where(F.col("term").isin(seeds) | strong).orderBy("term").collect():
         if r["term"] in out:
             out[r["term"]] = min(6.0, max(0.5, odds(r["toxic"] + 3, r["clean"])))
         else:

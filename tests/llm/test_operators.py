@@ -370,3 +370,20 @@ def test_row_numbers_hold_when_a_scan_is_split_otherwise(spark, docs, odd, tmp_p
         rows = numbered(df)
         assert rows.count() == rows.select(ROW).distinct().count()
         assert "parquet" in rows._jdf.queryExecution().optimizedPlan().toString() and rows.inputFiles() != docs.inputFiles()
+
+
+def test_op3_keeps_rare_strong_words_beside_many_frequent_ones(spark):
+    # 2,400 words in half of the toxic texts and a fifth of the clean ones have more evidence than a rare word of toxic texts alone.
+    frequent = {toxicity.fold(f"word{a}{b}{c}") for a in "bcdfgh" for b in "abcdefghijklmnopqrstu" for c in "bcdfghjkmnpqrstuvwxy"}
+    assert len(frequent) == 2_400
+    many = " ".join(frequent)
+    rows = [(1, f"{many if i < 150 else ''} {'zonk' if i < 30 else ''}") for i in range(300)]
+    rows += [(0, many if i < 600 else "a pathetic day") for i in range(3_000)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "toxic long, text string").repartition(8))
+    assert frequent <= set(lexicon) and lexicon["zonk"] == 6.0
+    assert lexicon["pathetic"] == 0.5
+
+
+def test_op3_lets_no_weak_word_in_for_its_many_texts(spark):
+    rows = spark.range(40_000).selectExpr("id % 2 AS toxic", "IF(id % 100 < IF(id % 2 = 1, 53, 47), 'often', 'other') AS text")
+    assert "often" not in toxicity.learn_lexicon(rows)
