@@ -387,3 +387,16 @@ def test_op3_keeps_rare_strong_words_beside_many_frequent_ones(spark):
 def test_op3_lets_no_weak_word_in_for_its_many_texts(spark):
     rows = spark.range(40_000).selectExpr("id % 2 AS toxic", "IF(id % 100 < IF(id % 2 = 1, 53, 47), 'often', 'other') AS text")
     assert "often" not in toxicity.learn_lexicon(rows)
+
+
+def test_op5_finds_every_template_and_no_other_license(spark):
+    given = [(name, part) for name, parts in licenses.TEMPLATES.items() for part in parts]
+    rows = [(6 * i + lead, " ".join([f"w{i}x{j}" for j in range(17 + lead)]) + f" {part}" + lead % 2 * " and then some more words of another kind")
+            for i, (_, part) in enumerate(given) for lead in range(6)]
+    rows += [(-1, "Copyright 2020 A. Author. All Rights Reserved"), (-2, "all the rights were reserved")]
+    found = defaultdict(set)
+    for r in licenses.op5_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect():
+        found[r["doc_id"]].add(r["license"])
+    assert {name for name, _ in given} >= {"all-rights-reserved", "lgpl", "agpl-3.0", "gpl-2.0", "bsd-2-clause", "cc-by-4.0", "cc-by-sa-4.0",
+                                           "cc0-1.0", "isc", "epl", "unlicense"}
+    assert found == {6 * i + lead: {name} for i, (name, _) in enumerate(given) for lead in range(6)} | {-1: {"all-rights-reserved"}}
