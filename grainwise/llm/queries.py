@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from grainwise.llm import entropy, kdtree, lblm, licenses, lines, pii, simhash, syncmers, toxicity, winnow
+from grainwise.llm import entropy, kdtree, lblm, licenses, lines, pii, simhash, syncmers, toxicity, trie, winnow
 from grainwise.llm.common import table
 
 
-def _over(operator, *more: str):
-    return lambda spark, folder: operator(table(spark, folder, "documents"), *[table(spark, folder, name) for name in more])
+def _over(operator, *more: str, main: str = "documents"):
+    return lambda spark, folder: operator(*[table(spark, folder, name) for name in (main, *more)])
 
 
 QUERIES = {
@@ -21,5 +21,8 @@ QUERIES = {
     "op8_lines": _over(lines.op8_lines),
     "op9_winnow": _over(winnow.op9_winnow, "benchmark"),
     "op10_entropy": _over(entropy.op10_entropy),
+    "op12_trie": _over(trie.op12_trie, main="conversations"),
 }
+#: Over documents; and over every table.
 SQL = {"op8_lines": lines.OP8_SQL, "op9_winnow": winnow.OP9_SQL}
+ORACLES = SQL | {"op12_trie": trie.OP12_SQL}
