@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainwise.llm import entropy, kdtree, lblm, licenses, lines, pii, simhash, syncmers, toxicity, trie, winnow
+from grainwise.llm import chat, entropy, kdtree, lblm, licenses, lines, pii, simhash, syncmers, toxicity, trie, winnow
 from grainwise.llm.common import table
 
 
@@ -21,8 +21,9 @@ QUERIES = {
     "op8_lines": _over(lines.op8_lines),
     "op9_winnow": _over(winnow.op9_winnow, "benchmark"),
     "op10_entropy": _over(entropy.op10_entropy),
+    "op11_chat": _over(chat.op11_chat, main="conversations"),
     "op12_trie": _over(trie.op12_trie, main="conversations"),
 }
 #: Over documents; and over every table.
 SQL = {"op8_lines": lines.OP8_SQL, "op9_winnow": winnow.OP9_SQL}
-ORACLES = SQL | {"op12_trie": trie.OP12_SQL}
+ORACLES = SQL | {"op11_chat": chat.OP11_SQL, "op12_trie": trie.OP12_SQL}
