@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainwise.llm import chat, entropy, kdtree, lblm, licenses, lines, pii, simhash, syncmers, toxicity, trie, winnow
+from grainwise.llm import chat, entropy, kdtree, lblm, licenses, lines, negatives, pii, simhash, syncmers, toxicity, trie, winnow
 from grainwise.llm.common import table
 
 
@@ -23,7 +23,8 @@ QUERIES = {
     "op10_entropy": _over(entropy.op10_entropy),
     "op11_chat": _over(chat.op11_chat, main="conversations"),
     "op12_trie": _over(trie.op12_trie, main="conversations"),
+    "op13_negatives": _over(negatives.op13_negatives, main="embeddings"),
 }
 #: Over documents; and over every table.
 SQL = {"op8_lines": lines.OP8_SQL, "op9_winnow": winnow.OP9_SQL}
-ORACLES = SQL | {"op11_chat": chat.OP11_SQL, "op12_trie": trie.OP12_SQL}
+ORACLES = SQL | {"op11_chat": chat.OP11_SQL, "op12_trie": trie.OP12_SQL, "op13_negatives": negatives.OP13_SQL}
