@@ -10,6 +10,8 @@ from statistics import NormalDist
 
 _TINY = 1e-300
 _STEPS = 500
+#: Degrees of freedom from which the expansion of a t quantile in 1/df is exact to a double's digits.
+MANY = 1_000
 
 
 def normal_sf(z: float) -> float:
@@ -107,9 +109,17 @@ def _solve(f, lo: float, hi: float) -> float:
     return (lo + hi) / 2.0
 
 
+def expansion(z: float) -> tuple[float, ...]:
+    """Coefficients of a t quantile in powers of 1/df, around the normal quantile z."""
+    return (z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+            (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+
+
 def t_quantile(p: float, df: float) -> float:
     if p < 0.5:
         return -t_quantile(1.0 - p, df)
+    if df >= MANY:
+        return math.fsum(c / df ** i for i, c in enumerate(expansion(normal_quantile(p))))
     return _solve(lambda t: (1.0 - t_sf(t, df)) - p, 0.0, 10.0)
 
 

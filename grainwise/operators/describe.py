@@ -11,7 +11,7 @@ from grainwise.functions.exprs import (
     count_where, declared, finite, finite_value, quoted, ranked, ratio, type_of)
 from grainwise.functions.ranks import quantiles
 from grainwise.operators.common import (
-    combinable, mergeable, share_of, totals, valued)
+    cap_groups, combinable, mergeable, share_of, totals, valued)
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
 from grainwise.session import cut
@@ -240,6 +240,17 @@ def cross_tab(scope: ScopedFrame, rows: str, columns: str, measure: str | None =
     return rolled.select(*both, "value", "rows", "is_row_total", "is_column_total")
 
 
+def cross_tab_wide(scope: ScopedFrame, rows: str, columns: str, measure: str | None = None) -> DataFrame:
+    """A row per member of `rows` with a column per member of `columns`, named by it; refused beyond MAX_GROUPS columns.
+
+    The members are counted before anything is aggregated; a cell no row falls in is NULL.
+    """
+    members = cap_groups(scope.frame.select(F.col(quoted(columns)).alias("m")).distinct(), columns)
+    cells = cross_tab(scope, rows, columns, measure).where("NOT is_row_total AND NOT is_column_total")
+    own = [F.max(F.when(F.col("column_member").eqNullSafe(F.lit(m)), F.col("value"))).alias("(none)" if m is None else str(m)) for m in members]
+    return cells.groupBy("row_member").agg(*own)
+
+
 def _ranked_cells(frame: DataFrame, m, both: list[str]) -> DataFrame:
     """Medians of cells and margins by ranked values. The values of the cells are counted and written once."""
     counts = cut(frame.groupBy(*both, finite_value(frame, m.name).alias("__v")).agg(F.count(F.lit(1)).alias("__rows")))

@@ -1,6 +1,6 @@
-"""Tier 6: inference. Spark aggregates; one scalar tail per result is computed on the driver.
+"""Tier 6: inference. Groups are folded by Spark, however many there are: one row of sums reaches the driver, and its tail is one number.
 
-What reaches the driver is one row per group, and groups are capped.
+Intervals stay one row a group; their quantiles are columns.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from grainwise.functions import tails
 from grainwise.functions.exprs import finite, finite_value, quoted, ratio, type_of
 from grainwise.functions.moments import sample_kurtosis, sample_skewness
 from grainwise.functions.ranks import midranks
-from grainwise.operators.common import cap_groups, valued
+from grainwise.functions.tail_columns import t_quantile
+from grainwise.operators.common import valued
 from grainwise.registry import analysis
 from grainwise.scope import ScopedFrame
 from grainwise.session import cut
@@ -72,14 +73,31 @@ def set_aside(scope: ScopedFrame, dimension: str, measure: str) -> DataFrame:
                  F.count_if(d.isNotNull() & c.isNotNull() & ~finite(f, measure)).alias("not_finite"))
 
 
-def _groups(scope: ScopedFrame, dimension: str, measure: str) -> list[Group]:
-    from grainwise.errors import TooManyGroups
-    from grainwise.operators.common import MAX_GROUPS
-    rows = group_moments(scope, dimension, measure).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise TooManyGroups(f"{dimension} has more than {MAX_GROUPS} groups")
-    found = [Group(r["member"], r["n"], r["mean"], r["variance"], r["skewness"], r["kurtosis"]) for r in rows]
-    return sorted(found, key=lambda g: (str(type(g.name)), g.name))
+@dataclass(frozen=True)
+class Fold:
+    """All groups of a comparison as one row: how many, how many of one row, the sums of squares, and the first and last by name."""
+
+    groups: int
+    lonely: int
+    total: int
+    between: float
+    within: float
+    first: Group | None
+    last: Group | None
+
+
+def fold(scope: ScopedFrame, dimension: str, measure: str) -> Fold:
+    """Group moments folded in one job; the groups themselves stay where they are."""
+    held = group_moments(scope, dimension, measure)
+    n, mean = F.col("n"), F.col("mean")
+    grand = held.agg(F.sum(n * mean) / F.sum(n)).scalar()
+    one = F.struct("member", "n", "mean", "variance")
+    row = held.agg(
+        F.count(F.lit(1)).alias("groups"), F.count_if(F.col("variance").isNull()).alias("lonely"), F.sum("n").alias("total"),
+        F.sum(n * (mean - grand) * (mean - grand)).alias("between"), F.sum((n - 1) * F.coalesce("variance", F.lit(0.0))).alias("within"),
+        F.min_by(one, "member").alias("first"), F.max_by(one, "member").alias("last")).first()
+    ends = [Group(x["member"], x["n"], x["mean"], x["variance"], None, None) if x else None for x in (row["first"], row["last"])]
+    return Fold(row["groups"], row["lonely"], row["total"] or 0, row["between"] or 0.0, row["within"] or 0.0, *ends)
 
 
 def _one(scope: ScopedFrame, *values) -> DataFrame:
@@ -99,21 +117,12 @@ def welch(a: Group, b: Group) -> tuple[float, float, float]:
     return t, df, 2 * tails.t_sf(abs(t), df)
 
 
-def sums_of_squares(groups: list[Group]) -> tuple[float, float, int]:
-    total = sum(g.n for g in groups)
-    grand = math.fsum(g.n * g.mean for g in groups) / total
-    between = math.fsum(g.n * (g.mean - grand) ** 2 for g in groups)
-    within = math.fsum((g.n - 1) * (g.variance or 0.0) for g in groups)
-    return between, within, total
-
-
-def anova(groups: list[Group]) -> tuple[float, int, int, float]:
-    between, within, total = sums_of_squares(groups)
-    d1, d2 = len(groups) - 1, total - len(groups)
-    if within == 0 or d2 <= 0:
+def anova(f: Fold) -> tuple[float, int, int, float]:
+    d1, d2 = f.groups - 1, f.total - f.groups
+    if f.within == 0 or d2 <= 0:
         raise NotPossible("no group varies")
-    f = (between / d1) / (within / d2)
-    return f, d1, d2, tails.f_sf(f, d1, d2)
+    statistic = (f.between / d1) / (f.within / d2)
+    return statistic, d1, d2, tails.f_sf(statistic, d1, d2)
 
 
 def hedges(a: Group, b: Group) -> float | None:
@@ -127,90 +136,105 @@ def pooled_sd(a: Group, b: Group) -> float:
     return math.sqrt(((a.n - 1) * a.variance + (b.n - 1) * b.variance) / (a.n + b.n - 2))
 
 
-def eta(groups: list[Group]) -> float:
-    between, within, _ = sums_of_squares(groups)
-    return between / (between + within) if between + within else 0.0
+def eta(f: Fold) -> float:
+    return f.between / (f.between + f.within) if f.between + f.within else 0.0
+
+
+@dataclass(frozen=True)
+class RankSums:
+    """Midranks folded: rows, the tie term, groups, the sum of (rank sum squared / size), and the first group's rank sum and size."""
+
+    n: int
+    ties: float
+    groups: int
+    squares: float
+    first_sum: float
+    first_n: int
 
 
-def rank_sums(scope: ScopedFrame, dimension: str, measure: str, members: list) -> dict:
-    """Midrank sums per group and the tie term, without joining ranks back to rows.
+def rank_sums(scope: ScopedFrame, dimension: str, measure: str) -> RankSums:
+    """Midrank sums per group, for any number of groups, without joining ranks back to rows.
 
-    Values are counted per group first, one column per capped member; ranks are then read over the
-    distinct values, so a value a third of the rows share is one row.
+    Rows are counted per value and group first, so a value a third of the rows share is one row a group; ranks are read over
+    the distinct values and meet those counts.
     """
     _, f = _usable(scope, dimension, measure)
     kept = f.where(F.col(quoted(dimension)).isNotNull() & finite(f, measure)).select(
         F.col(quoted(dimension)).alias("member"), finite_value(f, measure).alias("v"))
-    per = [F.count_if(F.col("member") == F.lit(m)).alias(f"n{i}") for i, m in enumerate(members)]
-    values = kept.groupBy("v").agg(F.count(F.lit(1)).alias("n"), *per)
-    placed = midranks(values, "v", "n")
+    counted = cut(kept.groupBy("v", "member").agg(F.count(F.lit(1)).alias("m")))
+    placed = cut(midranks(counted.groupBy("v").agg(F.sum("m").alias("n")), "v", "n").select("v", "n", "midrank"))
+    per = counted.join(placed, "v").groupBy("member").agg(F.sum(F.col("m") * F.col("midrank")).alias("r"), F.sum("m").alias("m"))
     n = F.col("n").cast("double")
-    row = placed.agg(
-        F.sum(n).alias("n"), F.sum(n * n * n - n).alias("ties"),
-        *[F.sum(F.col(f"n{i}") * F.col("midrank")).alias(f"r{i}") for i in range(len(members))],
-        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(members))]).first()
-    return {"n": row["n"], "ties": row["ties"],
-            "sums": [row[f"r{i}"] for i in range(len(members))],
-            "sizes": [row[f"n{i}"] for i in range(len(members))]}
-
-
-def mann_whitney(ranks: dict) -> tuple[float, float]:
-    """U of the first group and a two-sided p, corrected for ties and continuity."""
-    n1, n2 = ranks["sizes"]
-    n = n1 + n2
-    u = ranks["sums"][0] - n1 * (n1 + 1) / 2
-    spread = n1 * n2 / 12 * ((n + 1) - ranks["ties"] / (n * (n - 1)))
+    whole = placed.agg(F.sum("n").alias("n"), F.sum(n * n * n - n).alias("ties")).first()
+    row = per.agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("squares"),
+                  F.min_by(F.struct("r", "m"), "member").alias("first")).first()
+    return RankSums(whole["n"], whole["ties"], row["groups"], row["squares"], row["first"]["r"], row["first"]["m"])
+
+
+def mann_whitney(ranks: RankSums) -> tuple[float, float]:
+    """U of the first of two groups and a two-sided p, corrected for ties and continuity."""
+    n, n1 = ranks.n, ranks.first_n
+    n2 = n - n1
+    u = ranks.first_sum - n1 * (n1 + 1) / 2
+    spread = n1 * n2 / 12 * ((n + 1) - ranks.ties / (n * (n - 1)))
     if spread <= 0:
         raise NotPossible("every value is tied")
     z = (abs(u - n1 * n2 / 2) - 0.5) / math.sqrt(spread)
     return u, min(1.0, 2 * tails.normal_sf(z))
 
 
-def kruskal(ranks: dict) -> tuple[float, int, float]:
-    n = ranks["n"]
-    correction = 1 - ranks["ties"] / (n ** 3 - n)
+def kruskal(ranks: RankSums) -> tuple[float, int, float]:
+    n = ranks.n
+    correction = 1 - ranks.ties / (n ** 3 - n)
     if correction <= 0:
         raise NotPossible("every value is tied")
-    raw = 12 / (n * (n + 1)) * math.fsum(r * r / k for r, k in zip(ranks["sums"], ranks["sizes"])) - 3 * (n + 1)
-    h = raw / correction
-    df = len(ranks["sums"]) - 1
+    h = (12 / (n * (n + 1)) * ranks.squares - 3 * (n + 1)) / correction
+    df = ranks.groups - 1
     return h, df, tails.chi2_sf(max(h, 0.0), df)
 
 
-def contingency(scope: ScopedFrame, dimension: str, second: str):
-    """The counts of two capped dimensions, rows without either left out."""
+@dataclass(frozen=True)
+class Association:
+    """A chi-square test of two dimensions: statistic (Yates-corrected on 2x2), df, Cramer's V, p, smallest expected count."""
+
+    statistic: float
+    df: int
+    v: float
+    p: float
+    smallest: float
+
+
+def associated(scope: ScopedFrame, dimension: str, second: str) -> Association:
+    """Chi-square from the cells that occur and the margins, so absent cells need no table of all combinations.
+
+    A cell that occurs adds (seen - expected)^2 / expected; all absent ones together add what is left of the expected counts. Rows
+    without either member are left out.
+    """
     for d in (dimension, second):
         scope.contract.dimension(d)
     if dimension == second:
         raise ParamsInvalid("a dimension cannot be tested against itself")
     a, b = F.col(quoted(dimension)), F.col(quoted(second))
-    cells = scope.frame.where(a.isNotNull() & b.isNotNull()).groupBy(a.alias("a"), b.alias("b")).agg(
-        F.count(F.lit(1)).alias("n"))
-    held = cut(cells)
-    left = cap_groups(held.select("a").distinct(), dimension)
-    right = cap_groups(held.select("b").distinct(), second)
-    at = {(r["a"], r["b"]): r["n"] for r in held.collect()}  # capped on both sides
-    return [[at.get((x, y), 0) for y in right] for x in left]
-
-
-def chi_square(table: list[list[int]]) -> tuple[float, int, float, float]:
-    """Statistic (Yates-corrected on 2x2), df, p, smallest expected count."""
-    rows = [sum(r) for r in table]
-    cols = [sum(c) for c in zip(*table)]
-    n = sum(rows)
-    if len(rows) < 2 or len(cols) < 2:
-        raise NotPossible(f"a {len(rows)}x{len(cols)} table has nothing to compare")
-    yates = len(rows) == 2 and len(cols) == 2
-    statistic, smallest = 0.0, math.inf
-    for i, r in enumerate(table):
-        for j, seen in enumerate(r):
-            expected = rows[i] * cols[j] / n
-            gap = abs(seen - expected)
-            gap -= min(0.5, gap) if yates else 0.0
-            statistic += gap * gap / expected
-            smallest = min(smallest, expected)
-    df = (len(rows) - 1) * (len(cols) - 1)
-    return statistic, df, tails.chi2_sf(statistic, df), smallest
+    cells = cut(scope.frame.where(a.isNotNull() & b.isNotNull()).groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("n")))
+    rows = cells.groupBy("a").agg(F.sum("n").alias("row"))
+    columns = cells.groupBy("b").agg(F.sum("n").alias("column"))
+    ends = [m.agg(F.count(F.lit(1)).alias("k"), F.min(c).alias("least"), F.max(c).alias("most"), F.sum(c).alias("n")).first()
+            for m, c in ((rows, "row"), (columns, "column"))]
+    (r, c), n = (x["k"] for x in ends), ends[0]["n"]
+    if r < 2 or c < 2:
+        raise NotPossible(f"a {r}x{c} table has nothing to compare")
+    smallest = ends[0]["least"] * ends[1]["least"] / n
+    expected = F.col("row").cast("double") * F.col("column") / F.lit(n)
+    gap = F.abs(F.col("n") - expected)
+    met = cells.join(rows, "a").join(columns, "b")
+    sums = met.agg(F.sum(gap * gap / expected).alias("seen"), F.sum(expected).alias("expected"), F.max(gap).alias("gap")).first()
+    statistic = sums["seen"] + max(n - sums["expected"], 0.0)
+    if r == 2 and c == 2:
+        # All four cells are as far from what is expected of them.
+        off = sums["gap"] - min(0.5, sums["gap"])
+        statistic = off * off * n * math.prod(1 / x["least"] + 1 / x["most"] for x in ends)
+    df = (r - 1) * (c - 1)
+    return Association(statistic, df, math.sqrt(statistic / (n * (min(r, c) - 1))), tails.chi2_sf(statistic, df), smallest)
 
 
 @analysis("hypothesis_test", 6, "Whether groups differ, or two dimensions are related.", selects=True)
@@ -223,32 +247,25 @@ def hypothesis_test(scope: ScopedFrame, dimension: str, measure: str | None = No
     if second_dimension is not None:
         if method == "rank":
             raise ParamsInvalid("two dimensions are compared by chi-square, not by rank")
-        table = contingency(scope, dimension, second_dimension)
-        statistic, df, p, smallest = chi_square(table)
-        return _one(scope, "chi_square", statistic, df, None, cramers(table, statistic), p, smallest)
-    groups = _groups(scope, dimension, measure)
-    if len(groups) < 2:
-        raise NotPossible(f"{dimension} has {len(groups)} group(s); a comparison needs two")
-    lonely = [g for g in groups if g.variance is None]
-    if method == "rank" or (method == "auto" and lonely):
-        ranks = rank_sums(scope, dimension, measure, [g.name for g in groups])
-        if len(groups) == 2:
+        t = associated(scope, dimension, second_dimension)
+        return _one(scope, "chi_square", t.statistic, t.df, None, t.v, t.p, t.smallest)
+    f = fold(scope, dimension, measure)
+    if f.groups < 2:
+        raise NotPossible(f"{dimension} has {f.groups} group(s); a comparison needs two")
+    if method == "rank" or (method == "auto" and f.lonely):
+        ranks = rank_sums(scope, dimension, measure)
+        if f.groups == 2:
             u, p = mann_whitney(ranks)
             return _one(scope, "mann_whitney", u, None, None, None, p, None)
         h, df, p = kruskal(ranks)
-        return _one(scope, "kruskal_wallis", h, df, None, eta(groups), p, None)
-    if lonely:
-        raise NotPossible(f"{[g.name for g in lonely]} holds one row and so has no spread")
-    if len(groups) == 2:
-        t, df, p = welch(*groups)
-        return _one(scope, "welch_t", t, df, None, hedges(*groups), p, None)
-    f, d1, d2, p = anova(groups)
-    return _one(scope, "anova", f, d1, d2, eta(groups), p, None)
-
-
-def cramers(table: list[list[int]], statistic: float) -> float:
-    n = sum(map(sum, table))
-    return math.sqrt(statistic / (n * (min(len(table), len(table[0])) - 1)))
+        return _one(scope, "kruskal_wallis", h, df, None, eta(f), p, None)
+    if f.lonely:
+        raise NotPossible(f"{f.lonely} group(s) of {dimension} hold one row and so have no spread")
+    if f.groups == 2:
+        t, df, p = welch(f.first, f.last)
+        return _one(scope, "welch_t", t, df, None, hedges(f.first, f.last), p, None)
+    statistic, d1, d2, p = anova(f)
+    return _one(scope, "anova", statistic, d1, d2, eta(f), p, None)
 
 
 @analysis("confidence_interval", 6, "Intervals around means or around shares.", selects=True)
@@ -263,24 +280,17 @@ def confidence_interval(scope: ScopedFrame, dimension: str | None = None, measur
         return _wilson(scope, dimension, confidence)
     if dimension is None:
         m = valued(scope, measure)
-        unit = scope.per_unit(m, [])
-        f = unit.frame
+        f = scope.per_unit(m, []).frame
         v = finite_value(f, measure)
-        r = f.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance")).first()
-        groups = [Group("(all)", r["n"], r["mean"], r["variance"], None, None)]
+        groups = f.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance")).withColumn("member", F.lit("(all)"))
     else:
-        groups = _groups(scope, dimension, measure)
-    rows = []
-    for g in groups:
-        half = None
-        if g.variance is not None and g.n >= 2:
-            half = tails.t_quantile(0.5 + confidence / 2, g.n - 1) * math.sqrt(g.variance / g.n)
-        rows.append(F.struct(
-            F.lit(None if g.name is None else str(g.name)).cast("string").alias("member"),
-            F.lit(g.n).cast("long").alias("n"), F.lit(g.mean).cast("double").alias("estimate"),
-            F.lit(None if half is None else g.mean - half).cast("double").alias("lo"),
-            F.lit(None if half is None else g.mean + half).cast("double").alias("hi")))
-    return scope.source.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+        groups = group_moments(scope, dimension, measure)
+    # A quantile depends on the group's size alone, so it is solved once for each size there is.
+    sizes = groups.select("n").distinct().where("n >= 2").withColumn("reach", t_quantile(0.5 + confidence / 2, F.col("n") - 1))
+    half = F.col("reach") * F.sqrt(F.col("variance") / F.col("n"))
+    return groups.join(sizes, "n", "left").select(
+        F.col("member").cast("string").alias("member"), F.col("n").cast("long").alias("n"), F.col("mean").cast("double").alias("estimate"),
+        (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"))
 
 
 def _wilson(scope: ScopedFrame, dimension: str, confidence: float) -> DataFrame:
@@ -305,17 +315,15 @@ def effect_size(scope: ScopedFrame, dimension: str, measure: str | None = None,
     if (measure is None) == (second_dimension is None):
         raise ParamsInvalid("pass exactly one of measure and second_dimension")
     if second_dimension is not None:
-        table = contingency(scope, dimension, second_dimension)
-        statistic, *_ = chi_square(table)
-        return _effect(scope, "cramers_v", cramers(table, statistic))
-    groups = _groups(scope, dimension, measure)
-    if len(groups) < 2:
-        raise NotPossible(f"{dimension} has {len(groups)} group(s); an effect needs two")
-    if len(groups) == 2:
-        if any(g.variance is None for g in groups):
+        return _effect(scope, "cramers_v", associated(scope, dimension, second_dimension).v)
+    f = fold(scope, dimension, measure)
+    if f.groups < 2:
+        raise NotPossible(f"{dimension} has {f.groups} group(s); an effect needs two")
+    if f.groups == 2:
+        if f.lonely:
             raise NotPossible("a group of one row has no spread to size an effect by")
-        return _effect(scope, "hedges_g", hedges(*groups))
-    return _effect(scope, "eta_squared", eta(groups))
+        return _effect(scope, "hedges_g", hedges(f.first, f.last))
+    return _effect(scope, "eta_squared", eta(f))
 
 
 def _effect(scope: ScopedFrame, name: str, value: float | None) -> DataFrame:
@@ -335,10 +343,10 @@ def sample_adequacy(scope: ScopedFrame, dimension: str, measure: str, power: flo
         raise ParamsInvalid(f"power must be at least 0.5 and below 1; got {power}")
     if not 0 < alpha < 0.5:
         raise ParamsInvalid(f"alpha must lie between 0 and 0.5; got {alpha}")
-    groups = _groups(scope, dimension, measure)
-    if len(groups) != 2 or any(g.variance is None for g in groups):
+    f = fold(scope, dimension, measure)
+    if f.groups != 2 or f.lonely:
         raise NotPossible("sample adequacy compares two groups of two or more rows")
-    a, b = groups
+    a, b = f.first, f.last
     d = tails.detectable_effect(a.n, b.n, alpha, power)
     sd = pooled_sd(a, b)
     needed = {word: tails.rows_for_effect(target, alpha, power) for target, word in TARGETS}

@@ -6,6 +6,7 @@ from grainwise.contract import DatasetContract, Measure
 from grainwise.operators import describe, infer, people, relate, time, unusual
 from grainwise.plans.base import (
     DIRTY_SQL, DOCS_SQL, EVENTS_SQL, LINES_SQL, ORDERS_SQL, SALES_SQL, dirty, documents, events, lines, orders, query, r6, sales)
+from grainwise.plans.tail_sql import chi2_upper, f_upper, t_power, t_quantile, t_two_sided
 from grainwise.registry import run
 from grainwise.scope import scope_for
 
@@ -119,6 +120,12 @@ def _(spark, folder):
     return run(sales(spark, folder), "cross_tab", rows="status", columns="priority")
 
 
+@query("cross_tab_wide", SALES_SQL + "SELECT priority AS row_member, " + ", ".join(
+    f"nullif(count(*) FILTER (WHERE status IS NOT DISTINCT FROM {v}), 0) AS \"{n}\"" for v, n in (("'F'", "F"), ("'O'", "O"), ("NULL", "(none)"))) + " FROM s GROUP BY 1")
+def _(spark, folder):
+    return describe.cross_tab_wide(sales(spark, folder), "priority", "status")
+
+
 @query("cross_tab_measure", SALES_SQL + _cross(r6("avg(CAST(price AS DOUBLE))", "value")))
 def _(spark, folder):
     return run(sales(spark, folder), "cross_tab", rows="status", columns="priority", measure="price_avg")
@@ -475,10 +482,9 @@ def _(spark, folder):
     return run(events(spark, folder), "outlier_detection", measure="value", dimension="event_type")
 
 
-# --- tier 6: the statistic is compared, its tail probability is tested apart --------------------
+# --- tier 6 -----------------------------------------------------------------------------------
 
-def _test_columns(df):
-    return df.drop("p", "smallest_expected")
+_NO_SMALLEST = "CAST(NULL AS DOUBLE) AS smallest_expected"
 
 
 def _moments(d: str, extra: str = "") -> str:
@@ -502,9 +508,10 @@ _WELCH = """SELECT a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.v / a.n AS s1,
 @query("welch_t", SALES_SQL + _moments("status") + f""", w AS ({_WELCH})
 SELECT 'welch_t' AS test, {r6('(m1 - m2) / sqrt(s1 + s2)', 'statistic')},
 {r6('power(s1 + s2, 2) / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1))', 'df1')}, CAST(NULL AS DOUBLE) AS df2,
-{r6('(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3.0 / (4 * (n1 + n2 - 2) - 1))', 'effect')} FROM w""")
+{r6('(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3.0 / (4 * (n1 + n2 - 2) - 1))', 'effect')},
+{r6(t_two_sided('((m1 - m2) / sqrt(s1 + s2))', '(power(s1 + s2, 2) / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1)))'), 'p')}, {_NO_SMALLEST} FROM w""")
 def _(spark, folder):
-    return _test_columns(run(sales(spark, folder), "hypothesis_test", dimension="status", measure="price_avg"))
+    return run(sales(spark, folder), "hypothesis_test", dimension="status", measure="price_avg")
 
 
 _ANOVA = """, a AS (SELECT sum(n) AS t, count(*) AS k, sum(n * m) / sum(n) AS gm FROM m),
@@ -512,10 +519,21 @@ b AS (SELECT sum(n * power(m.m - gm, 2)) AS ssb, sum((n - 1) * coalesce(v, 0)) A
 """
 
 
-@query("anova", SALES_SQL + _moments("priority") + _ANOVA + f"""SELECT 'anova' AS test, {r6('(ssb / (k - 1)) / (ssw / (t - k))', 'statistic')},
-{r6('k - 1', 'df1')}, {r6('t - k', 'df2')}, {r6('ssb / (ssb + ssw)', 'effect')} FROM b""")
+_ANOVA_TEST = f"""SELECT 'anova' AS test, {r6('(ssb / (k - 1)) / (ssw / (t - k))', 'statistic')},
+{r6('k - 1', 'df1')}, {r6('t - k', 'df2')}, {r6('ssb / (ssb + ssw)', 'effect')},
+{r6(f_upper('((ssb / (k - 1)) / (ssw / (t - k)))', '(k - 1)', '(t - k)'), 'p')}, {_NO_SMALLEST} FROM b"""
+
+
+@query("anova", SALES_SQL + _moments("priority") + _ANOVA + _ANOVA_TEST)
+def _(spark, folder):
+    return run(sales(spark, folder), "hypothesis_test", dimension="priority", measure="price_avg")
+
+
+@query("anova_many", LINES_SQL + """, m AS (SELECT l_suppkey AS g, count(*) AS n, avg(CAST(discount AS DOUBLE)) AS m, var_samp(CAST(discount AS DOUBLE)) AS v
+FROM s WHERE l_suppkey IS NOT NULL AND discount IS NOT NULL GROUP BY 1)
+""" + _ANOVA + _ANOVA_TEST)
 def _(spark, folder):
-    return _test_columns(run(sales(spark, folder), "hypothesis_test", dimension="priority", measure="price_avg"))
+    return run(lines(spark, folder), "hypothesis_test", dimension="l_suppkey", measure="discount", method="parametric")
 
 
 _RANKS = """, p AS (SELECT {d} AS g, CAST(price AS DOUBLE) AS x FROM s WHERE {d} IS NOT NULL AND price IS NOT NULL),
@@ -526,16 +544,26 @@ ties AS (SELECT sum(power(c, 3) - c) AS ties FROM (SELECT count(*) AS c FROM p G
 
 
 @query("mann_whitney", SALES_SQL + _RANKS.format(d="status") + f"""SELECT 'mann_whitney' AS test, {r6('r - n * (n + 1) / 2.0', 'statistic')},
-CAST(NULL AS DOUBLE) AS df1, CAST(NULL AS DOUBLE) AS df2, CAST(NULL AS DOUBLE) AS effect FROM rs WHERE g = (SELECT min(g) FROM rs)""")
+CAST(NULL AS DOUBLE) AS df1, CAST(NULL AS DOUBLE) AS df2, CAST(NULL AS DOUBLE) AS effect,
+{r6(chi2_upper('z2', '1.0'), 'p')}, {_NO_SMALLEST} FROM (SELECT *, power(greatest(abs(r - n * (n + 1) / 2.0 - n * (t - n) / 2.0) - 0.5, 0), 2)
+/ (n * (t - n) / 12.0 * ((t + 1) - ties / (t * (t - 1.0)))) AS z2 FROM rs, (SELECT n AS t FROM t), ties) WHERE g = (SELECT min(g) FROM rs)""")
 def _(spark, folder):
-    return _test_columns(run(sales(spark, folder), "hypothesis_test", dimension="status", measure="price_avg", method="rank"))
+    return run(sales(spark, folder), "hypothesis_test", dimension="status", measure="price_avg", method="rank")
 
 
-@query("kruskal", SALES_SQL + _RANKS.format(d="priority") + _moments("priority") + _ANOVA + f"""SELECT 'kruskal_wallis' AS test,
-{r6('(SELECT (12.0 / (t.n * (t.n + 1.0)) * sum(r * r / rs.n) - 3 * (t.n + 1)) / (1 - max(ties) / (power(t.n, 3) - t.n)) FROM rs, t, ties GROUP BY t.n)', 'statistic')},
-{r6('k - 1', 'df1')}, CAST(NULL AS DOUBLE) AS df2, {r6('ssb / (ssb + ssw)', 'effect')} FROM b""")
+_KRUSKAL_TEST = f""", h AS (SELECT (12.0 / (t.n * (t.n + 1.0)) * sum(r * r / rs.n) - 3 * (t.n + 1)) / (1 - max(ties) / (power(t.n, 3) - t.n)) AS h FROM rs, t, ties GROUP BY t.n)
+SELECT 'kruskal_wallis' AS test, {r6('h', 'statistic')}, {r6('k - 1', 'df1')}, CAST(NULL AS DOUBLE) AS df2, {r6('ssb / (ssb + ssw)', 'effect')},
+{r6(chi2_upper('h', '(k - 1)'), 'p')}, {_NO_SMALLEST} FROM b, h"""
+
+
+@query("kruskal", SALES_SQL + _RANKS.format(d="priority") + _moments("priority") + _ANOVA + _KRUSKAL_TEST)
 def _(spark, folder):
-    return _test_columns(run(sales(spark, folder), "hypothesis_test", dimension="priority", measure="price_avg", method="rank"))
+    return run(sales(spark, folder), "hypothesis_test", dimension="priority", measure="price_avg", method="rank")
+
+
+@query("kruskal_many", SALES_SQL + _RANKS.format(d="o_custkey") + _moments("o_custkey") + _ANOVA + _KRUSKAL_TEST)
+def _(spark, folder):
+    return run(sales(spark, folder), "hypothesis_test", dimension="o_custkey", measure="price_avg", method="rank")
 
 
 def _chi(a: str, b: str, yates: bool = False) -> str:
@@ -547,10 +575,23 @@ c AS (SELECT sum(power({gap}, 2) / e) AS chi, (SELECT count(*) FROM ra) AS r, (S
 """
 
 
-@query("chi_square", SALES_SQL + _chi("status", "priority") + f"""SELECT 'chi_square' AS test, {r6('chi', 'statistic')}, {r6('(r - 1) * (k - 1)', 'df1')},
-CAST(NULL AS DOUBLE) AS df2, {r6('sqrt(chi / (n * (least(r, k) - 1)))', 'effect')}, {r6('smallest', 'smallest_expected')} FROM c, n""")
+_CHI_TEST = f"""SELECT 'chi_square' AS test, {r6('chi', 'statistic')}, {r6('(r - 1) * (k - 1)', 'df1')}, CAST(NULL AS DOUBLE) AS df2,
+{r6('sqrt(chi / (n * (least(r, k) - 1)))', 'effect')}, {r6(chi2_upper('chi', '((r - 1) * (k - 1))'), 'p')}, {r6('smallest', 'smallest_expected')} FROM c, n"""
+
+
+@query("chi_square", SALES_SQL + _chi("status", "priority") + _CHI_TEST)
 def _(spark, folder):
-    return run(sales(spark, folder), "hypothesis_test", dimension="status", second_dimension="priority").drop("p")
+    return run(sales(spark, folder), "hypothesis_test", dimension="status", second_dimension="priority")
+
+
+# Absent cells add what is expected of them: all of it that the cells that occur leave over.
+@query("chi_square_many", SALES_SQL + """, f AS (SELECT o_custkey AS a, priority AS b FROM s WHERE o_custkey IS NOT NULL AND priority IS NOT NULL), n AS (SELECT count(*) AS n FROM f),
+ra AS (SELECT a, count(*) AS c FROM f GROUP BY 1), rb AS (SELECT b, count(*) AS c FROM f GROUP BY 1), o AS (SELECT a, b, count(*) AS o FROM f GROUP BY 1, 2),
+x AS (SELECT ra.c * 1.0 * rb.c / n AS e, coalesce(o, 0) AS o FROM ra CROSS JOIN rb CROSS JOIN n LEFT JOIN o ON o.a = ra.a AND o.b = rb.b),
+c AS (SELECT sum(power(o - e, 2) / e) AS chi, (SELECT count(*) FROM ra) AS r, (SELECT count(*) FROM rb) AS k, min(e) AS smallest FROM x)
+""" + _CHI_TEST)
+def _(spark, folder):
+    return run(sales(spark, folder), "hypothesis_test", dimension="o_custkey", second_dimension="priority")
 
 
 _LABELS_SQL = "WITH s AS (SELECT * FROM labels)\n"
@@ -579,15 +620,33 @@ def _(spark, folder):
     return run(sales(spark, folder), "effect_size", dimension="priority", measure="price_avg")
 
 
-@query("ci_mean", SALES_SQL + f"""SELECT priority AS member, count(price) AS n, {r6('avg(CAST(price AS DOUBLE))', 'estimate')} FROM s WHERE priority IS NOT NULL AND price IS NOT NULL GROUP BY 1""")
+def _ci(d: str, source: str, measure: str) -> str:
+    """Bounds to three places: they are of the size of the measure, and its digits are."""
+    reach = "(reach * sqrt(v / n))"
+    return f""", m AS (SELECT CAST({d} AS VARCHAR) AS member, count(*) AS n, avg(CAST({measure} AS DOUBLE)) AS m, var_samp(CAST({measure} AS DOUBLE)) AS v
+FROM {source} WHERE {d} IS NOT NULL AND {measure} IS NOT NULL GROUP BY 1),
+q AS (SELECT n AS size, {t_quantile(0.975, 1.959963984540054, '(n - 1)')} AS reach FROM (SELECT DISTINCT n FROM m WHERE n >= 2))
+SELECT member, n, {r6('m', 'estimate')}, round(m - {reach}, 3) + 0.0 AS lo, round(m + {reach}, 3) + 0.0 AS hi FROM m LEFT JOIN q ON size = n"""
+
+
+def _to_thousandths(df):
+    from pyspark.sql import functions as F
+    return df.withColumns({c: F.round(c, 3) for c in ("lo", "hi")})
+
+
+@query("ci_mean", SALES_SQL + _ci("priority", "s", "price"))
+def _(spark, folder):
+    return _to_thousandths(run(sales(spark, folder), "confidence_interval", dimension="priority", measure="price_avg"))
+
+
+@query("ci_mean_many", LINES_SQL + _ci("l_partkey", "s", "discount"))
 def _(spark, folder):
-    # The half-width needs a t quantile, which SQL lacks; the test suite checks it.
-    return run(sales(spark, folder), "confidence_interval", dimension="priority", measure="price_avg").drop("lo", "hi")
+    return _to_thousandths(run(lines(spark, folder), "confidence_interval", dimension="l_partkey", measure="discount"))
 
 
-@query("ci_mean_bounds")
+@query("ci_mean_bounds", SALES_SQL + _ci("'(all)'", "s", "price"))
 def _(spark, folder):
-    return run(sales(spark, folder), "confidence_interval", dimension="priority", measure="price_avg")
+    return _to_thousandths(run(sales(spark, folder), "confidence_interval", measure="price_avg"))
 
 
 _Z = "1.9599639845400545"
@@ -611,14 +670,28 @@ def _(spark, folder):
 @query("sample_adequacy", SALES_SQL + _moments("status") + f""", w AS ({_WELCH})
 SELECT n1, n2, {r6('sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))', 'pooled_sd')}, {r6('abs(m1 - m2)', 'observed_difference')} FROM w""")
 def _(spark, folder):
-    # The detectable difference needs the non-central t; the test suite checks it.
     return run(sales(spark, folder), "sample_adequacy", dimension="status", measure="price_avg").select(
         "n1", "n2", "pooled_sd", "observed_difference")
 
 
-@query("sample_adequacy_plan")
+# The size of effect, and the rows, at which the power is 0.8, each halved in on from both sides.
+_PLAN = f""", w AS (SELECT n1, n2, m1, m2, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS sd FROM ({_WELCH})),
+z AS (SELECT 0 AS step, kind, CAST(a AS DOUBLE) AS n1, CAST(b AS DOUBLE) AS n2, CAST(d AS DOUBLE) AS d, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM (
+SELECT 'd' AS kind, n1 AS a, n2 AS b, NULL AS d, 0.0 AS lo, 1.0 AS hi FROM w UNION ALL SELECT kind, NULL, NULL, d, 2.0, 1026.0 FROM w, (VALUES ('small', 0.2), ('medium', 0.5), ('large', 0.8)) AS x(kind, d))
+UNION ALL SELECT step + 1, kind, n1, n2, d, CASE WHEN {t_power('e', 'a', 'b', 'edge')} < 0.8 THEN (lo + hi) / 2 ELSE lo END,
+CASE WHEN {t_power('e', 'a', 'b', 'edge')} < 0.8 THEN hi ELSE (lo + hi) / 2 END FROM (SELECT *, {t_quantile(0.975, 1.959963984540054, '(a + b - 2.0)')} AS edge
+FROM (SELECT *, coalesce(n1, (lo + hi) / 2) AS a, coalesce(n2, (lo + hi) / 2) AS b, coalesce(d, (lo + hi) / 2) AS e FROM z WHERE step < 42))),
+f AS (SELECT kind, (lo + hi) / 2 AS x FROM z WHERE step = 42), d AS (SELECT x AS d FROM f WHERE kind = 'd')
+SELECT n1, n2, {r6('d', 'detectable_d')}, {r6('sd', 'pooled_sd')}, round(d * sd, 3) + 0.0 AS detectable_difference, {r6('abs(m1 - m2)', 'observed_difference')},
+(SELECT CAST(ceil(x - 1e-6) AS BIGINT) FROM f WHERE kind = 'small') AS rows_for_small, (SELECT CAST(ceil(x - 1e-6) AS BIGINT) FROM f WHERE kind = 'medium') AS rows_for_medium,
+(SELECT CAST(ceil(x - 1e-6) AS BIGINT) FROM f WHERE kind = 'large') AS rows_for_large FROM w, d"""
+
+
+@query("sample_adequacy_plan", (SALES_SQL + _moments("status") + _PLAN).replace("WITH src", "WITH RECURSIVE src", 1))
 def _(spark, folder):
-    return run(sales(spark, folder), "sample_adequacy", dimension="status", measure="price_avg")
+    from pyspark.sql import functions as F
+    return run(sales(spark, folder), "sample_adequacy", dimension="status", measure="price_avg").withColumn(
+        "detectable_difference", F.round("detectable_difference", 3))
 
 
 # --- tier 7 -----------------------------------------------------------------------------------
