@@ -31,7 +31,7 @@ def group_compare(scope: ScopedFrame, dimension: str, measure: str) -> DataFrame
     if m.is_ratio:
         raise NotPossible(f"{measure} is a ratio of sums and has no value per row")
     unit = scope.per_unit(m, [dimension])
-    frame = unit.frame.withColumn("member", F.col(quoted(dimension)))
+    frame = unit.entering(unit.frame).withColumn("member", F.col(quoted(dimension)))
     number = is_number(type_of(frame, measure))
     blank = F.lit(None).cast("double")
     v = finite_value(frame, measure) if number else blank
@@ -46,7 +46,7 @@ def group_compare(scope: ScopedFrame, dimension: str, measure: str) -> DataFrame
         *stats, (F.grouping("member") == 1).alias("is_all"))
     if number:
         result = _with_ranked_medians(result, frame, m)
-    result = cut(result)  # the share reads the groups again, not the table
+    result = cut(unit.held(result, F.sum(F.when(~F.col("is_all"), F.col("rows")))))  # the share reads the groups again, not the table
     members = result.where(~F.col("is_all"))
     if m.additive:
         whole = members.agg(
@@ -98,7 +98,8 @@ def _placed(scope: ScopedFrame, dimension: str, measure: str):
                                   "__one": F.lit(1).cast("long")})
     placed = running(amount, [("value", True), ("member", False)],
                      {"before": "__amount", "position": "__one"})
-    counted = placed.withColumn("position", F.col("position") + 1)
+    # Held once placed: a range partitioning samples what it reads, and would count it twice.
+    counted = scope.held(placed.withColumn("position", F.col("position") + 1), F.sum("rows"))
     facts = counted.agg(F.max("before_whole").alias("whole"),
                         count_below_zero("value").alias("negative")).first()
     if facts["negative"]:
@@ -147,8 +148,8 @@ def ranking_shift(scope: ScopedFrame, dimension: str, measure: str, before_start
     # A row in both ranges counts in both, so its sides are opened into rows of one scan.
     opened = F.explode(F.array_compact(F.array(*[F.when(t, k) for k, t in tests.items()])))
     frame = unit.frame.where(tests["before"] | tests["after"]).withColumn("__side", opened)
-    grouped = totals(frame, m, [F.col(quoted(dimension)), F.col("__side")], ["member", "side"])
-    placed = positions(grouped, [("value", True), ("member", False)], ("side",))
+    grouped = totals(unit.entering(frame), m, [F.col(quoted(dimension)), F.col("__side")], ["member", "side"])
+    placed = unit.held(positions(grouped, [("value", True), ("member", False)], ("side",)), F.sum("rows"))
     merged = placed.groupBy("member").agg(
         *[F.max(F.when(F.col("side") == k, F.col("value"))).alias(f"total_{k}") for k in sides],
         *[F.max(F.when(F.col("side") == k, F.col("position"))).alias(f"rank_{k}") for k in sides])

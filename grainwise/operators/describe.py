@@ -36,7 +36,8 @@ def summary_stats(scope: ScopedFrame) -> DataFrame:
                 unit = scope.per_unit(m, [], [])
                 out = _append(out, _statistics(unit.frame, [m]))
             continue
-        out = _append(out, _statistics(frame, measures))
+        rows = scope.held(_statistics(scope.entering(frame), measures), F.max(F.col("n") + F.col("nulls")))
+        out = _append(out, rows)
     return out
 
 
@@ -101,8 +102,8 @@ def frequency(scope: ScopedFrame, column: str, limit: int = 20) -> DataFrame:
     if column not in named:
         raise NotPossible(f"{column} is neither a declared dimension nor a declared measure")
     # Written once: the share reads the groups again, not the table.
-    counted = cut(scope.frame.groupBy(F.col(quoted(column)).alias("value")).agg(
-        F.count(F.lit(1)).alias("rows")))
+    counted = scope.entering(scope.frame).groupBy(F.col(quoted(column)).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    counted = cut(scope.held(counted, F.sum("rows")))
     whole = counted.agg(F.sum("rows").alias("n")).scalar()
     top = counted.orderBy(*ranked("rows", "value")).limit(limit)
     return top.withColumn("share", ratio(F.col("rows"), whole))
@@ -124,7 +125,7 @@ def top_n(scope: ScopedFrame, dimension: str, measure: str, n: int = 10) -> Data
     if n < 1:
         raise ParamsInvalid(f"n must be at least 1; got {n}")
     grouped, m = ranked_groups(scope, dimension, measure)
-    grouped = cut(grouped)
+    grouped = cut(scope.held(grouped, F.sum("rows")))
     top = grouped.orderBy(*ranked("value", "member")).limit(n)
     shared = top.withColumn("share", share_of(grouped, "value", m))
     from pyspark.sql import Window
@@ -144,7 +145,7 @@ def ranked_groups(scope: ScopedFrame, dimension: str, measure: str):
     scope.contract.dimension(dimension)
     m = combinable(scope, measure)
     unit = scope.per_unit(m, [dimension])
-    grouped = totals(unit.frame, m, [F.col(quoted(dimension))], ["member"])
+    grouped = totals(unit.entering(unit.frame), m, [F.col(quoted(dimension))], ["member"])
     return grouped, m
 
 
@@ -155,7 +156,7 @@ def distribution(scope: ScopedFrame, measure: str, bins: int = 10) -> DataFrame:
         raise ParamsInvalid(f"bins must be a whole number from 2 to {MAX_BINS}; got {bins!r}")
     m = valued(scope, measure)
     unit = scope.per_unit(m, [])
-    frame = unit.frame
+    frame = unit.entering(unit.frame, ~finite(unit.frame, measure))
     kind = type_of(frame, measure)
     if not is_number(kind):
         raise NotPossible(f"{measure} is {kind.simpleString()}, so there is nothing to bin")
@@ -176,6 +177,7 @@ def distribution(scope: ScopedFrame, measure: str, bins: int = 10) -> DataFrame:
              for i in range(len(held))]
     total = sum((F.col(f"b{i}") for i in range(len(held))), F.lit(0))
     running = [sum((F.col(f"b{j}") for j in range(i + 1)), F.lit(0)) for i in range(len(held))]
+    counted = unit.held(counted, F.sum(total))
     opened = counted.select(F.explode(F.array(*[
         s.withField("share", ratio(F.col(f"b{i}"), total)).withField("cumulative", ratio(running[i], total))
         for i, s in enumerate(slots)])).alias("s"))
@@ -215,7 +217,7 @@ def cross_tab(scope: ScopedFrame, rows: str, columns: str, measure: str | None =
         raise ParamsInvalid("rows and columns are the same dimension")
     m = combinable(scope, measure) if measure else None
     unit = scope.per_unit(m, [rows, columns]) if m else scope
-    frame = unit.frame.select("*", F.col(quoted(rows)).alias("row_member"),
+    frame = unit.entering(unit.frame).select("*", F.col(quoted(rows)).alias("row_member"),
                               F.col(quoted(columns)).alias("column_member"))
     parts = mergeable(frame, m) if m else ([], None)
     sets = [["row_member", "column_member"], ["row_member"], ["column_member"], []]
@@ -237,7 +239,8 @@ def cross_tab(scope: ScopedFrame, rows: str, columns: str, measure: str | None =
     else:
         rolled = frame.groupingSets(sets, *both).agg(
             declared(frame, m).alias("value"), F.count(F.lit(1)).alias("rows"), *_margins())
-    return rolled.select(*both, "value", "rows", "is_row_total", "is_column_total")
+    cell = ~F.col("is_row_total") & ~F.col("is_column_total")
+    return unit.held(rolled, F.sum(F.when(cell, F.col("rows")))).select(*both, "value", "rows", "is_row_total", "is_column_total")
 
 
 def cross_tab_wide(scope: ScopedFrame, rows: str, columns: str, measure: str | None = None) -> DataFrame:

@@ -47,12 +47,13 @@ class Group:
 def group_moments(scope: ScopedFrame, dimension: str, measure: str) -> DataFrame:
     """n, mean, sample variance, skewness and kurtosis per group; rows without either are left out."""
     unit, f = _usable(scope, dimension, measure)
-    kept = f.where(F.col(quoted(dimension)).isNotNull() & finite(f, measure)).select(
-        F.col(quoted(dimension)).alias("member"), finite_value(f, measure).alias("v"))
+    usable = F.col(quoted(dimension)).isNotNull() & finite(f, measure)
+    kept = unit.entering(f, ~usable).where(usable).select(F.col(quoted(dimension)).alias("member"), finite_value(f, measure).alias("v"))
     v = F.col("v")
-    return kept.groupBy("member").agg(
+    groups = kept.groupBy("member").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"),
         sample_skewness(v).alias("skewness"), sample_kurtosis(v).alias("kurtosis"))
+    return unit.held(groups, F.sum("n"))
 
 
 def _usable(scope: ScopedFrame, dimension: str, measure: str):
@@ -215,7 +216,9 @@ def associated(scope: ScopedFrame, dimension: str, second: str) -> Association:
     if dimension == second:
         raise ParamsInvalid("a dimension cannot be tested against itself")
     a, b = F.col(quoted(dimension)), F.col(quoted(second))
-    cells = cut(scope.frame.where(a.isNotNull() & b.isNotNull()).groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("n")))
+    named = a.isNotNull() & b.isNotNull()
+    cells = scope.entering(scope.frame, ~named).where(named).groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cut(scope.held(cells, F.sum("n")))
     rows = cells.groupBy("a").agg(F.sum("n").alias("row"))
     columns = cells.groupBy("b").agg(F.sum("n").alias("column"))
     ends = [m.agg(F.count(F.lit(1)).alias("k"), F.min(c).alias("least"), F.max(c).alias("most"), F.sum(c).alias("n")).first()
@@ -280,9 +283,11 @@ def confidence_interval(scope: ScopedFrame, dimension: str | None = None, measur
         return _wilson(scope, dimension, confidence)
     if dimension is None:
         m = valued(scope, measure)
-        f = scope.per_unit(m, []).frame
+        unit = scope.per_unit(m, [])
+        f = unit.entering(unit.frame, ~finite(unit.frame, measure))
         v = finite_value(f, measure)
         groups = f.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance")).withColumn("member", F.lit("(all)"))
+        groups = unit.held(groups, F.sum("n"))
     else:
         groups = group_moments(scope, dimension, measure)
     # A quantile depends on the group's size alone, so it is solved once for each size there is.
@@ -297,7 +302,8 @@ def _wilson(scope: ScopedFrame, dimension: str, confidence: float) -> DataFrame:
     """Closed form over grouped counts. The base is every analysed row, unnamed members included."""
     scope.contract.dimension(dimension)
     z = tails.normal_quantile(0.5 + confidence / 2)
-    counted = cut(scope.frame.groupBy(F.col(quoted(dimension)).alias("member")).agg(F.count(F.lit(1)).alias("n")))
+    counted = scope.entering(scope.frame).groupBy(F.col(quoted(dimension)).alias("member")).agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(scope.held(counted, F.sum("n")))
     whole = counted.agg(F.sum("n").alias("whole")).scalar().cast("double")
     p = ratio(F.col("n"), whole)
     base = counted.where(F.col("member").isNotNull()).select("member", "n", p.alias("estimate"), whole.alias("__w"))

@@ -29,7 +29,8 @@ def events(scope: ScopedFrame, entity: str, event: str | None = None) -> DataFra
     scope.contract.dimension(entity)
     day = scope.date
     k = F.col(quoted(entity))
-    rows = scope.frame.where(k.isNotNull() & day.isNotNull())
+    dated_ = k.isNotNull() & day.isNotNull()
+    rows = scope.entering(scope.frame, ~dated_).where(dated_)
     if event is None:
         return rows.select(k.alias("k"), day.alias("d"))
     named = set(scope.contract.dimensions) | {m.name for m in scope.contract.measures}
@@ -72,6 +73,8 @@ def repeat_behaviour(scope: ScopedFrame, entity: str, event: str | None = None)
     """bucket, people, share, events. The distribution is counted twice over, people then counts."""
     _check_entity(scope, entity)
     per = events(scope, entity, event).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    if event is None:  # rows of one event key are one event
+        per = scope.held(per, F.sum("n"))
     spread = per.groupBy("n").agg(F.count(F.lit(1)).alias("people"))
     chain = None
     for most, word in BUCKETS:
@@ -146,8 +149,10 @@ def cohort_retention(scope: ScopedFrame, entity: str, period: str = "month") ->
         raise ParamsInvalid(f"period must be one of {', '.join(COHORT_PERIODS)}; got {period!r}")
     _check_entity(scope, entity)
     k = F.col(quoted(entity))
-    active = scope.frame.where(k.isNotNull() & scope.date.isNotNull()).groupBy(k.alias("k")).agg(
-        F.collect_set(cal.period_of(scope.date, period)).alias("periods"))
+    known = k.isNotNull() & scope.date.isNotNull()
+    active = scope.entering(scope.frame, ~known).where(known).groupBy(k.alias("k")).agg(
+        F.collect_set(cal.period_of(scope.date, period)).alias("periods"), F.count(F.lit(1)).alias("rows"))
+    active = scope.held(active, F.sum("rows"))
     cells = active.select(F.array_min("periods").alias("cohort"), F.explode("periods").alias("p"))
     counted = cells.groupBy("cohort", _offset(F.col("cohort"), F.col("p"), period).cast("int").alias("offset")).agg(
         F.count(F.lit(1)).alias("people"))

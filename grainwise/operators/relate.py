@@ -33,7 +33,7 @@ def pairs(scope: ScopedFrame, measure: str, against: str) -> DataFrame:
 @analysis("correlation", 4, "Pearson and Spearman of two measures over complete pairs.")
 def correlation(scope: ScopedFrame, measure: str, against: str) -> DataFrame:
     """Pairs are counted before anything is ranked, so repeated values cross the shuffle once."""
-    both = pairs(scope, measure, against)
+    both = scope.entering(pairs(scope, measure, against))
     present = F.col("x").isNotNull() & F.col("y").isNotNull()
     linear = both.agg(F.count_if(present).alias("pairs"), F.count_if(~present).alias("dropped"),
                       safe_corr(F.col("x"), F.col("y")).alias("pearson"))
@@ -44,7 +44,7 @@ def correlation(scope: ScopedFrame, measure: str, against: str) -> DataFrame:
         ranks[side] = midranks(values, side, "n").select(side, F.col("midrank").alias(f"r{side}"))
     placed = counted.join(ranks["x"], "x").join(ranks["y"], "y")
     rank = placed.agg(weighted_corr(F.col("rx"), F.col("ry"), F.col("n")).alias("spearman"))
-    return linear.select("pairs", "dropped", "pearson",
+    return scope.held(linear, F.sum(F.col("pairs") + F.col("dropped"))).select("pairs", "dropped", "pearson",
                          rank.select("spearman").scalar().alias("spearman"))
 
 
@@ -62,7 +62,8 @@ def bivariate(scope: ScopedFrame, measure: str, against: str, bins: int = 10) ->
     """
     if isinstance(bins, bool) or not isinstance(bins, int) or not 2 <= bins <= 50:
         raise ParamsInvalid(f"bins must be a whole number from 2 to 50; got {bins!r}")
-    complete = pairs(scope, measure, against).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    absent = F.col("x").isNull() | F.col("y").isNull()
+    complete = scope.entering(pairs(scope, measure, against), absent).where(~absent)
     both = cut(complete.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
     edges = slice_edges(both.select("x").distinct(), bins)
     if not edges:
@@ -76,7 +77,7 @@ def bivariate(scope: ScopedFrame, measure: str, against: str, bins: int = 10) ->
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("rows"),
         (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("mean"))
     medians = quantiles(placed, "y", [0.5], ("bin",), "n").select("bin", F.col("q")[0].alias("median"))
-    return result.join(medians, "bin").select("bin", "lo", "hi", "rows", "mean", "median")
+    return scope.held(result, F.sum("rows")).join(medians, "bin").select("bin", "lo", "hi", "rows", "mean", "median")
 
 
 def slice_edges(distinct_values: DataFrame, bins: int) -> list[float]:
@@ -110,15 +111,15 @@ def driver_analysis(scope: ScopedFrame, measure: str) -> DataFrame:
         raise ParamsInvalid("the contract declares no dimension")
     unit = scope.per_unit(m, dims) if m.per else scope
     f = unit.frame
-    frame = f.select(finite_value(f, measure).alias("y"),
-                     *[F.col(quoted(d)).cast("string").alias(f"d{i}") for i, d in enumerate(dims)]).where(
-        F.col("y").isNotNull())
+    frame = unit.entering(f.select(finite_value(f, measure).alias("y"), *[F.col(quoted(d)).cast("string").alias(f"d{i}") for i, d in enumerate(dims)]),
+                          F.col("y").isNull()).where(F.col("y").isNotNull())
     names = [f"d{i}" for i in range(len(dims))]
     which = F.lit(None).cast("string")
     for i, d in enumerate(dims):
         which = F.when(F.grouping(f"d{i}") == 0, F.lit(d)).otherwise(which)
-    groups = cut(frame.groupingSets([[n] for n in names], *names).agg(
-        F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var"), which.alias("dimension")))
+    groups = frame.groupingSets([[n] for n in names], *names).agg(
+        F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var"), which.alias("dimension"))
+    groups = cut(unit.held(groups, F.sum(F.when(F.col("dimension") == dims[0], F.col("n")))))
     # The groups of any one dimension hold the grand mean and variance, so the table is read once.
     whole = groups.where(F.col("dimension") == dims[0])
     w = F.col("n").cast("double")
@@ -144,13 +145,14 @@ def mix_shift(scope: ScopedFrame, measure: str, dimension: str, period: str, bas
     unit = scope.per_unit(m, [dimension, scope.contract.dated()])
     f = unit.frame
     is_base = (unit.date >= F.lit(base)) & (unit.date < F.lit(cal.next_period(base, grain)))
-    rows = f.where(in_periods(unit, (base, current), grain)).select(
-        F.col(quoted(dimension)).alias("member"), is_base.alias("is_base"),
-        F.col(quoted(measure)).cast("double").alias("v")).where(F.col("v").isNotNull())
+    rows = unit.entering(f.where(in_periods(unit, (base, current), grain)).select(
+        F.col(quoted(dimension)).alias("member"), is_base.alias("is_base"), F.col(quoted(measure)).cast("double").alias("v")),
+        F.col("v").isNull()).where(F.col("v").isNotNull())
     side = {0: F.col("is_base"), 1: ~F.col("is_base")}
-    members = cut(rows.groupBy("member").agg(
+    members = rows.groupBy("member").agg(
         *[F.avg(F.when(t, F.col("v"))).alias(f"mean{k}") for k, t in side.items()],
-        *[F.count_if(t).alias(f"n{k}") for k, t in side.items()]))
+        *[F.count_if(t).alias(f"n{k}") for k, t in side.items()])
+    members = cut(unit.held(members, F.sum(F.col("n0") + F.col("n1"))))
     whole = [members.agg(F.sum(f"n{k}").alias("n")).scalar() for k in (0, 1)]
     shares = members.where((whole[0] > 0) & (whole[1] > 0)).withColumns({
         "share0": ratio(F.col("n0"), whole[0]), "share1": ratio(F.col("n1"), whole[1])})

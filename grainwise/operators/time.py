@@ -20,9 +20,8 @@ CYCLES = ("day", "week", "month", "quarter")
 def series(scope: ScopedFrame, measures: list, grain: str, only: Column | None = None) -> DataFrame:
     """period, v0…, rows: one row per calendar period. The grouped side is one row per period, so
     neither side of this join grows with the table."""
-    frame = scope.frame.where(scope.date.isNotNull())
-    if only is not None:
-        frame = frame.where(only)
+    usable = scope.date.isNotNull() if only is None else scope.date.isNotNull() & only
+    frame = scope.entering(scope.frame, ~F.coalesce(usable, F.lit(False))).where(usable)
     period = cal.period_of(scope.date, grain)
     grouped = None
     for i, m in enumerate(measures):
@@ -33,8 +32,9 @@ def series(scope: ScopedFrame, measures: list, grain: str, only: Column | None =
         grouped = frame.groupBy(period.alias("period")).agg(F.count(F.lit(1)).alias("rows0"))
     spine = scope.calendar(grain).spine()
     values = [F.col(f"v{i}") for i in range(len(measures))]
-    return spine.join(grouped, "period", "left").select(
+    out = spine.join(grouped, "period", "left").select(
         "period", *values, F.coalesce(F.col("rows0"), F.lit(0)).alias("rows"))
+    return scope.held(out, F.sum("rows"))
 
 
 def unit_series(scope: ScopedFrame, measure: str, grain: str):
@@ -170,7 +170,8 @@ def period_compare(scope: ScopedFrame, measure: str, period: str, baseline: str,
     m = combinable(scope, measure)
     unit = scope.per_unit(m, [scope.contract.dated()])
     day = cal.period_of(unit.date, grain)
-    grouped = totals(unit.frame.where(in_periods(unit, (base, current), grain)), m, [day], ["p"])
+    rows = unit.entering(unit.frame.where(in_periods(unit, (base, current), grain)))
+    grouped = unit.held(totals(rows, m, [day], ["p"]), F.sum("rows"))
     spark = unit.source.sparkSession
     pair = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(first).alias("first"), F.lit(label).alias("period"), F.lit(is_base).alias("is_base"),
@@ -205,7 +206,7 @@ def growth_decomposition(scope: ScopedFrame, measure: str, dimension: str, perio
     m = additive(scope, measure)
     grain, base, current = labelled_pair(scope, period, baseline, grain)
     unit = scope.per_unit(m, [scope.contract.dated(), dimension])
-    frame = unit.frame.where(in_periods(unit, (base, current), grain))
+    frame = unit.entering(unit.frame.where(in_periods(unit, (base, current), grain)))
     # The base period comes first exactly when a row is before its end.
     is_base = (unit.date >= F.lit(base)) & (unit.date < F.lit(cal.next_period(base, grain)))
     grouped = totals(frame, m, [F.col(quoted(dimension)), is_base], ["member", "is_base"])
@@ -214,6 +215,7 @@ def growth_decomposition(scope: ScopedFrame, measure: str, dimension: str, perio
         F.max(F.when(~F.col("is_base"), F.col("value"))).alias("current"),
         F.coalesce(F.sum(F.when(F.col("is_base"), F.col("rows"))), F.lit(0)).alias("base_rows"),
         F.coalesce(F.sum(F.when(~F.col("is_base"), F.col("rows"))), F.lit(0)).alias("current_rows"))
+    sides = unit.held(sides, F.sum(F.col("base_rows") + F.col("current_rows")))
     zero = F.lit(0)
     change = F.coalesce(F.col("current"), zero) - F.coalesce(F.col("base"), zero)
     parts = cut(sides.withColumn("change", change))

@@ -116,16 +116,17 @@ def _values(scope: ScopedFrame, measure: str, dimension: str | None):
     unit = scope.per_unit(m, [dimension] if dimension else [])
     f = unit.frame
     member = [F.col(quoted(dimension)).alias("member")] if dimension else []
-    return unit, f.select(*member, finite_value(f, measure).alias("v")).where(F.col("v").isNotNull())
+    rows = unit.entering(f.select(*member, finite_value(f, measure).alias("v")), F.col("v").isNull())
+    return unit, rows.where(F.col("v").isNotNull())
 
 
 @analysis("outlier_detection", 5, "Unusual values by Tukey's fence, z-score and MAD.")
 def outlier_detection(scope: ScopedFrame, measure: str, dimension: str | None = None) -> DataFrame:
     if dimension is not None:
         return outliers_within(scope, measure, dimension)
-    _, values = _values(scope, measure, None)
+    unit, values = _values(scope, measure, None)
     stats = values.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd")).first()
-    counts = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("rows")))  # all that follows reads the counted values
+    counts = cut(unit.held(values.groupBy("v").agg(F.count(F.lit(1)).alias("rows")), F.sum("rows")))  # all that follows reads the counted values
     q = quantiles(counts, "v", [0.25, 0.5, 0.75], n="rows").first()
     n = stats["n"]
     if n < MIN_VALUES:
@@ -159,9 +160,9 @@ def outlier_agreement(scope: ScopedFrame, measure: str) -> DataFrame:
 def outliers_within(scope: ScopedFrame, measure: str, dimension: str) -> DataFrame:
     """The same fences within each member, however many there are."""
     scope.contract.dimension(dimension)
-    _, values = _values(scope, measure, dimension)
-    stats = cut(values.groupBy("member").agg(F.count("v").alias("n"), F.avg("v").alias("mean"),
-                                             F.stddev_samp("v").alias("sd")))
+    unit, values = _values(scope, measure, dimension)
+    stats = values.groupBy("member").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    stats = cut(unit.held(stats, F.sum("n")))
     q = quantiles(values, "v", [0.25, 0.5, 0.75], ("member",))
     known = cut(stats.join(q.withColumnRenamed("member", "__m"), F.col("member").eqNullSafe(F.col("__m")))
                 .drop("__m").withColumnRenamed("member", "g"))

@@ -10,6 +10,7 @@ from grainwise.contract import Measure
 from grainwise.operators.common import totals
 from grainwise.plans.base import (
     DIRTY_SQL, LINES_SQL, OUTAGE, SALES_SQL, UNSURE, WINDOW_SQL, dirty, lines, query, r6, sales, table)
+from grainwise.registry import accounted
 from grainwise.scope import rule_column, scope_for
 
 _EXCLUDED = f"coalesce({OUTAGE}, false) OR coalesce({UNSURE}, false)"
@@ -146,3 +147,27 @@ def _(spark, folder):
     kept = tuple(m for m in scope.contract.measures if m.name in ("unit_price", "qty"))
     return run(scope_for(scope.source.drop("unit_price__n", "unit_price__d", "net_rate__n", "net_rate__d", "taxed_more"), replace(scope.contract, measures=kept)),
                "summary_stats").select("measure", "agg", "n", "total")
+
+
+#: Runs whose rows are accounted for: (scope, name, parameters, SQL of the rows set aside over `s`).
+_ACCOUNTED = (
+    ("frequency", {"column": "o_custkey", "limit": 3}, "0"), ("top_n", {"dimension": "o_custkey", "measure": "price"}, "0"),
+    ("cross_tab", {"rows": "status", "columns": "priority"}, "0"), ("group_compare", {"dimension": "status", "measure": "price"}, "0"),
+    ("distribution", {"measure": "price_avg"}, "count(*) FILTER (WHERE price IS NULL)"), ("trend", {"measure": "price"}, "count(*) FILTER (WHERE odate IS NULL)"),
+    ("bivariate", {"measure": "price", "against": "gross"}, "count(*) FILTER (WHERE price IS NULL OR gross IS NULL)"),
+    ("hypothesis_test", {"dimension": "status", "second_dimension": "priority"}, "count(*) FILTER (WHERE status IS NULL OR priority IS NULL)"),
+    ("outlier_detection", {"measure": "price"}, "count(*) FILTER (WHERE price IS NULL)"),
+    ("cohort_retention", {"entity": "o_custkey"}, "count(*) FILTER (WHERE o_custkey IS NULL OR odate IS NULL)"),
+)
+
+
+@query("row_accounting", SALES_SQL + " UNION ALL ".join(
+    f"SELECT '{name}' AS analysis, count(*) AS entered, {aside} AS set_aside, count(*) - {aside} AS held FROM s" for name, _, aside in _ACCOUNTED))
+def _(spark, folder):
+    rows = []
+    for name, params, _ in _ACCOUNTED:
+        result, account = accounted(sales(spark, folder), name, **params)
+        result.write.format("noop").mode("overwrite").save()
+        counts = account.check()
+        rows.append((name, counts["entered"], counts["set_aside"], counts["held"]))
+    return spark.createDataFrame(rows, "analysis string, entered long, set_aside long, held long")

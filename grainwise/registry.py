@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from grainwise.accounting import Account
 from grainwise.errors import LostRows, ParamsInvalid
 from grainwise.scope import ScopedFrame
 
@@ -74,6 +75,12 @@ def run(scope: ScopedFrame, name: str, *, where: str | None = None, groups: list
     return chosen.function(scope, **params)
 
 
+def accounted(scope: ScopedFrame, name: str, **params) -> tuple[DataFrame, Account]:
+    """As `run`, with the account of the run: `check()` it once the result has been read, and lost rows are refused."""
+    account = Account(name)
+    return run(replace(scope, account=account), name, **params), account
+
+
 def reconcile(scope: ScopedFrame, result: DataFrame, rows: str = "rows",
               set_aside: int = 0) -> DataFrame:
     """`result` again, once its row counts are known to add back to the analysed rows."""

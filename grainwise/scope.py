@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainwise.accounting import Account
 from grainwise.contract import DatasetContract, Measure, is_date, is_number
 from grainwise.errors import LostRows, NotPossible, ParamsInvalid, ScopeError
 from grainwise.functions import calendar as cal
@@ -98,6 +99,7 @@ class ScopedFrame:
     tests: tuple[tuple[str, Column], ...] = ()
     unknown: Column | None = None
     notes: tuple[str, ...] = ()
+    account: Account | None = None
     _known: dict = field(default_factory=dict, compare=False)
 
     @property
@@ -108,6 +110,14 @@ class ScopedFrame:
             rows = rows.where(keep)
         return rows
 
+    def entering(self, rows: DataFrame, aside: Column | None = None) -> DataFrame:
+        """`rows` as an analysis takes them in, counted where a run is accounted for; `aside` marks those no group will hold."""
+        return rows if self.account is None else self.account.entering(rows, aside)
+
+    def held(self, groups: DataFrame, rows: Column) -> DataFrame:
+        """The groups that hold those rows; `rows` is an aggregate of how many."""
+        return groups if self.account is None else self.account.held(groups, rows)
+
     @property
     def date(self) -> Column:
         return F.col(quoted(self.contract.dated()))

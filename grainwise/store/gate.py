@@ -10,7 +10,7 @@ from grainwise.errors import GateRefused
 from grainwise.evidence import keys
 from grainwise.evidence.claims import metrics
 from grainwise.evidence.draft import schema_drift
-from grainwise.registry import run
+from grainwise.registry import accounted
 from grainwise.scope import ScopedFrame, scope_for
 from grainwise.store.workspace import Workspace
 
@@ -53,11 +53,12 @@ def open_scope(space: Workspace, dataset: str) -> ScopedFrame:
 def analyse(space: Workspace, dataset: str, name: str, at: datetime | None = None, **params) -> DataFrame:
     """Open the gate, run an analysis, write its result and log the exact call."""
     scope = open_scope(space, dataset)
-    result = run(scope, name, **params)
+    result, account = accounted(scope, name, **params)
     call = f"{name}({', '.join(f'{k}={v!r}' for k, v in sorted(params.items()))})"
     taken = space.log("analyses").where(f"dataset = '{dataset}'").count() + 1
     path = f"{space.root}/results/{dataset}-{taken:06d}"
     result.write.mode("errorifexists").parquet(path)
+    account.check()
     written = space.spark.read.parquet(path)
     counted = scope.counted()
     note = f"{counted['analysed']} of {counted['rows']} rows analysed"
