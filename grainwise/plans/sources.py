@@ -98,6 +98,36 @@ def _(spark, folder):
     return landed.ragged_rows(spark, path, 3)
 
 
+_RAGGED = ("CASE WHEN o_totalprice < 60000 THEN 'short' WHEN o_totalprice > 400000 THEN 'long' WHEN o_totalprice > 300000 THEN 'broken' ELSE 'plain' END")
+
+
+def _overflowing(spark, folder) -> str:
+    """Records of three columns: some one cell short, some with two cells more, some with a line break inside quotes."""
+    path = shared_folder(spark, "landed")
+    kind, key = F.expr(_RAGGED), F.col("o_orderkey").cast("string")
+    line = (F.when(kind == "short", F.concat_ws(",", key, F.lit("s")))
+            .when(kind == "long", F.concat_ws(",", key, F.lit("l"), F.lit('"a, b"'), F.lit(""), F.lit('"x""y"')))
+            .when(kind == "broken", F.concat(key, F.lit(',b,"first\nsecond, half"'))).otherwise(F.concat_ws(",", key, F.lit("p"), "o_orderpriority")))
+    table(spark, folder, "orders").select(line.alias("value")).write.text(path)
+    return path
+
+
+@query("load_overflow", f"""WITH k AS (SELECT {_RAGGED} AS kind, o_orderkey FROM orders)
+SELECT kind, count(*) AS rows, sum(o_orderkey) AS keys, CASE kind WHEN 'long' THEN 'a, b' WHEN 'broken' THEN 'first' || chr(10) || 'second, half' END AS note,
+CASE kind WHEN 'long' THEN ' | x"y' ELSE '' END AS overflow, CASE kind WHEN 'short' THEN 1 ELSE 0 END AS missing FROM k GROUP BY kind""")
+def _(spark, folder):
+    df = delimited.read_records(spark, _overflowing(spark, folder), ["key", "kind", "note"], header=False)
+    kind = F.create_map(*[F.lit(x) for x in ("s", "short", "l", "long", "b", "broken", "p", "plain")])[F.col("kind")]
+    note = F.when(kind != "plain", F.col("note"))
+    return df.groupBy(kind.alias("kind"), note.alias("note"), "overflow", "missing").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("key").cast("bigint")).alias("keys"))
+
+
+@query("ragged_rows_quoted", f"""SELECT count(*) AS rows, count(*) FILTER (WHERE kind = 'short') AS short, count(*) FILTER (WHERE kind = 'long') AS long,
+2 * count(*) FILTER (WHERE kind = 'long') AS overflow_cells FROM (SELECT {_RAGGED} AS kind FROM orders)""")
+def _(spark, folder):
+    return delimited.record_counts(delimited.read_records(spark, _overflowing(spark, folder), ["key", "kind", "note"], header=False))
+
+
 @query("two_digit_years", DIRTY_SQL + """SELECT 'short_day' AS "column", count(*) AS rows FROM d""")
 def _(spark, folder):
     return delimited.two_digit_years(dirty(spark, folder))

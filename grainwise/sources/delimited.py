@@ -11,6 +11,7 @@ from grainwise.errors import ParamsInvalid
 from grainwise.functions import readings
 from grainwise.functions.exprs import count_where, matches, quoted
 from grainwise.profiling.table import fused
+from grainwise.session import cut
 from grainwise.sources.names import assemble_names, target_names
 
 #: Whole numbers past this are not exact as doubles.
@@ -19,7 +20,7 @@ EXACT_DOUBLE = 2.0 ** 53
 
 def read_text(spark: SparkSession, path: str, names: list[str] | None = None, delimiter: str = ",", header: bool = True,
               encoding: str = "UTF-8", width: int | None = None) -> DataFrame:
-    """Every column as text. Short rows are padded with NULL; long ones keep what fits.
+    """Every column as text. Short rows are padded with NULL; long ones keep what fits (`read_records` keeps the rest).
 
     The schema is built from the first line or from `names`, so nothing is inferred by a scan.
     """
@@ -34,6 +35,43 @@ def read_text(spark: SparkSession, path: str, names: list[str] | None = None, de
     return reader.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
 
 
+def read_records(spark: SparkSession, path: str, names: list[str] | None = None, delimiter: str = ",", header: bool = True,
+                 encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+    """`read_text` with two columns more: `overflow`, the cells past the last column, and `missing`, how many cells a record is short.
+
+    Quotes are doubled inside quotes. `multiline` keeps a quoted line break inside its record; a file is one task then, so turn it off for huge files without such
+    breaks. The reader hands over the whole text of a record that does not fit, and only those are parsed again, to the width of
+    the widest. The records are written once, as the reader keeps no such text for a later, narrower read.
+    """
+    plain = read_text(spark, path, names, delimiter, header, encoding)
+    raw = "__record"
+    fields = [*plain.schema.fields, T.StructField(raw, T.StringType())]
+    reader = (spark.read.option("sep", delimiter).option("encoding", encoding).option("mode", "PERMISSIVE").option("header", header)
+              .option("escape", '"').option("enforceSchema", True).option("multiLine", multiline).option("columnPruning", False).option("columnNameOfCorruptRecord", raw))
+    records = cut(reader.schema(T.StructType(fields)).csv(path))
+    width, text = len(plain.columns), F.col(raw)
+    # A record has as many cells as separators outside its quotes, and one.
+    bare = F.regexp_replace(text, '"[^"]*+"', "")
+    cells = (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter) + 1
+    records = records.withColumn("__cells", cells.cast("int"))
+    widest = records.agg(F.max("__cells")).first()[0]
+    none = F.array().cast("array<string>")
+    if widest is None:
+        return records.select(*[quoted(c) for c in plain.columns], none.alias("overflow"), F.lit(0).alias("missing"))
+    schema = ", ".join(f"c{i} string" for i in range(max(widest, width)))
+    again = F.from_csv(F.rtrim(text), F.lit(schema), {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE"})
+    past = F.array(*[F.coalesce(again.getField(f"c{i}"), F.lit("")) for i in range(width, widest)]) if widest > width else none
+    n = F.col("__cells")
+    return records.select(*[quoted(c) for c in plain.columns], F.when(n > width, F.slice(past, 1, n - width)).otherwise(none).alias("overflow"),
+                          F.greatest(width - F.coalesce(n, F.lit(width)), F.lit(0)).alias("missing"))
+
+
+def record_counts(records: DataFrame) -> DataFrame:
+    """rows, short, long, overflow_cells of what `read_records` gives."""
+    return records.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("missing") > 0).alias("short"), F.count_if(F.size("overflow") > 0).alias("long"),
+                       F.coalesce(F.sum(F.size("overflow")), F.lit(0)).alias("overflow_cells"))
+
+
 def tokens_to_null(df: DataFrame, tokens) -> DataFrame:
     """The listed texts as NULL, exactly as written."""
     return df.select(*[F.when(~F.coalesce(F.col(quoted(c)).isin(list(tokens)), F.lit(False)), F.col(quoted(c))).alias(c)
