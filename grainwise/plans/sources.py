@@ -77,6 +77,41 @@ def _(spark, folder):
     return found.select(F.url_decode(F.regexp_extract("file", "part=([^/]+)", 1)).alias("part"), "lines", "footer_lines")
 
 
+# Files of three and of seventy columns in one folder, one with a preamble longer than any preview.
+def _mixed(spark, folder) -> str:
+    path = shared_folder(spark, "landed")
+    rows = table(spark, folder, "orders").select("o_orderpriority", "o_orderkey", "o_orderstatus")
+    key, wide = F.col("o_orderkey").cast("string"), F.col("o_orderpriority") == "1-URGENT"
+    cell = F.when(wide, F.concat_ws(",", key, "o_orderstatus", F.lit(",".join(["x"] * 67)), F.lit("1"))).otherwise(F.concat_ws(",", key, "o_orderstatus", F.lit("1")))
+    body = rows.select(F.col("o_orderpriority").alias("part"), F.lit(3).alias("at"), F.col("o_orderkey").alias("n"), cell.alias("line"))
+    parts = body.select("part").distinct()
+    many = F.col("part") == "1-URGENT"
+
+    def fixed(at, text, n=1):
+        return parts.select("part", F.lit(at).alias("at"), F.explode(F.sequence(F.lit(1).cast("long"), (F.lit(n) if isinstance(n, int) else n).cast("long"))).alias("n"), text.alias("line"))
+
+    header = F.when(many, F.lit("key,status," + ",".join(f"c{i}" for i in range(67)).translate(str.maketrans("0123456789", "abcdefghij")) + ",last")).otherwise(F.lit("key,status,last"))
+    lines = (body.unionByName(fixed(1, F.lit("A note about this file"), F.when(many, F.lit(80)).otherwise(F.lit(1))).withColumn("n", F.col("n")))
+             .unionByName(fixed(2, F.lit("")).withColumn("n", F.lit(0).cast("long"))).unionByName(fixed(2, header))
+             # A total that misses only the last column: a footer by the columns its own file always fills.
+             .unionByName(fixed(8, F.when(many, F.lit("Total," + ",".join(["x"] * 68) + ",")).otherwise(F.lit("Total,x,")))))
+    (lines.repartition("part").sortWithinPartitions("part", "at", "n").select("part", F.col("line").alias("value")).write.partitionBy("part").text(path))
+    return path
+
+
+@query("header_below_long_preamble", """SELECT o_orderpriority AS part, CASE WHEN o_orderpriority = '1-URGENT' THEN '82' ELSE '3' END AS header_lines,
+CASE WHEN o_orderpriority = '1-URGENT' THEN 83 ELSE 4 END AS data_start, 'high' AS confidence FROM orders GROUP BY 1""")
+def _(spark, folder):
+    found = landed.header_lines(spark, _mixed(spark, folder))
+    return found.select(F.url_decode(F.regexp_extract("file", "part=([^/]+)", 1)).alias("part"), "header_lines", "data_start", "confidence")
+
+
+@query("footer_detect_mixed", """SELECT o_orderpriority AS part, count(*) + CASE WHEN o_orderpriority = '1-URGENT' THEN 83 ELSE 4 END AS lines, 1 AS footer_lines FROM orders GROUP BY 1""")
+def _(spark, folder):
+    found = landed.footer_lines(spark, _mixed(spark, folder))
+    return found.select(F.url_decode(F.regexp_extract("file", "part=([^/]+)", 1)).alias("part"), "lines", "footer_lines")
+
+
 @query("footer_skip", f"""SELECT o_orderpriority AS part, count(*) + 3 AS rows, {r6('sum(CAST(o_totalprice AS DECIMAL(18,2)))', 'value')} FROM orders GROUP BY 1""")
 def _(spark, folder):
     from pyspark.sql import types as T

@@ -1,7 +1,7 @@
 """Where the data of landed files begins and ends, for a whole directory at once.
 
-Files may be huge, so no file is ever gathered: the head of each is a limit that runs before the
-shuffle, and the foot is found by aggregates per block.
+Files may be huge, so no file is ever gathered: the head of each ends where an aggregate finds its first line of data, and the foot
+is found from the shapes of its lines, counted per block.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from grainwise.functions import readings
 from grainwise.functions.exprs import matches
+from grainwise.session import cut
 
-# Lines of each file read for its header, the sparse share, and a totals label.
-PREVIEW = 50
+# The sparse share, and a totals label.
 SPARSE = 0.5
 TOTALS_LABEL = r"(?i)^(grand\s+|sub-?)?totals?\b|^sum\b"
 UNQUOTED = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -53,20 +53,28 @@ def header_lines(spark: SparkSession, path: str, delimiter: str = ",") -> DataFr
     The first line with a non-text value starts the data; the header is the run of text lines right
     above it, up to a blank line. A line of labels over distinct years is a header too.
     """
-    placed = lines(spark, path, delimiter)
     in_file = Window.partitionBy("file").orderBy("block", "row")
-    head = placed.withColumn("n", F.row_number().over(in_file)).where(F.col("n") <= PREVIEW)
     c = F.col("cells")
     filled = F.filter(c, lambda x: x != "")
     numbers = F.filter(filled, lambda x: ~_texty(x))
-    below = F.lead("cells").over(in_file)
     years = F.size(F.filter(numbers, _year))
-    pivot = ((F.size(numbers) >= 2) & (years == F.size(numbers)) & (F.size(F.array_distinct(numbers)) == F.size(numbers))
-             & (F.size(numbers) < F.size(filled)) & below.isNotNull()
-             & (F.size(F.filter(F.filter(below, lambda x: x != ""), _year)) < F.size(numbers)))
+    # By itself a line of labels over distinct years may be a header; any other line with a number is data for sure.
+    yearly = ((F.size(numbers) >= 2) & (years == F.size(numbers)) & (F.size(F.array_distinct(numbers)) == F.size(numbers)) & (F.size(numbers) < F.size(filled)))
+    at = F.struct("block", "row")
+    placed = lines(spark, path, delimiter).withColumns({"numbers": F.size(numbers), "yearly": yearly, "at": at})
+    # A preamble ends with the first sure line; without one, with the last line that may be a header of years, or where the file opens.
+    sure = (F.col("numbers") > 0) & ~F.col("yearly")
+    ends = placed.groupBy(F.col("file").alias("of")).agg(F.coalesce(
+        F.min(F.when(sure, F.col("at"))), F.max(F.when(F.col("yearly"), F.col("at"))), F.min(F.when(F.size(filled) > 0, F.col("at"))), F.min("at")).alias("end"))
+    upto = placed.join(ends, F.col("file") == F.col("of"))
+    after = (upto.where(F.col("at") > F.col("end")).groupBy("file").agg(F.min(F.struct("at", "cells")).alias("next")))
+    head = (upto.where(F.col("at") <= F.col("end")).select("file", "block", "row", "cells", "yearly", "numbers")
+            .unionByName(after.select("file", "next.at.block", "next.at.row", "next.cells", F.lit(False).alias("yearly"), F.lit(None).cast("int").alias("numbers"))))
+    below = F.lead("cells").over(in_file)
+    pivot = F.col("yearly") & below.isNotNull() & (F.size(F.filter(F.filter(below, lambda x: x != ""), _year)) < F.col("numbers"))
     marked = head.withColumns({
-        "fill": F.size(filled), "blank": F.size(filled) == 0,
-        "headerish": (F.size(filled) > 0) & ((F.size(numbers) == 0) | pivot)})
+        "n": F.row_number().over(in_file), "fill": F.size(filled), "blank": F.size(filled) == 0,
+        "headerish": (F.size(filled) > 0) & ((F.col("numbers") == 0) | pivot)}).where("numbers IS NOT NULL")
     is_data = ~F.col("blank") & ~F.col("headerish")
     whole = Window.partitionBy("file")
     start = marked.withColumn("data", F.min(F.when(is_data, F.col("n"))).over(whole))
@@ -90,34 +98,50 @@ def header_lines(spark: SparkSession, path: str, delimiter: str = ",") -> DataFr
                         F.coalesce("data", F.col("opening") + 1).alias("data_start"), confidence.alias("confidence"))
 
 
+#: Columns whose being filled one word of bits holds.
+WORD = 60
+
+
+def _bits(cells: Column) -> Column:
+    """Which cells hold something, as words of WORD bits."""
+    def word(k: Column) -> Column:
+        part = F.transform(F.slice(cells, k * WORD + 1, F.lit(WORD)), lambda x, i: F.when(x != "", F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(cells), F.lit(1)) - 1) / WORD).cast("int")), word)
+
+
 def footer_lines(spark: SparkSession, path: str, delimiter: str = ",", width: int | None = None) -> DataFrame:
-    """file, lines, footer_lines: notes and totals at the end of each file.
+    """file, lines, footer_lines: notes and totals at the end of each file, judged by that file's own width and columns.
 
-    A footer line is filled in under half its columns, or is labelled a total and leaves a column
-    empty that every ordinary line fills. Counting runs per block and then per file, so a file of
-    any size is only ever a few aggregates.
+    A footer line is filled in under half its columns, or is labelled a total and leaves a column empty that every ordinary line
+    of its file fills. Lines are folded per block to their shapes (cells, which are filled, labelled a total), of which there are
+    few; all that follows reads the shapes.
     """
-    placed = lines(spark, path, delimiter)
     c = F.col("cells")
-    if width is None:
-        width = placed.agg(F.max(F.size("cells"))).first()[0] or 1
-    first = F.coalesce(F.element_at(F.filter(c, lambda x: x != ""), 1), F.lit(""))
-    sparse = _filled(c) < SPARSE * F.lit(width)
-    total = first.rlike(TOTALS_LABEL)
-    ordinary = placed.where(~sparse & ~total)
-    slot = [F.coalesce(F.get(c, F.lit(i)), F.lit("")) != "" for i in range(width)]
-    full = ordinary.agg(*[F.min(s.cast("int")).alias(f"c{i}") for i, s in enumerate(slot)]).first()
-    always = [i for i in range(width) if full[i] == 1]
-    misses = F.lit(not always)
-    for i in always:
-        misses = misses | ~slot[i]
-    flagged = sparse | (total & misses)
-    per_block = placed.withColumn("flagged", flagged).groupBy("file", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.max("row").alias("last"), F.max(F.when(~F.col("flagged"), F.col("row"))).alias("kept"))
+    first = F.coalesce(F.get(F.filter(c, lambda x: x != ""), F.lit(0)), F.lit(""))
+    shapes = lines(spark, path, delimiter).groupBy(
+        "file", "block", F.size(c).alias("size"), _bits(c).alias("bits"), first.rlike(TOTALS_LABEL).alias("total")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("row").alias("last"))
+    in_file = Window.partitionBy("file")
+    wide = F.max("size").over(in_file) if width is None else F.lit(width)
+    filled = F.aggregate("bits", F.lit(0), lambda a, x: a + F.bit_count(x))
+    words = F.floor((F.greatest(F.col("width"), F.col("size"), F.lit(1)) - 1) / WORD).cast("int") + 1
+    judged = cut(shapes.withColumn("width", wide).withColumn("sparse", filled < SPARSE * F.col("width"))
+                 .withColumn("bits", F.concat("bits", F.array_repeat(F.lit(0).cast("long"), F.max(words).over(in_file) - F.size("bits")))))
+    # A column that every ordinary line fills keeps its bit in the conjunction of them all.
+    always = (judged.where("NOT sparse AND NOT total").select(F.col("file").alias("of"), F.posexplode("bits").alias("k", "word"))
+              .groupBy("of", "k").agg(F.bit_and("word").alias("word")).groupBy("of")
+              .agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("always")))
+    met = judged.join(always, F.col("file") == F.col("of"), "left")
+    none = F.coalesce(F.forall("always", lambda x: x == 0), F.lit(True))
+    misses = none | F.exists(F.zip_with("bits", "always", lambda a, b: a.bitwiseAND(b) != b), lambda x: x)
+    flagged = F.col("sparse") | (F.col("total") & misses)
+    per_block = met.withColumn("flagged", flagged).groupBy("file", "block").agg(
+        F.sum("n").alias("n"), F.max("last").alias("last"), F.max(F.when(~F.col("flagged"), F.col("last"))).alias("kept"))
     # Row numbers are consecutive inside a block, so the rows after its last ordinary line are a difference.
     tail = F.when(F.col("kept").isNull(), F.col("n")).otherwise(F.col("last") - F.col("kept"))
     blocks = per_block.withColumn("tail", tail)
-    last_kept = F.max(F.when(F.col("kept").isNotNull(), F.col("block"))).over(Window.partitionBy("file"))
+    last_kept = F.max(F.when(F.col("kept").isNotNull(), F.col("block"))).over(in_file)
     return blocks.withColumn("at", F.coalesce(last_kept, F.lit(-1))).groupBy("file").agg(
         F.sum("n").alias("lines"), F.sum(F.when(F.col("block") >= F.col("at"), F.col("tail")).otherwise(0)).alias("footer_lines"))
 
