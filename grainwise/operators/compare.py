@@ -88,6 +88,15 @@ def pareto(scope: ScopedFrame, dimension: str, measure: str, threshold: float =
         ((before < limit)).alias("reached"), "rows")
 
 
+def pareto_crossing(scope: ScopedFrame, dimension: str, measure: str, threshold: float = 80.0) -> DataFrame:
+    """One row: groups needed to reach the threshold, of how many, what they hold, and the groups tied with the one that crosses it."""
+    placed = cut(pareto(scope, dimension, measure, threshold))
+    edge = placed.agg(F.min(F.when(F.col("reached"), F.col("total"))).alias("edge")).scalar()
+    tied = F.coalesce(F.col("total") == edge, F.lit(False))
+    return placed.agg(F.count_if("reached").alias("needed"), F.count(F.lit(1)).alias("groups"), F.max(F.when(F.col("reached"), F.col("running_share"))).alias("share"),
+                      F.count_if(tied).alias("tied"), F.count_if(tied & ~F.col("reached")).alias("tied_left_out"))
+
+
 def _placed(scope: ScopedFrame, dimension: str, measure: str):
     """Groups with their position, the total before them, and the checked whole."""
     m = combinable(scope, measure)
@@ -159,6 +168,15 @@ def ranking_shift(scope: ScopedFrame, dimension: str, measure: str, before_start
                               state.alias("state"))
 
 
+def ranking_shift_rows(scope: ScopedFrame, before_start, before_end, after_start, after_end) -> DataFrame:
+    """One row: where the analysed rows of `ranking_shift` lie, those in neither range and those without a date among them."""
+    day = F.col(quoted(scope.contract.dated()))
+    before, after = (F.coalesce(within(day, *_range(*r)), F.lit(False)) for r in ((before_start, before_end), (after_start, after_end)))
+    return scope.frame.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(before & ~after).alias("before_only"), F.count_if(after & ~before).alias("after_only"),
+        F.count_if(before & after).alias("in_both"), F.count_if(day.isNotNull() & ~before & ~after).alias("in_neither"), F.count_if(day.isNull()).alias("undated"))
+
+
 def _range(start, end) -> tuple[date, date]:
     try:
         pair = tuple(d if isinstance(d, date) else date.fromisoformat(str(d)) for d in (start, end))

@@ -109,6 +109,26 @@ def frequency(scope: ScopedFrame, column: str, limit: int = 20) -> DataFrame:
     return top.withColumn("share", ratio(F.col("rows"), whole))
 
 
+def frequency_rest(scope: ScopedFrame, column: str, limit: int = 20) -> DataFrame:
+    """One row on what `frequency` does not show: values and rows shown and left, and the values tied with the last one shown."""
+    counted = cut(scope.frame.groupBy(F.col(quoted(column)).alias("member")).agg(F.count(F.lit(1)).alias("rows")))
+    top = counted.orderBy(*ranked("rows", "member")).limit(limit).agg(F.count(F.lit(1)).alias("shown"), F.coalesce(F.sum("rows"), F.lit(0)).alias("shown_rows"))
+    whole = counted.agg(F.count(F.lit(1)).alias("values"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    shown, shown_rows = top.select("shown").scalar(), top.select("shown_rows").scalar()
+    ties = tied_at_cut(counted, "rows", limit)
+    return whole.select(shown.alias("shown"), shown_rows.alias("shown_rows"), (F.col("values") - shown).alias("values_left"), (F.col("rows") - shown_rows).alias("rows_left"),
+                        ties.select("tied").scalar().alias("tied"), F.coalesce(ties.select("left_out").scalar(), F.lit(0)).alias("tied_left_out"))
+
+
+def top_n_joint(scope: ScopedFrame, dimension: str, measure: str, n: int = 10) -> DataFrame:
+    """One row: how many groups `top_n` shows, of how many, and what they hold together, where a share means anything."""
+    grouped, m = ranked_groups(scope, dimension, measure)
+    grouped = cut(grouped)
+    top = grouped.orderBy(*ranked("value", "member")).limit(n).withColumn("share", share_of(grouped, "value", m))
+    return top.agg(F.count(F.lit(1)).alias("shown"), F.sum("rows").alias("rows"), F.sum("share").alias("joint_share")).withColumn(
+        "groups", grouped.agg(F.count(F.lit(1))).scalar())
+
+
 def tied_at_cut(ranked_rows: DataFrame, value: str, n: int) -> DataFrame:
     """How many groups share the value at position n, and how many of them the cut leaves out."""
     top = ranked_rows.orderBy(*ranked(value, "member")).limit(n)

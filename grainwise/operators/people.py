@@ -162,3 +162,16 @@ def cohort_retention(scope: ScopedFrame, entity: str, period: str = "month") ->
 
 def check_entity(scope: ScopedFrame, entity: str) -> dict:
     return _check_entity(scope, entity)
+
+
+def returning(scope: ScopedFrame, entity: str, period: str = "month") -> DataFrame:
+    """One row beside `cohort_retention`: people, those active in more than one period, their share, and whether that is low."""
+    if period not in COHORT_PERIODS:
+        raise ParamsInvalid(f"period must be one of {', '.join(COHORT_PERIODS)}; got {period!r}")
+    _check_entity(scope, entity)
+    k = F.col(quoted(entity))
+    p = cal.period_of(scope.date, period)
+    per = scope.frame.where(k.isNotNull() & scope.date.isNotNull()).groupBy(k.alias("k")).agg(F.min(p).alias("lo"), F.max(p).alias("hi"))
+    rate = ratio(F.col("returned"), F.col("people"))
+    return per.agg(F.count(F.lit(1)).alias("people"), F.count_if(F.col("lo") < F.col("hi")).alias("returned")).select(
+        "people", "returned", rate.alias("rate"), (rate < LOW_REPEAT).alias("is_low"))

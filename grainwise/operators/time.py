@@ -186,6 +186,18 @@ def period_compare(scope: ScopedFrame, measure: str, period: str, baseline: str,
     return rows.select("period", "value", "rows", "days", delta.alias("delta"), pct.alias("pct"))
 
 
+def period_gaps(scope: ScopedFrame, period: str, baseline: str, grain: str = cal.DEFAULT_GRAIN) -> DataFrame:
+    """period, month: months of either compared period that hold no row, as a change may be theirs alone."""
+    grain, base, current = labelled_pair(scope, period, baseline, grain)
+    month = F.trunc(scope.date.cast("date"), "month")
+    held = scope.frame.where(in_periods(scope, (base, current), grain)).select(month.alias("m")).distinct()
+    spans = [F.struct(F.lit(label).alias("period"), F.lit(cal.truncated(first, "month")).alias("lo"), F.date_sub(F.lit(cal.next_period(first, grain)), 1).alias("hi"))
+             for label, first in ((baseline, base), (period, current))]
+    months = scope.source.sparkSession.range(1).select(F.explode(F.array(*spans)).alias("s")).select(
+        "s.period", F.explode(F.sequence("s.lo", F.trunc("s.hi", "month"), F.expr("INTERVAL 1 MONTH"))).alias("m"))
+    return months.join(held, "m", "left_anti").select("period", cal.label_of(F.col("m"), "month").alias("month"))
+
+
 def empty_months(scope: ScopedFrame, today: Column | None = None) -> DataFrame:
     """Months inside the span of the rows' dates, up to today, that hold none."""
     upto = F.current_date() if today is None else today

@@ -157,6 +157,21 @@ def outlier_agreement(scope: ScopedFrame, measure: str) -> DataFrame:
             .groupBy("methods").agg(F.count(F.lit(1)).alias("rows")))
 
 
+def outliers_beside_all(scope: ScopedFrame, measure: str, dimension: str) -> DataFrame:
+    """member, n, own, overall, both: values each member's own fence flags, the fence over all rows flags, and both do."""
+    scope.contract.dimension(dimension)
+    _, values = _values(scope, measure, dimension)
+    counts = cut(values.groupBy("member", "v").agg(F.count(F.lit(1)).alias("rows")))
+    whole = quantiles(counts.groupBy("v").agg(F.sum("rows").alias("rows")), "v", [0.25, 0.75], n="rows").first()["q"]
+    own = quantiles(counts, "v", [0.25, 0.75], ("member",), "rows").select(F.col("member").alias("g"), "q")
+    reach = lambda lo, hi: (lo - IQR_FENCE * (hi - lo), hi + IQR_FENCE * (hi - lo))
+    beyond = lambda ends: F.coalesce((F.col("v") < ends[0]) | (F.col("v") > ends[1]), F.lit(False))
+    here, over = beyond(reach(F.col("q")[0], F.col("q")[1])), beyond(reach(*map(F.lit, whole or (None, None))))
+    judged = counts.join(own, F.col("member").eqNullSafe(F.col("g")))
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("rows"))), F.lit(0))
+    return judged.groupBy("member").agg(F.sum("rows").alias("n"), total(here).alias("own"), total(over).alias("overall"), total(here & over).alias("both"))
+
+
 def outliers_within(scope: ScopedFrame, measure: str, dimension: str) -> DataFrame:
     """The same fences within each member, however many there are."""
     scope.contract.dimension(dimension)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from grainwise.contract import DatasetContract, Measure
-from grainwise.operators import describe, infer, people, relate, time, unusual
+from grainwise.operators import compare, describe, infer, people, relate, time, unusual
 from grainwise.plans.base import (
     DIRTY_SQL, DOCS_SQL, EVENTS_SQL, LINES_SQL, ORDERS_SQL, SALES_SQL, dirty, documents, events, lines, orders, query, r6, sales)
 from grainwise.plans.tail_sql import chi2_upper, f_upper, t_power, t_quantile, t_two_sided
@@ -741,3 +741,57 @@ def _(spark, folder):
 @query("cohort_retention_week", EVENTS_SQL + _cohort("user_id", "ts", "week"))
 def _(spark, folder):
     return run(events(spark, folder), "cohort_retention", entity="user_id", period="week")
+
+
+# --- what stands beside a result --------------------------------------------------------------
+
+@query("frequency_rest", SALES_SQL + """, g AS (SELECT o_custkey AS m, count(*) AS n FROM s GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, m NULLS LAST) AS k FROM g),
+e AS (SELECT min(n) AS edge FROM r WHERE k <= 20)
+SELECT count(*) FILTER (WHERE k <= 20) AS shown, CAST(sum(n) FILTER (WHERE k <= 20) AS BIGINT) AS shown_rows, count(*) FILTER (WHERE k > 20) AS values_left,
+CAST(sum(n) FILTER (WHERE k > 20) AS BIGINT) AS rows_left, count(*) FILTER (WHERE n = edge) AS tied, count(*) FILTER (WHERE n = edge AND k > 20) AS tied_left_out FROM r, e""")
+def _(spark, folder):
+    return describe.frequency_rest(sales(spark, folder), "o_custkey")
+
+
+@query("top_n_joint", SALES_SQL + f""", g AS (SELECT o_custkey AS m, sum(price) AS v, count(*) AS n FROM s GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY v DESC NULLS LAST, m NULLS LAST) AS k FROM g)
+SELECT count(*) FILTER (WHERE k <= 10) AS shown, CAST(sum(n) FILTER (WHERE k <= 10) AS BIGINT) AS rows, {r6('sum(v) FILTER (WHERE k <= 10) / sum(v)', 'joint_share')}, count(*) AS groups FROM r""")
+def _(spark, folder):
+    return describe.top_n_joint(sales(spark, folder), "o_custkey", "price")
+
+
+@query("pareto_crossing", SALES_SQL + f""", g AS (SELECT o_custkey AS m, count(price) AS v FROM s GROUP BY 1),
+r AS (SELECT *, sum(v) OVER (ORDER BY v DESC, m NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto, sum(v) OVER () AS whole FROM g),
+t AS (SELECT *, (upto - v) * 1.0 / whole < 0.8 AS reached FROM r), e AS (SELECT min(v) AS edge FROM t WHERE reached)
+SELECT count(*) FILTER (WHERE reached) AS needed, count(*) AS groups, {r6('max(upto) FILTER (WHERE reached) * 1.0 / max(whole)', 'share')}, count(*) FILTER (WHERE v = edge) AS tied,
+count(*) FILTER (WHERE v = edge AND NOT reached) AS tied_left_out FROM t, e""")
+def _(spark, folder):
+    return compare.pareto_crossing(sales(spark, folder), "o_custkey", "priced")
+
+
+@query("ranking_shift_rows", EVENTS_SQL + """, d AS (SELECT CAST(ts AS DATE) AS day FROM s),
+b AS (SELECT day BETWEEN DATE '2024-01-03' AND DATE '2024-01-12' AS b, day BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AS a, day FROM d)
+SELECT count(*) AS rows, count(*) FILTER (WHERE b AND NOT a) AS before_only, count(*) FILTER (WHERE a AND NOT b) AS after_only, count(*) FILTER (WHERE a AND b) AS in_both,
+count(*) FILTER (WHERE NOT a AND NOT b) AS in_neither, count(*) FILTER (WHERE day IS NULL) AS undated FROM b""")
+def _(spark, folder):
+    return compare.ranking_shift_rows(events(spark, folder), "2024-01-03", "2024-01-12", "2024-01-10", "2024-01-20")
+
+
+@query("period_gaps", SALES_SQL + """, m AS (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)) AS DATE) AS m)
+SELECT strftime(m, '%Y') AS period, strftime(m, '%Y-%m') AS month FROM m WHERE m NOT IN (SELECT CAST(date_trunc('month', odate) AS DATE) FROM s WHERE odate IS NOT NULL)""")
+def _(spark, folder):
+    return time.period_gaps(sales(spark, folder), "1998", "1997", "year")
+
+
+@query("outliers_beside_all", EVENTS_SQL + """, v AS (SELECT event_type AS g, CAST(value AS DOUBLE) AS x FROM s WHERE value IS NOT NULL),
+q AS (SELECT g, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM v GROUP BY g), w AS (SELECT quantile_cont(x, 0.25) AS c, quantile_cont(x, 0.75) AS d FROM v),
+f AS (SELECT v.g, x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a) AS own, x < c - 1.5 * (d - c) OR x > d + 1.5 * (d - c) AS overall FROM v JOIN q ON v.g IS NOT DISTINCT FROM q.g, w)
+SELECT g AS member, count(*) AS n, count(*) FILTER (WHERE own) AS own, count(*) FILTER (WHERE overall) AS overall, count(*) FILTER (WHERE own AND overall) AS both FROM f GROUP BY g""")
+def _(spark, folder):
+    return unusual.outliers_beside_all(events(spark, folder), "value", "event_type")
+
+
+@query("returning", SALES_SQL + f""", k AS (SELECT o_custkey, min(date_trunc('quarter', odate)) AS lo, max(date_trunc('quarter', odate)) AS hi FROM s WHERE odate IS NOT NULL GROUP BY 1)
+SELECT count(*) AS people, count(*) FILTER (WHERE lo < hi) AS returned, {r6('count(*) FILTER (WHERE lo < hi) * 1.0 / count(*)', 'rate')},
+count(*) FILTER (WHERE lo < hi) * 1.0 / count(*) < {people.LOW_REPEAT} AS is_low FROM k""")
+def _(spark, folder):
+    return people.returning(sales(spark, folder), "o_custkey", "quarter")
