@@ -1,10 +1,11 @@
-"""What stands between a dataset and an analysis, checked afresh on every call."""
+"""What stands between a dataset and an analysis. A version never changes, so its verdict under a contract is counted once and kept."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from grainwise.errors import GateRefused
 from grainwise.evidence import keys
@@ -15,13 +16,23 @@ from grainwise.scope import ScopedFrame, scope_for
 from grainwise.store.workspace import Workspace
 
 
-def gate_status(space: Workspace, dataset: str) -> DataFrame:
-    """dataset, has_contract, drift, key_holds, repeats, copies, is_open."""
-    df = space.read(dataset)
-    schema = ("dataset string, has_contract boolean, drift string, key_holds boolean, repeats bigint, copies bigint, is_open boolean")
-    if space.current_contract(dataset) is None:
-        return space.spark.createDataFrame([(dataset, False, None, None, None, None, False)], schema)
-    contract = space.contract(dataset)
+def _is_open() -> Column:
+    return F.coalesce((F.col("drift") != "DESTRUCTIVE") & F.coalesce("key_holds", F.lit(True)), F.lit(False))
+
+
+def _in_force(space: Workspace) -> DataFrame:
+    """dataset, version, row_count, contract_version (null without a contract), and the verdict kept for exactly these two, if any."""
+    current = space.contract_history().where("is_current").select("dataset", F.col("version").alias("contract_version"))
+    kept = space.log("gates").groupBy("dataset", "version", "contract_version").agg(
+        F.max_by(F.struct("drift", "key_holds", "repeats", "copies"), "at").alias("verdict"))
+    held = space.datasets().select(F.col("name").alias("dataset"), "version", "row_count")
+    return (held.join(current, "dataset", "left").join(kept, ["dataset", "version", "contract_version"], "left")
+            .select("dataset", "version", "row_count", "contract_version", F.col("verdict").isNotNull().alias("is_judged"), "verdict.*"))
+
+
+def _judge(space: Workspace, dataset: str, version: int, contract_version: int) -> None:
+    """Count a version against its contract and keep the verdict."""
+    df, contract = space.read(dataset), space.contract(dataset)
     drift = schema_drift(contract, df).first()["drift"]
     holds = repeats = copies = None
     if drift != "DESTRUCTIVE":
@@ -30,8 +41,23 @@ def gate_status(space: Workspace, dataset: str) -> DataFrame:
             holds, repeats = verdict["holds"], verdict["duplicates"]
         else:
             copies = keys.exact_copies(df).first()["copies"]
-    is_open = drift != "DESTRUCTIVE" and holds is not False
-    return space.spark.createDataFrame([(dataset, True, drift, holds, repeats, copies, is_open)], schema)
+    space.append("gates", [{"dataset": dataset, "version": version, "contract_version": contract_version, "drift": drift, "key_holds": holds,
+                            "repeats": repeats, "copies": copies, "at": datetime.now()}])
+
+
+def judge_new(space: Workspace, dataset: str | None = None) -> None:
+    """Judge every version in force that no verdict is kept for: one count each, the first time it is asked for."""
+    new = _in_force(space).where("contract_version IS NOT NULL AND NOT is_judged")
+    for row in (new.where(F.col("dataset") == dataset) if dataset else new).collect():  # new versions alone
+        _judge(space, row["dataset"], row["version"], row["contract_version"])
+
+
+def gate_status(space: Workspace, dataset: str) -> DataFrame:
+    """dataset, has_contract, drift, key_holds, repeats, copies, is_open. The second time no row of the dataset is read."""
+    space._entry(dataset)  # refuses an unknown name
+    judge_new(space, dataset)
+    return _in_force(space).where(F.col("dataset") == dataset).select(
+        "dataset", F.col("contract_version").isNotNull().alias("has_contract"), "drift", "key_holds", "repeats", "copies", _is_open().alias("is_open"))
 
 
 def open_scope(space: Workspace, dataset: str) -> ScopedFrame:
@@ -55,7 +81,7 @@ def analyse(space: Workspace, dataset: str, name: str, at: datetime | None = Non
     scope = open_scope(space, dataset)
     result, account = accounted(scope, name, **params)
     call = f"{name}({', '.join(f'{k}={v!r}' for k, v in sorted(params.items()))})"
-    taken = space.log("analyses").where(f"dataset = '{dataset}'").count() + 1
+    taken = space.claim(f"results/{dataset}", space.log("analyses").where(F.col("dataset") == dataset).count())
     path = f"{space.root}/results/{dataset}-{taken:06d}"
     result.write.mode("errorifexists").parquet(path)
     account.check()
@@ -70,14 +96,9 @@ def analyse(space: Workspace, dataset: str, name: str, at: datetime | None = Non
 
 
 def workflow_state(space: Workspace) -> DataFrame:
-    """dataset, row_count, has_contract, drift, is_open, next_step of every registered dataset."""
-    parts = None
-    for row in space.datasets().orderBy("name").collect():  # one row per dataset
-        one = gate_status(space, row["name"]).selectExpr(
-            "dataset", f"CAST({row['row_count']} AS BIGINT) AS row_count", "has_contract", "drift", "is_open",
-            "CASE WHEN NOT has_contract THEN 'draft a contract' WHEN drift = 'DESTRUCTIVE' THEN 'draft a contract' "
-            "WHEN NOT is_open THEN 'validate' ELSE 'analyse' END AS next_step")
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
-        return space.spark.createDataFrame([], "dataset string, row_count bigint, has_contract boolean, drift string, is_open boolean, next_step string")
-    return parts
+    """dataset, row_count, has_contract, drift, is_open, next_step of every registered dataset, from the logs by joins."""
+    judge_new(space)
+    step = (F.when(F.col("contract_version").isNull() | (F.col("drift") == "DESTRUCTIVE"), "draft a contract")
+            .when(~_is_open(), "validate").otherwise("analyse"))
+    return _in_force(space).select("dataset", "row_count", F.col("contract_version").isNotNull().alias("has_contract"), "drift", _is_open().alias("is_open"),
+                                   step.alias("next_step"))

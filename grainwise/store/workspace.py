@@ -1,7 +1,8 @@
 """A workspace: versioned datasets, and append-only logs that name the version in force.
 
-A version is written in full before the registry row that points to it is appended, so a reader
-sees the old version or the new one and never a mixture. That one append is the whole commit.
+A version's number is claimed by a marker file that is created only where there is none, so two writers never share one. The version is
+written in full before the registry row that points to it is appended, so a reader sees the old version or the new one and never
+a mixture. That one append is the whole commit; a claim whose writer is lost leaves a number unused and nothing else.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ import json
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainwise.contract import Binding, DatasetContract, changed_fields, columns_of, fingerprint
 from grainwise.errors import ContractError, GateRefused
+from grainwise.functions.exprs import quoted
 
 # The logs of a workspace and the columns of each.
 LOGS = {
@@ -30,6 +32,7 @@ LOGS = {
                    "failed bigint, not_checked bigint, at timestamp",
     "analyses": "dataset string, name string, call string, contract_version int, rows_analysed bigint, result_path string, "
                 "finding string, at timestamp",
+    "gates": "dataset string, version int, contract_version int, drift string, key_holds boolean, repeats bigint, copies bigint, at timestamp",
     "metrics": "dataset string, name string, left_column string, op string, right_column string, judged bigint, "
                "true_rows bigint, status string, at timestamp",
 }
@@ -44,10 +47,28 @@ class Workspace:
 
     def log(self, name: str) -> DataFrame:
         """Everything ever appended to a log; empty before the first append."""
-        try:
-            return self.spark.read.schema(LOGS[name]).parquet(f"{self.root}/logs/{name}")
-        except AnalysisException:
+        path = f"{self.root}/logs/{name}"
+        if not self._file_system(path)[0].exists(self._file_system(path)[1]):
             return self.spark.createDataFrame([], LOGS[name])
+        return self.spark.read.schema(LOGS[name]).parquet(path)
+
+    def _file_system(self, path: str):
+        """The file system of a path, and the path as it knows it."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def claim(self, what: str, after: int) -> int:
+        """The first number past `after` that no writer holds. The marker is created, never overwritten, so of two writers one goes on to the next."""
+        n = after
+        while True:
+            n += 1
+            fs, marker = self._file_system(f"{self.root}/claims/{what}/{n}")
+            try:
+                fs.create(marker, False).close()
+                return n
+            except Py4JJavaError as held:
+                if not fs.exists(marker):
+                    raise held
 
     def append(self, name: str, rows: list[dict] | DataFrame) -> None:
         """One append, one file, visible in full or not at all."""
@@ -61,7 +82,7 @@ class Workspace:
     def register(self, name: str, df: DataFrame, *, source_rows: int | None = None, narrowed: str | None = None,
                  at: datetime | None = None) -> int:
         """Write `df` as the next version of a dataset and point the registry to it."""
-        version = self._last_version(name) + 1
+        version = self.claim(f"datasets/{name}", self._last_version(name))
         path = f"{self.root}/datasets/{name}/v={version}"
         df.write.mode("errorifexists").parquet(path)
         rows = self.spark.read.parquet(path).count()  # footers only
@@ -72,10 +93,13 @@ class Workspace:
         return version
 
     def narrowed_load(self, name: str, source: DataFrame, where: str | None = None, limit: int | None = None) -> int:
-        """Load part of a source. The filter reaches the source; the part is stated for good."""
+        """Load part of a source. The filter reaches the source; the part is stated for good.
+
+        A limit takes the rows of the lowest hash, so every run takes the same ones; repeated rows are alike whichever is taken.
+        """
         whole = source.count()
         part = source.where(where) if where else source
-        part = part.limit(limit) if limit else part
+        part = part.orderBy(F.xxhash64(*[F.to_json(F.struct(F.col(quoted(c)))) for c in part.columns])).limit(limit) if limit else part
         said = " ".join(s for s in (f"where {where}" if where else "", f"limit {limit}" if limit else "") if s)
         return self.register(name, part, source_rows=whole, narrowed=said or None)
 
