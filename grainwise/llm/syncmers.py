@@ -16,8 +16,8 @@ K, S = 5, 2
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
     """`df` with `out`: array of (pos, hash), the closed syncmers of `text` in order.
 
-    Words are compared as they stand. A text of fewer than k words, but not none, has one anchor for all of
-    them; a text without words, or null, has none.
+    Words are compared as they stand. A text of words of which no run is chosen, as one of fewer than k words, has one anchor for
+    all of them, so texts with words are alike only where they share some; a text without words, or null, has none.
     """
     inner = k - s + 1
     w, h, at = f"__{out}_w", f"__{out}_h", f"__{out}_at"
@@ -30,7 +30,7 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
         .withColumn(h, F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + j) for j in range(1, s)])))
         .withColumn(at, F.when(F.size(w) >= k, F.filter(F.sequence(F.lit(0), F.size(w) - k), edge))
                     .otherwise(F.array().cast("array<int>")))
-        .withColumn(out, F.when((F.size(w) > 0) & (F.size(w) < k),
+        .withColumn(out, F.when((F.size(w) > 0) & (F.size(at) == 0),
                                 F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(words).alias("hash"))))
                     .otherwise(F.transform(F.col(at), lambda i: F.struct(
                         i.alias("pos"), F.xxhash64(*[F.get(run, i + j) for j in tiles]).alias("hash")))))
@@ -39,7 +39,7 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared anchors over all anchors of two hash arrays; two empty ones are alike."""
+    """Shared anchors over all anchors of two hash arrays; two empty ones, of texts without words, are alike."""
     all_of = F.size(F.array_union(a, b))
     return F.when(all_of == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / all_of)
 

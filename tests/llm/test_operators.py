@@ -54,7 +54,8 @@ def anchors(text):
     if len(w) < 5:
         return [x64(*w)] if w else []
     s = [x64(*w[i:i + 2]) for i in range(len(w) - 1)]
-    return [x64(s[i], s[i + 2], s[i + 3]) for i in range(len(w) - 4) if min(s[i:i + 4]) in (s[i], s[i + 3])]
+    # A text of words of which no run is chosen has one anchor for all of them.
+    return [x64(s[i], s[i + 2], s[i + 3]) for i in range(len(w) - 4) if min(s[i:i + 4]) in (s[i], s[i + 3])] or [x64(*w)]
 
 
 def like(a, b):
@@ -78,6 +79,13 @@ def test_op1_matches_brute_force(docs, texts):
         assert r["near_next"] == pytest.approx(like(anchors(text), anchors(after)))
 
 
+def test_op1_tells_short_texts_apart(spark):
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(5 + i % 2)) for i in range(60)}
+    rows = syncmers.op1_syncmers(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert all(r["fingerprint"] for r in rows) and {r["near_next"] for r in rows} == {0.0}
+    assert any(min(x64(*w[i:i + 2]) for i in range(4)) not in (x64(*w[:2]), x64(*w[3:5])) for w in (t.split() for t in texts.values()) if len(w) == 5)
+
+
 def test_op2_near_equal_bytes_and_gapless_slots(docs, texts):
     rows = kdtree.op2_kdtree(docs).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(texts)
