@@ -76,7 +76,7 @@ bitcoin at 45,000 and 3 percent
 about 60 km/h on route 66
 """.strip().splitlines()
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
-_AREA = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]")
+_AREA = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]", re.I)
 _TOKEN = re.compile(r"\S+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,6 +96,15 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _on_net(address: str) -> bool:
+    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in address.split("."))
+
+
+def _refused(found: str, kind: str) -> bool:
+    """Whether a pattern has looked at just this text and dropped it: an address of too large parts, a card number that fails its check."""
+    return (kind == "ip" and _IP.fullmatch(found) is not None and not _on_net(found)) or (kind == "card" and not _luhn(_digits(found)))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by the patterns: leftmost and non-overlapping for each kind, failing matches dropped."""
     out, free, at = [], 0, text.find("@")
@@ -108,7 +117,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             out.append((start, m.end(), "email"))
             free = m.end()
         at = text.find("@", max(at + 1, free))
-    out += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(*m.span(), "ip") for m in _IP.finditer(text) if _on_net(m.group())]
     for m in _CARD.finditer(text):
         d = _digits(m.group())
         if 12 <= len(d) <= 19 and _luhn(d):
@@ -286,7 +295,7 @@ def _spans(text: str, run, labels) -> list[tuple[int, int, str]]:
 
 
 def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
-    """Base spans, and base with added spans, of every text. An added span never touches a base span."""
+    """Base spans, and base with added spans, of every text. An added span touches no base span and is nothing a pattern has refused."""
     runs = [_runs(t) for t in texts]
     flat = [[f for *_, f in run] for many in runs for run in many]
     paths = iter(field.decode(flat) if flat else [])
@@ -300,7 +309,7 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
         for run in many:
             for s, e, kind in _spans(text, run, next(paths)):
                 before = int(np.searchsorted(starts, e)) - 1
-                if before < 0 or tops[before] <= s:
+                if (before < 0 or tops[before] <= s) and not _refused(text[s:e], kind):
                     more.append((s, e, kind))
         out.append((base, base + more))
     return out

@@ -159,6 +159,15 @@ def test_op4_field_labels_its_table_and_new_text(docs, texts):
         assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
 
 
+def test_op4_adds_nothing_a_pattern_refused_and_minds_no_case():
+    field = pii.train(pii.labelled_runs())
+    text = "write to [JIM (AT) host (DOT) com] or ip 300.1.1.1, card 4111 1111 1111 1112 and card 4111 1111 1111 1111"
+    spans = pii.all_spans([text], field)[0]
+    assert [(text[s:e], k) for s, e, k in spans[0]] == [("4111 1111 1111 1111", "card")]
+    assert [(text[s:e].lower(), k) for s, e, k in spans[1] if k != "card"] == [("jim (at) host (dot) com", "email")]
+    assert not [1 for s, e, k in spans[1] if k == "card" and "1112" in text[s:e]]
+
+
 def test_op5_finds_every_license_line(spark):
     folder = "/root/testdata/sf0.01"
     found = {(r["doc_id"], r["license"]) for r in queries.QUERIES["op5_licenses"](spark, folder).collect()}
