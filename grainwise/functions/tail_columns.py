@@ -20,13 +20,13 @@ _TINY = 1e-300
 def log_gamma(x: Column) -> Column:
     """Stirling's series eight steps up, for x > 0."""
     up = x + 8
-    back = F.lit(0.0)
-    for i in range(8):
-        back = back + F.ln(x + i)
+    steps = x
+    for i in range(1, 8):
+        steps = steps * (x + i)
     r = F.lit(1.0) / up
     s = r * r
     series = r * (F.lit(1 / 12) - s * (F.lit(1 / 360) - s * (F.lit(1 / 1260) - s * (F.lit(1 / 1680) - s * F.lit(1 / 1188)))))
-    return (up - 0.5) * F.ln(up) - up + 0.5 * math.log(2 * math.pi) + series - back
+    return (up - 0.5) * F.ln(up) - up + 0.5 * math.log(2 * math.pi) + series - F.ln(steps)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,24 +50,25 @@ def _fraction(x: Column, a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.lit(1 / _TINY).alias("c"), one.alias("d"), one.alias("t")), step, lambda s: s["t"])
 
 
-def beta_cdf(x: Column, a: Column, b: Column) -> Column:
-    """The regularised incomplete beta function."""
+def beta_cdf(x: Column, a: Column, b: Column, whole: Column | None = None) -> Column:
+    """The regularised incomplete beta function; `whole` is the logarithm of the complete one's reciprocal, where it is at hand."""
     # The fraction is quick on one side of the mean; the other side is its mirror image.
     inside = F.least(F.greatest(x, F.lit(1e-300)), F.lit(1 - 1e-16))
     low = x < (a + 1) / (a + b + 2)
     part = _let(F.struct(F.when(low, inside).otherwise(1 - inside).alias("x"), F.when(low, a).otherwise(b).cast("double").alias("a"),
-                         F.when(low, b).otherwise(a).cast("double").alias("b")), _part)
+                         F.when(low, b).otherwise(a).cast("double").alias("b")), lambda v: _part(v, whole))
     return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(low, part).otherwise(1 - part)
 
 
-def _part(v: Column) -> Column:
+def _part(v: Column, whole: Column | None) -> Column:
     x, a, b = v["x"], v["a"], v["b"]
-    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.log1p(-x))
-    return front * _fraction(x, a, b) / a
+    if whole is None:
+        whole = log_gamma(a + b) - log_gamma(a) - log_gamma(b)
+    return F.exp(whole + a * F.ln(x) + b * F.log1p(-x)) * _fraction(x, a, b) / a
 
 
-def t_sf(t: Column, df: Column) -> Column:
-    half = F.lit(0.5) * beta_cdf(df / (df + t * t), df / 2, F.lit(0.5))
+def t_sf(t: Column, df: Column, whole: Column | None = None) -> Column:
+    half = F.lit(0.5) * beta_cdf(df / (df + t * t), df / 2, F.lit(0.5), whole)
     return F.when(t >= 0, half).otherwise(1 - half)
 
 
@@ -84,7 +85,8 @@ def t_quantile(p: float, df: Column) -> Column:
         n, scale = v["n"], v["scale"]
 
         def step(t: Column, _: Column) -> Column:
-            return t + (t_sf(t, n) - (1 - p)) / (scale * F.pow(1 + t * t / n, -(n + 1) / 2) + _TINY)
+            # The density's scale is the reciprocal beta function over the root of n.
+            return t + (t_sf(t, n, F.ln(scale * F.sqrt(n))) - (1 - p)) / (scale * F.pow(1 + t * t / n, -(n + 1) / 2) + _TINY)
 
         return F.aggregate(F.sequence(F.lit(1), F.when(n < 5, 60).otherwise(12)), F.lit(z), step)
 

@@ -89,7 +89,8 @@ class Fold:
 
 def fold(scope: ScopedFrame, dimension: str, measure: str) -> Fold:
     """Group moments folded in one job; the groups themselves stay where they are."""
-    held = group_moments(scope, dimension, measure)
+    # Written once: the grand mean and the sums around it read the groups, not the table.
+    held = cut(group_moments(scope, dimension, measure).select("member", "n", "mean", "variance"))
     n, mean = F.col("n"), F.col("mean")
     grand = held.agg(F.sum(n * mean) / F.sum(n)).scalar()
     one = F.struct("member", "n", "mean", "variance")
@@ -289,7 +290,7 @@ def confidence_interval(scope: ScopedFrame, dimension: str | None = None, measur
         groups = f.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance")).withColumn("member", F.lit("(all)"))
         groups = unit.held(groups, F.sum("n"))
     else:
-        groups = group_moments(scope, dimension, measure)
+        groups = cut(group_moments(scope, dimension, measure).select("member", "n", "mean", "variance"))
     # A quantile depends on the group's size alone, so it is solved once for each size there is.
     sizes = groups.select("n").distinct().where("n >= 2").withColumn("reach", t_quantile(0.5 + confidence / 2, F.col("n") - 1))
     half = F.col("reach") * F.sqrt(F.col("variance") / F.col("n"))
