@@ -47,3 +47,28 @@ def test_one_text_of_many_lines_takes_linear_time(spark):
     got = {r["doc_id"]: (r["n_lines"], len(r["removed"])) for r in lines.dedup_lines(df).collect()}
     assert got == {1: (100_000, 50_000), 2: (100_000, 100_000)}
     assert time.perf_counter() - began < 60
+
+
+def test_op8_removes_what_lies_beyond_a_window_that_overlaps_its_first(spark):
+    """A line or a cycle of two lines said over and over keeps its first window, in the query as in its SQL."""
+    import duckdb
+    pick = random.Random(5)
+    texts = [(1, "z\nz\nz\nz"), (2, "a\nb\na\nb\na"), (3, "x\nc\nc\nc\nc\nc\ny"), (4, "a\nb\na"), (5, "z\nz")]
+    texts += [(i, "\n".join(pick.choice("stuvw") for _ in range(pick.randint(1, 9)))) for i in range(6, 150)]
+    got = lines.op8_lines(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    rows = {r["doc_id"]: r["removed"] for r in got.collect()}
+    assert [rows[i] for i in range(1, 6)] == ["3", "3,4", "4,5", "0,1,2", ""]
+    first, want = {}, {}
+    for doc, text in texts:
+        held, gone = text.split("\n"), set()
+        for at in range(max(len(held) - 2, 1)):
+            d0, a0 = first.setdefault(tuple(held[at:at + 3]), (doc, at))
+            if (d0, a0) != (doc, at):
+                gone |= {p for p in range(at, min(at + 3, len(held))) if d0 != doc or p >= a0 + 3}
+        want[doc] = ",".join(map(str, sorted(gone)))
+    assert rows == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    stated = con.execute(lines.OP8_SQL).df()[got.columns].sort_values("doc_id").astype(str).values.tolist()
+    assert got.toPandas().sort_values("doc_id").astype(str).values.tolist() == stated
