@@ -20,7 +20,7 @@ UNION ALL SELECT 'iso_day', 'DATE' FROM d WHERE TRY_CAST(iso_day AS DATE) IS NOT
 UNION ALL SELECT 'mixed_day', 'DATE' FROM d WHERE regexp_full_match(mixed_day, '\\d{4}-\\d{2}-\\d{2}') HAVING count(*) >= 0.9 * (SELECT count(mixed_day) FROM d)
 UNION ALL SELECT 'large', 'BOOLEAN' FROM d WHERE upper(large) IN ('TRUE', 'FALSE') HAVING count(*) = (SELECT count(large) FROM d)""")
 def _(spark, folder):
-    counts = detect.text_counts(dirty(spark, folder), act.DEFAULT_MISSING).collect()
+    counts = detect.text_counts(dirty(spark, folder), act.DEFAULT_MISSING, flags=detect.TYPE_FLAGS).collect()
     rows = [(r["column"], detect.proposed_type(r.asDict())) for r in counts]
     return spark.createDataFrame([r for r in rows if r[1]], "column string, to_type string")
 

@@ -57,8 +57,8 @@ def melted(df: DataFrame, columns: list[str], value=None) -> DataFrame:
     return df.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
 
 
-#: A text column with at most this share of distinct values is judged once per value.
-REPEATING = 0.1
+#: A text column with at most this share of distinct values is judged once per value; judging costs many times a move.
+REPEATING = 0.5
 
 
 class TextCells:
@@ -74,12 +74,14 @@ class TextCells:
         self.columns = columns
         self.folded: list[str] = []
         self._small = None
+        self._sizes: dict[str, int] = {}
         if not columns:
             return
         wide = spread(df.select(*[quoted(c) for c in columns]))
         sizes = wide.agg(*[F.struct(F.approx_count_distinct(quoted(c)), F.count(quoted(c))).alias(f"c{i}")
                          for i, c in enumerate(columns)]).first()
         self.folded = [c for i, c in enumerate(columns) if sizes[i][0] <= REPEATING * sizes[i][1]]
+        self._sizes = {c: sizes[i][0 if c in self.folded else 1] for i, c in enumerate(columns)}
         if self.folded:
             self._small = cut(melted(wide, self.folded).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
@@ -90,11 +92,14 @@ class TextCells:
         small = [c for c in wanted if c in self.folded]
         direct = [c for c in wanted if c not in self.folded]
         if small:
-            parts.append(self._small.where(F.col("column").isin(small)))
+            parts.append(spread(self._small.where(F.col("column").isin(small)), self._count(small)))
         if direct:
-            parts.append(melted(spread(self.df.select(*[quoted(c) for c in direct])), direct).withColumn("n", F.lit(1).cast("long")))
+            parts.append(melted(spread(self.df.select(*[quoted(c) for c in direct]), self._count(direct)), direct).withColumn("n", F.lit(1).cast("long")))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def _count(self, columns: list[str]) -> int:
+        return sum(self._sizes[c] for c in columns)
+
     def counts(self, judge, flags: list[str], keep: Column | None = None) -> DataFrame:
         """column and one count per flag. `judge` adds the flags to the values in one projection,
         so a wide table compiles the same code as a narrow one."""

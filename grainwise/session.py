@@ -41,13 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: Values that one task judges, of work that is heavy per value.
+TASK_VALUES = 1 << 19
+
+
+def spread(df: DataFrame, values: int = 0) -> DataFrame:
     """`df` over every core when its scan has fewer splits than that, else as it is.
 
     One huge row group is one task; work that is heavy per row is worth one exchange then. A table
-    with many splits, the usual case on a cluster, is left alone.
+    with many splits, the usual case on a cluster, is left alone. Splits go by stored bytes, which say little
+    of that work; where the number of `values` is known, there are tasks enough for TASK_VALUES each.
     """
-    wide = df.sparkSession.sparkContext.defaultParallelism
+    wide = max(df.sparkSession.sparkContext.defaultParallelism, -(-values // TASK_VALUES))
     plan = df._jdf.queryExecution()
     if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= wide:
         return df
