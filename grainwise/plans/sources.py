@@ -80,22 +80,23 @@ def _(spark, folder):
 # Files of three and of seventy columns in one folder, one with a preamble longer than any preview.
 def _mixed(spark, folder) -> str:
     path = shared_folder(spark, "landed")
-    rows = table(spark, folder, "orders").select("o_orderpriority", "o_orderkey", "o_orderstatus")
-    key, wide = F.col("o_orderkey").cast("string"), F.col("o_orderpriority") == "1-URGENT"
-    cell = F.when(wide, F.concat_ws(",", key, "o_orderstatus", F.lit(",".join(["x"] * 67)), F.lit("1"))).otherwise(F.concat_ws(",", key, "o_orderstatus", F.lit("1")))
-    body = rows.select(F.col("o_orderpriority").alias("part"), F.lit(3).alias("at"), F.col("o_orderkey").alias("n"), cell.alias("line"))
+    body = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("part"), F.lit(3).alias("at"), F.col("o_orderkey").cast("long").alias("n"), "o_orderstatus")
     parts = body.select("part").distinct()
     many = F.col("part") == "1-URGENT"
 
-    def fixed(at, text, n=1):
-        return parts.select("part", F.lit(at).alias("at"), F.explode(F.sequence(F.lit(1).cast("long"), (F.lit(n) if isinstance(n, int) else n).cast("long"))).alias("n"), text.alias("line"))
+    def fixed(at, n=1):
+        return parts.select("part", F.lit(at).alias("at"), F.explode(F.sequence(F.lit(1).cast("long"), (F.lit(n) if isinstance(n, int) else n).cast("long"))).alias("n"), F.lit(None).cast("string").alias("o_orderstatus"))
 
+    key = F.col("n").cast("string")
+    cell = F.when(many, F.concat_ws(",", key, "o_orderstatus", F.lit(",".join(["x"] * 67)), F.lit("1"))).otherwise(F.concat_ws(",", key, "o_orderstatus", F.lit("1")))
     header = F.when(many, F.lit("key,status," + ",".join(f"c{i}" for i in range(67)).translate(str.maketrans("0123456789", "abcdefghij")) + ",last")).otherwise(F.lit("key,status,last"))
-    lines = (body.unionByName(fixed(1, F.lit("A note about this file"), F.when(many, F.lit(80)).otherwise(F.lit(1))).withColumn("n", F.col("n")))
-             .unionByName(fixed(2, F.lit("")).withColumn("n", F.lit(0).cast("long"))).unionByName(fixed(2, header))
-             # A total that misses only the last column: a footer by the columns its own file always fills.
-             .unionByName(fixed(8, F.when(many, F.lit("Total," + ",".join(["x"] * 68) + ",")).otherwise(F.lit("Total,x,")))))
-    (lines.repartition("part").sortWithinPartitions("part", "at", "n").select("part", F.col("line").alias("value")).write.partitionBy("part").text(path))
+    # A total that misses only the last column: a footer by the columns its own file always fills.
+    total = F.when(many, F.lit("Total," + ",".join(["x"] * 68) + ",")).otherwise(F.lit("Total,x,"))
+    places = body.unionByName(fixed(1, F.when(many, F.lit(80)).otherwise(F.lit(1)))).unionByName(fixed(2).withColumn("n", F.lit(0).cast("long"))).unionByName(fixed(2)).unionByName(fixed(8))
+    at = F.col("at")
+    line = F.when(at == 1, "A note about this file").when((at == 2) & (F.col("n") == 0), "").when(at == 2, header).when(at == 3, cell).otherwise(total)
+    # One task writes a file, so it sorts places, and each line is made when it is written.
+    places.repartition("part").sortWithinPartitions("part", "at", "n").select("part", line.alias("value")).write.partitionBy("part").text(path)
     return path
 
 

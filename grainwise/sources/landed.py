@@ -21,17 +21,25 @@ TOTALS_LABEL = r"(?i)^(grand\s+|sub-?)?totals?\b|^sum\b"
 UNQUOTED = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def lines(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """file, block, row, line, cells: every line with its place and its trimmed fields."""
-    read = spark.read.text(path).select(
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, row, line: every line with its place. Row numbers are consecutive inside a block."""
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+
+
+def _cells(read: DataFrame, delimiter: str) -> DataFrame:
     sep = re.escape(delimiter)
     cut_at = F.when(F.col("line").contains('"'), F.split("line", sep + UNQUOTED)).otherwise(F.split("line", sep))
     bare = F.transform(cut_at, lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
     return read.withColumn("cells", bare)
 
 
+def lines(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """file, block, row, line, cells: every line with its place and its trimmed fields."""
+    return _cells(_read(spark, path), delimiter)
+
+
 def _filled(cells: Column) -> Column:
     return F.size(F.filter(cells, lambda x: x != ""))
 
@@ -53,30 +61,41 @@ def header_lines(spark: SparkSession, path: str, delimiter: str = ",") -> DataFr
     The first line with a non-text value starts the data; the header is the run of text lines right
     above it, up to a blank line. A line of labels over distinct years is a header too.
     """
-    in_file = Window.partitionBy("file").orderBy("block", "row")
+    in_file, by_block, whole = (Window.partitionBy("file").orderBy("block", "row"), Window.partitionBy("file").orderBy("block"), Window.partitionBy("file"))
     c = F.col("cells")
     filled = F.filter(c, lambda x: x != "")
     numbers = F.filter(filled, lambda x: ~_texty(x))
     years = F.size(F.filter(numbers, _year))
     # By itself a line of labels over distinct years may be a header; any other line with a number is data for sure.
     yearly = ((F.size(numbers) >= 2) & (years == F.size(numbers)) & (F.size(F.array_distinct(numbers)) == F.size(numbers)) & (F.size(numbers) < F.size(filled)))
-    at = F.struct("block", "row")
-    placed = lines(spark, path, delimiter).withColumns({"numbers": F.size(numbers), "yearly": yearly, "at": at})
-    # A preamble ends with the first sure line; without one, with the last line that may be a header of years, or where the file opens.
+
+    def judged(cells: DataFrame) -> DataFrame:
+        return cells.withColumns({"fill": F.size(filled), "numbers": F.size(numbers), "years": years, "yearly": yearly})
+
+    # Lines are folded to one row a block where they are; nothing of them is sorted or moved but the head of each file.
+    row = F.col("row")
     sure = (F.col("numbers") > 0) & ~F.col("yearly")
-    ends = placed.groupBy(F.col("file").alias("of")).agg(F.coalesce(
-        F.min(F.when(sure, F.col("at"))), F.max(F.when(F.col("yearly"), F.col("at"))), F.min(F.when(F.size(filled) > 0, F.col("at"))), F.min("at")).alias("end"))
-    upto = placed.join(ends, F.col("file") == F.col("of"))
-    after = (upto.where(F.col("at") > F.col("end")).groupBy("file").agg(F.min(F.struct("at", "cells")).alias("next")))
-    head = (upto.where(F.col("at") <= F.col("end")).select("file", "block", "row", "cells", "yearly", "numbers")
-            .unionByName(after.select("file", "next.at.block", "next.at.row", "next.cells", F.lit(False).alias("yearly"), F.lit(None).cast("int").alias("numbers"))))
-    below = F.lead("cells").over(in_file)
-    pivot = F.col("yearly") & below.isNotNull() & (F.size(F.filter(F.filter(below, lambda x: x != ""), _year)) < F.col("numbers"))
-    marked = head.withColumns({
-        "n": F.row_number().over(in_file), "fill": F.size(filled), "blank": F.size(filled) == 0,
-        "headerish": (F.size(filled) > 0) & ((F.col("numbers") == 0) | pivot)}).where("numbers IS NOT NULL")
+    blocks = cut(judged(lines(spark, path, delimiter)).groupBy("file", "block").agg(
+        F.min(F.when(sure, row)).alias("sure"), F.max(F.when(F.col("yearly"), row)).alias("yearly"), F.min(F.when(F.col("fill") > 0, row)).alias("filled"),
+        F.min(row).alias("opens"), F.max(row).alias("closes")))
+
+    def place(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.struct("block", F.col(name).alias("row")))
+
+    # A preamble ends with the first sure line; without one, with the last line that may be a header of years, or where the file opens.
+    end = F.coalesce(F.min(place("sure")).over(whole), F.max(place("yearly")).over(whole), F.min(place("filled")).over(whole), F.min(place("opens")).over(whole))
+    ended = blocks.select("*", end.alias("end"), F.lag(F.struct("block", F.col("closes").alias("row"))).over(by_block).alias("before"))
+    # The head of a file, and the one line after it.
+    upto = (F.when(F.col("block") < F.col("end.block"), F.col("closes")).when(F.col("block") == F.col("end.block"), F.least("closes", F.col("end.row") + 1))
+            .when(F.col("before") == F.col("end"), F.col("opens")))
+    heads = cut(ended.select(F.col("file").alias("of"), F.col("block").alias("in"), "end", upto.alias("upto")).where("upto IS NOT NULL"))
+    near = _read(spark, path).join(heads, (F.col("file") == F.col("of")) & (F.col("block") == F.col("in"))).where(row <= F.col("upto"))
+    head = judged(_cells(near, delimiter)).withColumn("within", F.struct("block", "row") <= F.col("end"))
+    below = F.lead("years").over(in_file)
+    pivot = F.col("yearly") & below.isNotNull() & (below < F.col("numbers"))
+    marked = head.select("file", "block", "row", "fill", "within", (F.col("fill") == 0).alias("blank"), F.row_number().over(in_file).alias("n"),
+                         ((F.col("fill") > 0) & ((F.col("numbers") == 0) | pivot)).alias("headerish")).where("within")
     is_data = ~F.col("blank") & ~F.col("headerish")
-    whole = Window.partitionBy("file")
     start = marked.withColumn("data", F.min(F.when(is_data, F.col("n"))).over(whole))
     # The last line above the data that is no label line stops the walk upwards.
     above = F.col("n") < F.col("data")
