@@ -54,7 +54,7 @@ def melted(df: DataFrame, columns: list[str], value=None) -> DataFrame:
     read = value or (lambda c: F.col(quoted(c)))
     cells = [F.when(F.col(quoted(c)).isNotNull(), F.struct(F.lit(c).alias("column"), read(c).alias("value")))
              for c in columns]
-    return df.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
+    return df.select(F.explode(F.array(*cells)).alias("s")).where("s IS NOT NULL").select("s.*")
 
 
 #: A text column with at most this share of distinct values is judged once per value; judging costs many times a move.
