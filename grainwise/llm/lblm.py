@@ -10,7 +10,6 @@ their parameters are averaged, weighted by tokens. What reaches the driver does
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,16 +31,26 @@ SLICE = 2 << 20
 END = b"\n"
 
 
-def _tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def _encoded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of `texts` and last the end; each token's place among them, an end after each text; the tokens of each text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = split.flatten().dictionary_encode()
+    codes, many = flat.indices.to_numpy(zero_copy_only=False), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    blank = pc.index(flat.dictionary, "").as_py()
+    if blank >= 0:  # what stands before the first and after the last blank
+        held = codes != blank
+        many = np.bincount(np.repeat(np.arange(len(many)), many)[held], minlength=len(many))
+        codes = codes[held]
+    distinct = pa.concat_arrays([flat.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+    return distinct, np.insert(codes, np.cumsum(many), len(distinct) - 1), many.astype(np.int64) + 1
 
 
-def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """The rows of `batch` in order, in parts of about SLICE bytes of the column numbered `text`."""
+def _slices(batch: pa.RecordBatch, text: int, many: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of `batch` in order, in parts of about `many` times SLICE bytes of the column numbered `text`."""
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    edges = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // SLICE, prepend=-1))
+    edges = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // (many * SLICE), prepend=-1))
     for start, end in zip(edges, [*edges[1:], batch.num_rows], strict=True):
         yield batch.slice(int(start), int(end - start))
 
@@ -49,13 +58,10 @@ def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
 def token_counts(df: DataFrame) -> DataFrame:
     """(token, c): how often each token occurs in the texts of `df`, one end each included (as a line feed)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter[bytes] = Counter()
-            for text in b.column(0).to_pylist():
-                seen.update(_tokens(text))
-            seen[END] += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())],
-                                             ["token", "c"])
+        for b in (part for whole in batches for part in _slices(whole, 0, 4)):
+            distinct, codes, _ = _encoded(b.column(0))
+            c = np.bincount(codes, minlength=len(distinct))
+            yield pa.RecordBatch.from_arrays([distinct, pa.array(c, pa.int64())], ["token", "c"]).filter(pa.array(c > 0))
 
     return (df.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token binary, c long")
             .groupBy("token").agg(F.sum("c").alias("c")))
@@ -78,6 +84,18 @@ class Vocabulary:
         found = self.words.get(token)
         return self.prefixes.get(token[:PREFIX], self.size - 1) if found is None else found
 
+    def classes(self, tokens: pa.Array) -> np.ndarray:
+        """The class of each of the binary `tokens`."""
+        word = _places(tokens, pa.array([*self.words], pa.binary()))
+        prefix = _places(pc.binary_slice(tokens, 0, PREFIX), pa.array([*self.prefixes], pa.binary()))
+        held = np.array([*self.words.values(), *self.prefixes.values(), self.size - 1], dtype=np.int16)
+        return held[np.where(word >= 0, word, np.where(prefix >= 0, prefix + len(self.words), -1))]
+
+
+def _places(tokens: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each of `tokens` `among` distinct others, -1 for those that are not there."""
+    return pc.fill_null(pc.index_in(tokens, value_set=among), -1).to_numpy(zero_copy_only=False)
+
 
 def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, float, np.ndarray, np.ndarray]:
     """The classes, the discount, and the tokens and distinct tokens of every class of words without a class of their own.
@@ -128,6 +146,7 @@ class Model:
         n = size * DIM
         self.first, self.second, self.out = (self.flat[i * n:(i + 1) * n].reshape(size, DIM) for i in range(3))
         self.bias = self.flat[3 * n:]
+        self.held = np.empty((BATCH, NOISE), dtype=np.float32)  # the noise's part of a step, written anew by each
 
     def normalisers(self) -> np.ndarray:
         """log of the sum over all classes of exp(score), for every pair of classes before."""
@@ -144,12 +163,22 @@ class Model:
         """One adaptive step of noise-contrastive estimation on the tokens w after a, b; the noise is shared by the step."""
         noise = rng.choice(self.size, NOISE, p=unigram)
         logq = np.log(NOISE * np.maximum(unigram, 1e-12)).astype(np.float32)
-        h = self.first[a] + self.second[b]
-        q = self.out[w]
+        h = self.first.take(a, axis=0)
+        h += self.second.take(b, axis=0)
+        q = self.out.take(w, axis=0)
         up = 1 - 1 / (1 + np.exp(-np.clip((h * q).sum(axis=1) + self.bias[w] - logq[w], -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(h @ self.out[noise].T + self.bias[noise] - logq[noise], -30, 30)))
-        gh = up[:, None] * q + down @ self.out[noise]
-        grads = [_gathered(a, gh, self.size), _gathered(b, gh, self.size), _gathered(w, up[:, None] * h, self.size)]
+        # -1 / (1 + exp(-clip(scores of the noise))), step by step in one place: that part takes most of the time.
+        down = np.matmul(h, self.out[noise].T, out=self.held[:len(a)])
+        down += self.bias[noise]
+        down -= logq[noise]
+        np.clip(down, -30, 30, out=down)
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        q *= up[:, None]
+        q += down @ self.out[noise]
+        grads = [_gathered(a, q, self.size), _gathered(b, q, self.size), _gathered(w, up[:, None] * h, self.size)]
         np.add.at(grads[2], noise, down.T @ h)
         gb = np.bincount(w, up, self.size) + np.bincount(noise, down.sum(axis=0), self.size)
         for x, g, s in zip((self.first, self.second, self.out, self.bias), (*grads, gb.astype(np.float32)), state, strict=True):
@@ -162,27 +191,16 @@ def _gathered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     keys = at[order]
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     out = np.zeros((size, rows.shape[1]), dtype=np.float32)
-    out[keys[edges]] = np.add.reduceat(rows[order], edges, axis=0)
+    out[keys[edges]] = np.add.reduceat(rows.take(order, axis=0), edges, axis=0)
     return out
 
 
-def _classes(texts: list[str | None], vocabulary: Vocabulary, memo: dict[bytes, int]) -> tuple[np.ndarray, list[list[bytes]], np.ndarray]:
-    """Classes of all texts in a row, each after two starts and with its end; the tokens; where each text begins."""
-    memo.clear()
-    ids: list[int] = []
-    tokens, starts, end = [], [], vocabulary.words[END]
-    for text in texts:
-        words = _tokens(text)
-        starts.append(len(ids))
-        ids += (0, 0)
-        for t in words:
-            i = memo.get(t)
-            if i is None:
-                i = memo[t] = vocabulary.of(t)
-            ids.append(i)
-        ids.append(end)
-        tokens.append(words)
-    return np.array(ids, dtype=np.int16), tokens, np.array([*starts, len(ids)])
+def _classes(each: np.ndarray, codes: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all texts in a row, each after two starts and with its end; the places of the tokens among them."""
+    at = np.arange(len(codes)) + 2 * np.repeat(np.arange(1, len(many) + 1), many)
+    ids = np.zeros(len(codes) + 2 * len(many), dtype=np.int16)
+    ids[at] = each[codes]
+    return ids, at
 
 
 def fit(df: DataFrame, vocabulary: Vocabulary) -> Model:
@@ -194,11 +212,11 @@ def fit(df: DataFrame, vocabulary: Vocabulary) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
             vocabulary, flat = shared.value
-            own, rng, memo, seen = Model(size, flat.copy()), np.random.default_rng(epoch), {}, 0
+            own, rng, seen = Model(size, flat.copy()), np.random.default_rng(epoch), 0
             state = [np.full(x.shape, 1.0, np.float32) for x in (own.first, own.second, own.out, own.bias)]
             for b in (part for whole in batches for part in _slices(whole, 0)):
-                ids, _, _ = _classes(b.column(0).to_pylist(), vocabulary, memo)
-                at = np.flatnonzero(ids[2:] > 0) + 2
+                distinct, codes, many = _encoded(b.column(0))
+                ids, at = _classes(vocabulary.classes(distinct), codes, many)
                 rng.shuffle(at)
                 for i in range(0, len(at), BATCH):
                     t = at[i:i + BATCH]
@@ -233,45 +251,40 @@ def score(df: DataFrame, folds: int = 10) -> DataFrame:
     below = math.log10(n + SMOOTH * (v + 1))
     shared = df.sparkSession.sparkContext.broadcast((vocabulary, model.flat, model.normalisers(), total))
     log10 = math.log(10)
-    kind = pa.list_(pa.struct([("token", pa.binary()), ("m", pa.int32()), ("k", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat, norms, total = shared.value
-        own, memo = Model(vocabulary.size, flat), {}
-        words, known = vocabulary.words, vocabulary.known
+        own = Model(vocabulary.size, flat)
         log_total = np.log10(np.maximum(total, 1.0))
-        # Of each word known to every task: log10 of base and of its share of its class.
-        logs = {t: (math.log10(c + SMOOTH) - below,
-                    0.0 if t in words else math.log10(max(c - discount, 1e-9)) - log_total[vocabulary.of(t)]) for t, c in known.items()}
+        # Of each word known to every task: log10 of base and of its share of its class; last, of all others.
+        known, c = pa.array([*vocabulary.known], pa.binary()), np.array([*vocabulary.known.values()], dtype=float)
+        k = vocabulary.classes(known)
+        log_base = np.append(np.log10(c + SMOOTH) - below, 0.0)
+        log_share = np.append(np.where(k <= len(vocabulary.words), 0.0, np.log10(np.maximum(c - discount, 1e-9)) - log_total[k]), 0.0)
         for b in (part for whole in batches for part in _slices(whole, 2)):
-            ids, tokens, starts = _classes(b.column(2).to_pylist(), vocabulary, memo)
-            at = np.flatnonzero(ids[2:] > 0) + 2
-            each = np.zeros(len(ids))
-            for i in range(0, len(at), 1 << 16):
-                t = at[i:i + (1 << 16)]
+            distinct, codes, many = _encoded(b.column(2))
+            classes, place = vocabulary.classes(distinct), _places(distinct, known)
+            ids, at = _classes(classes, codes, many)
+            each = np.empty(len(at))
+            for i in range(0, len(at), 1 << 12):
+                t = at[i:i + (1 << 12)]
                 x, y, w = ids[t - 2], ids[t - 1], ids[t]
-                each[t] = ((own.first[x] + own.second[y]) * own.out[w]).sum(axis=1) + own.bias[w] - norms[x, y]
-            by_class = np.add.reduceat(each, starts[:-1]) / log10 if len(tokens) else each[:0]
-            lengths, base, share, hits, rare = [], [], [], [], []
-            for many in tokens:
-                seen = Counter(many)
-                seen[END] += 1
-                p = s = 0.0
-                k, left = 0, []
-                for t, m in seen.items():
-                    found = logs.get(t)
-                    if found is None:
-                        left.append({"token": t, "m": m, "k": memo.get(t, 0)})
-                    else:
-                        p, s, k = p + m * found[0], s + m * found[1], k + m
-                lengths.append(len(many) + 1)
-                base.append(p)
-                share.append(s)
-                hits.append(k)
-                rare.append(left)
+                h = own.first.take(x, axis=0)
+                h += own.second.take(y, axis=0)
+                h *= own.out.take(w, axis=0)
+                each[i:i + (1 << 12)] = h.sum(axis=1) + own.bias[w] - norms[x, y]
+            found, starts = place[codes], np.cumsum(many) - many
+            sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
+            # Each text's words that are not known to every task, with how often it has them.
+            rare = np.flatnonzero(found < 0)
+            keys, m = np.unique(np.repeat(np.arange(len(many)), many)[rare] * len(distinct) + codes[rare], return_counts=True)
+            text, of = np.divmod(keys, len(distinct))
+            left = pa.StructArray.from_arrays([distinct.take(pa.array(of)), pa.array(m, pa.int32()), pa.array(classes[of], pa.int32())],
+                                              ["token", "m", "k"])
+            edges = np.searchsorted(text, np.arange(len(many) + 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(lengths, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(by_class + np.array(share)), pa.array(rare, kind)],
+                [b.column(0), b.column(1), pa.array(many), pa.array(sums((found >= 0).astype(np.int64))), pa.array(sums(log_base[found])),
+                 pa.array(sums(each) / log10 + sums(log_share[found])), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), left)],
                 ["doc_id", "row", "n_tokens", "known", "base", "model", "rare"])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),

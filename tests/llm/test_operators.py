@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -276,6 +278,43 @@ def test_op7_knows_the_end_among_many_words_of_one_count(spark, monkeypatch):
     assert all(r["n_tokens"] == 41 and r["score"] < 0 for r in lblm.op7_nce(df).collect())
 
 
+def test_op7_tokens_and_classes_match_a_plain_reading(spark):
+    texts = [*(f"A{chr(i)}b{chr(i)}" for i in range(256)), None, "", " \n ", " x  É É\u00a0x\u2003x \x00", "tail\n", "漢字 " * 9]
+    want = [[*(t or "").encode().lower().split(), lblm.END] for t in texts]
+    distinct, codes, many = lblm._encoded(pa.array(["left out", *texts]).slice(1))
+    got = [distinct[i].as_py() for i in codes]
+    assert many.tolist() == [len(x) for x in want] and got == [x for w in want for x in w]
+    assert lblm._encoded(pa.array([], pa.string()))[2].tolist() == []
+    v = lblm.Vocabulary({lblm.END: 1, b"x": 2, b"tail": 3}, {b"ab": 4, b"a": 5, "漢".encode()[:2]: 6}, {}, np.ones(8))
+    assert v.classes(distinct).tolist() == [v.of(t) for t in distinct.to_pylist()]
+    ids, at = lblm._classes(v.classes(distinct), codes, many)
+    assert ids.tolist() == [i for w in want for i in (0, 0, *map(v.of, w))] and np.array_equal(at, np.flatnonzero(ids))
+
+
+def test_op7_trains_with_few_python_calls_for_its_tokens(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{j * j % (97 + i)}" for j in range(2000))) for i in range(50)], "doc_id long, text string")
+    vocabulary, *_ = lblm.vocabulary_of(lblm.token_counts(df))
+
+    class Caught:  # keeps what the tasks would run
+        sparkSession = spark
+        select = groupBy = agg = lambda self, *_: self
+        collect = lambda self: []
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    lblm.fit(caught := Caught(), vocabulary)
+    batch, calls = pa.RecordBatch.from_pydict({"text": [r["text"] for r in df.collect()]}), Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        out = list(caught.run(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert out[0].column("n")[0].as_py() == 50 * 2001
+    assert calls["call"] + calls["c_call"] < 50 * 2001 / 4
+
+
 def test_op8_and_op9_match_their_sql(spark):
     import duckdb
     con = duckdb.connect()
